@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import chat, decontaminate, exact_dedup, mixing
+from . import chat, decontaminate, exact_dedup, mixing, quality, toxicity
 from .common import small_batches
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
@@ -20,6 +25,11 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     return chat.digests(chat.format_conversations(chat.with_forged(table(spark, sf_dir, "conversations"))))
@@ -30,5 +40,5 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op5_exact_dedup, op6_mixing, op8_chat_formatting, op10_decontamination)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_quality, op5_exact_dedup, op6_mixing, op7_toxicity, op8_chat_formatting, op10_decontamination)}
 ORACLES: dict[str, str] = {"op5_exact_dedup": exact_dedup.ORACLE, "op6_mixing": mixing.ORACLE, "op8_chat_formatting": chat.ORACLE, "op10_decontamination": decontaminate.ORACLE}
