@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import chat, decontaminate, exact_dedup, mixing, quality, toxicity
+from . import chat, decontaminate, exact_dedup, jaccard, mixing, pii, quality, toxicity
 from .common import small_batches
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -35,10 +39,15 @@ def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_conversations(chat.with_forged(table(spark, sf_dir, "conversations"))))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return jaccard.linked(table(spark, sf_dir, "documents"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_quality, op5_exact_dedup, op6_mixing, op7_toxicity, op8_chat_formatting, op10_decontamination)}
-ORACLES: dict[str, str] = {"op5_exact_dedup": exact_dedup.ORACLE, "op6_mixing": mixing.ORACLE, "op8_chat_formatting": chat.ORACLE, "op10_decontamination": decontaminate.ORACLE}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_pii, op4_quality, op5_exact_dedup, op6_mixing, op7_toxicity, op8_chat_formatting, op9_jaccard_join, op10_decontamination)}
+ORACLES: dict[str, str] = {"op5_exact_dedup": exact_dedup.ORACLE, "op6_mixing": mixing.ORACLE, "op8_chat_formatting": chat.ORACLE, "op9_jaccard_join": jaccard.ORACLE, "op10_decontamination": decontaminate.ORACLE}
