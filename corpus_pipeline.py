@@ -1,4 +1,9 @@
-"""The corpus pipeline: five filtering stages over documents, each written as Parquet and read again."""
+"""The corpus pipeline: five stages over documents, each written as Parquet and read again.
+
+Toxic documents go, of equal texts the one with the largest id stays, of near copies the one with the
+smallest, contaminated documents go, and the last stage deals the sources' words to the mix: a row for
+each document that came so far, with the words that the mix takes of it.
+"""
 
 from __future__ import annotations
 
@@ -7,12 +12,41 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from prismlake.llm import decontaminate, exact_dedup, mixing
-from prismlake.llm.common import materialize, shared_dir, small_batches
+from prismlake.llm import decontaminate, exact_dedup, jaccard, mixing, toxicity
+from prismlake.llm.common import shared_dir, small_batches
 from prismlake.session import table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-STAGES: list[tuple[str, Stage]] = []
+#: Near copies are documents whose sets of five-word shingles are similar by this percentage.
+NEAR_WORDS, NEAR_PERCENT = 5, 80
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return toxicity.keep_clean(docs, table(spark, sf_dir, "labels"))
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return exact_dedup.keep_last(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return jaccard.keep_first(docs, NEAR_WORDS, NEAR_PERCENT)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return decontaminate.keep_clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mix(docs)
+
+
+STAGES: list[tuple[str, Stage]] = [("toxicity", drop_toxic), ("exact_dedup", drop_copies), ("jaccard_join", drop_near_copies), ("decontamination", drop_contaminated), ("mixing", mix_sources)]
+#: The first stage scores compression lengths, which SQL can't; tests hold the stages against brute force.
 ORACLE_SQL: str | None = None
 
 

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, materialize, maybe_in, texts
+from .common import fold, materialize, maybe_in, texts, without
 
 #: Hashes to one owner at most, on average.
 OWNER_HASHES = 2_000_000
@@ -125,6 +125,11 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     return prints.join(same, "sha", "left").select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), (keep == F.col("doc_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
 
 
+def keep_last(docs: DataFrame) -> DataFrame:
+    """The documents that stay, with their columns, by exact_groups(); a doc_id stands for one document."""
+    return without(docs, exact_groups(docs).where("NOT kept").select("doc_id"))
+
+
 ORACLE = """
 WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm FROM documents)
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(norm) AS text_sha256

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import FOLD, materialize, maybe_in, texts
+from .common import FOLD, materialize, maybe_in, texts, without
 from .components import components
 
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -179,6 +179,11 @@ def linked(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     return sets.join(whole, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
+def keep_first(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
+    """Of each component of linked() the document with the smallest id, with its columns, and all that link with nothing."""
+    return without(docs, linked(docs, n, percent).where("doc_id <> component_id").select("doc_id"))
+
+
 ORACLE = r"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, array_to_string(w[k : k + 2], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - 2) + 1)) AS k FROM w WHERE len(w) > 0)),

@@ -7,14 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import chat, decontaminate, exact_dedup, jaccard, mixing, pii, quality, toxicity
+from . import chat, decontaminate, exact_dedup, jaccard, lm, mixing, pii, quality, tokens, toxicity
 from .common import small_batches
 
 
+def op1_token_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return tokens.attribute(table(spark, sf_dir, "documents"))
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(table(spark, sf_dir, "documents"))
 
 
+def op3_context_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return lm.scores(table(spark, sf_dir, "documents"))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -49,5 +59,5 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_pii, op4_quality, op5_exact_dedup, op6_mixing, op7_toxicity, op8_chat_formatting, op9_jaccard_join, op10_decontamination)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_attribution, op2_pii, op3_context_tree_scores, op4_quality, op5_exact_dedup, op6_mixing, op7_toxicity, op8_chat_formatting, op9_jaccard_join, op10_decontamination)}
 ORACLES: dict[str, str] = {"op5_exact_dedup": exact_dedup.ORACLE, "op6_mixing": mixing.ORACLE, "op8_chat_formatting": chat.ORACLE, "op9_jaccard_join": jaccard.ORACLE, "op10_decontamination": decontaminate.ORACLE}
