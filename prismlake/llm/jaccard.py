@@ -7,9 +7,11 @@ than that, two sketches of linked documents agree in a piece. Documents meet by
 of sizes, and what meets is verified on the texts.
 
 Documents of one set are one class from the start. Of those that share a piece the smallest id is
-the centre and is compared with all others; where that leaves several components in a group, the
-rest of its pairs is compared too. So a group of near copies costs one comparison a member, no link
-is lost, and nothing is expanded within a component.
+the centre and is compared with all others, which joins most copies at one comparison a member. Where
+that leaves several components in a group, its members' whole sketches meet in blocks of bounded size;
+of the pairs across components whose Hamming distance allows a link, a block hands on a spanning
+forest to verify. Where some of that fails, one more round verifies all such pairs that are left, which
+are few: then no two documents of different components can link. No group is expanded into its pairs.
 """
 
 from __future__ import annotations
@@ -27,8 +29,8 @@ from .common import FOLD, materialize, maybe_in, texts, without
 from .components import components
 
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
-#: Members that one centre's text is sent for, at most.
-SPREAD = 500
+#: Members that one centre's text is sent for, and members of a group in one block, on average.
+SPREAD, BLOCK = 500, 2000
 _words: dict[bytes, int] = {}
 
 
@@ -74,15 +76,17 @@ def bands(size: int, percent: int) -> tuple[tuple[int, int], ...]:
     return tuple(out)
 
 
-def pieces(sets: np.ndarray, percent: int) -> np.ndarray:
-    """The keys of a set: a hash of band, piece and the piece's 64 parity bits."""
-    keys = []
-    for band, k in bands(len(sets), percent):
-        piece = ((sets >> np.uint64(32)) * np.uint64(k)) >> np.uint64(32)
-        parity = np.zeros(k, np.uint64)
-        np.bitwise_xor.at(parity, piece.astype(np.int64), np.uint64(1) << (sets & np.uint64(63)))
-        keys.append(_mix(_mix(parity + GOLDEN) + np.arange(k, dtype=np.uint64) * GOLDEN + np.uint64(band << 32)))
-    return np.concatenate(keys) if keys else np.empty(0, np.uint64)
+def sketch(sets: np.ndarray, k: int) -> np.ndarray:
+    """k pieces of 64 parity bits."""
+    piece = ((sets >> np.uint64(32)) * np.uint64(k)) >> np.uint64(32)
+    parity = np.zeros(k, np.uint64)
+    np.bitwise_xor.at(parity, piece.astype(np.int64), np.uint64(1) << (sets & np.uint64(63)))
+    return parity
+
+
+def pieces(sets: np.ndarray, percent: int) -> list[tuple[int, np.ndarray]]:
+    """(band, keys) of a set: a key is a hash of band, piece and the piece's parity bits."""
+    return [(band, _mix(_mix(sketch(sets, k) + GOLDEN) + np.arange(k, dtype=np.uint64) * GOLDEN + np.uint64(band << 32))) for band, k in bands(len(sets), percent)]
 
 
 def _classes(n: int):
@@ -98,18 +102,75 @@ def _classes(n: int):
 def _keys(n: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, keys = [], []
-            for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                own = pieces(shingles(t, n), percent)
-                ids.append(np.full(len(own), i, np.int64))
-                keys.append(own)
-            ids, keys = np.concatenate(ids), np.concatenate(keys).view(np.int64)
+            found = [(i, band, keys) for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True) for band, keys in pieces(shingles(t, n), percent)]
+            if not found:
+                continue
+            sizes = [len(keys) for _, _, keys in found]
+            ids, band = (np.repeat(np.array([f[k] for f in found], kind), sizes) for k, kind in ((0, np.int64), (1, np.int32)))
+            keys = np.concatenate([f[2] for f in found]).view(np.int64)
             for a in range(0, len(ids), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(keys[a : a + 100_000]), pa.array(ids[a : a + 100_000])], names=["key", "doc_id"])
+                yield pa.RecordBatch.from_arrays([pa.array(x[a : a + 100_000]) for x in (keys, ids, band)], names=["key", "doc_id", "band"])
 
     return run
 
 
+def _sketches(n: int, percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                own = shingles(t, n)
+                rows += [(i, band, len(own), sketch(own, k).tobytes()) for band, k in bands(len(own), percent)]
+            columns = zip(*rows, strict=True) if rows else ((),) * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["sketch_id", "sketch_band", "n", "sketch"])
+
+    return run
+
+
+def forest(ids: list[int], components_: list[int], sizes: np.ndarray, sketches: np.ndarray, sides: np.ndarray | None, struck: dict[int, set], percent: int, every: bool) -> list[tuple[int, int]]:
+    """Pairs across components within the Hamming distance that their sizes allow: all, or no more than join the components.
+
+    sides: pairs have one document of either side; None: all pairs.
+    """
+    _, root = np.unique(components_, return_inverse=True)
+    out, places = [], np.arange(len(ids))
+    for i in range(len(ids)):
+        other = places[i + 1 :]
+        other = other[root[i + 1 :] != root[i]]
+        if sides is not None:
+            other = other[sides[other] != sides[i]]
+        if not len(other):
+            continue
+        near = other[np.bitwise_count(sketches[other] ^ sketches[i]).sum(axis=1, dtype=np.int64) <= (100 - percent) * (sizes[other] + sizes[i]) // (100 + percent)]
+        for j in near.tolist():
+            if root[j] != root[i] and ids[i] != ids[j] and ids[j] not in struck.get(ids[i], ()):
+                if not every:
+                    root[root == root[j]] = root[i]
+                out.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
+    return out
+
+
+def _forests(batches: Iterator[pa.RecordBatch], percent: int, every: bool) -> Iterator[pa.RecordBatch]:
+    """Rows by group and block pair, each of which is held in memory alone."""
+
+    def emit(rows: list[dict]) -> list[tuple[int, int]]:
+        sides = None if rows[0]["low"] == rows[0]["high"] else np.array([r["block"] == r["low"] for r in rows])
+        return forest([r["doc_id"] for r in rows], [r["component"] for r in rows], np.array([r["n"] for r in rows]), np.frombuffer(b"".join(r["sketch"] for r in rows), np.uint64).reshape(len(rows), -1), sides, {r["doc_id"]: set(r["struck"]) for r in rows if r["struck"]}, percent, every)
+
+    here, rows = None, []
+    for batch in batches:
+        pairs: list[tuple[int, int]] = []
+        for r in batch.to_pylist():
+            if here != (at := (r["key"], r["low"], r["high"])):
+                pairs += emit(rows) if rows else []
+                here, rows = at, []
+            rows.append(r)
+        yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["centre", "member"])
+    if rows:
+        pairs = emit(rows)
+        yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["centre", "member"])
+
+
 def _verify(n: int, percent: int):
     """Rows of a centre and a part of its members, the centre first: keeps the members that link with it."""
 
@@ -159,22 +220,33 @@ def linked(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     reps = materialize(named, "classes")
     # one document stands for each set; a few others slip through the filter and are dropped by the join of ids
     firsts = maybe_in(source, reps.select(F.col("rep").alias("doc_id")))
-    keys = firsts.mapInArrow(_keys(n, percent), "key long, doc_id long").distinct()
+    keys = firsts.mapInArrow(_keys(n, percent), "key long, doc_id long, band int").distinct()
     meet = Window.partitionBy("key").orderBy("doc_id")
     groups = keys.withColumn("centre", F.first("doc_id").over(meet.rowsBetween(Window.unboundedPreceding, 0))).withColumn("more", F.lead("doc_id").over(meet))
-    groups = materialize(groups.where("centre <> doc_id OR more IS NOT NULL").select("key", "doc_id", "centre"), "groups")
+    groups = materialize(groups.where("centre <> doc_id OR more IS NOT NULL").select("key", "doc_id", "band", "centre"), "groups")
     pairs = groups.where("centre <> doc_id").select("centre", F.col("doc_id").alias("member")).distinct()
     links = materialize(verified(pairs, source, n, percent), "verified")
-    found = materialize(components(links), "components")
-    # groups that still hold several components: all pairs across these that no centre has seen
-    rows = groups.join(found.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    open_keys = rows.where("centre <> doc_id").groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-    rest = rows.where("centre <> doc_id").join(open_keys, "key").select("key", "doc_id", "component")
-    x, y = rest.select("key", F.col("doc_id").alias("centre"), F.col("component").alias("cx")), rest.select("key", F.col("doc_id").alias("member"), F.col("component").alias("cy"))
-    across = x.join(y, "key").where("centre < member AND cx <> cy").select("centre", "member").distinct()
-    across = materialize(across.join(pairs, ["centre", "member"], "left_anti"), "across")
-    more = verified(across, source, n, percent)
-    edges = links.unionByName(more).unionByName(sets.join(reps, "class").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")))
+    tried = materialize(pairs.join(links, (F.col("centre") == F.col("a")) & (F.col("member") == F.col("b")), "left_anti"), "struck")
+    for every in (False, True):
+        found = components(links).select(F.col("node").alias("found_id"), "component")
+        rows = groups.join(found, F.col("doc_id") == F.col("found_id"), "left").select("key", "doc_id", "band", F.coalesce("component", "doc_id").alias("component"))
+        # a group of two is the centre and its member, and settled
+        still = rows.groupBy("key").agg(F.min("component").alias("first"), F.max("component").alias("last"), F.count("*").alias("size")).where("first <> last AND size > 2")
+        still = still.select(F.col("key").alias("open_key"), F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+        rows = materialize(rows.join(still, F.col("key") == F.col("open_key")).drop("open_key"), "open")
+        sketches = maybe_in(source, rows.select("doc_id")).mapInArrow(_sketches(n, percent), "sketch_id long, sketch_band int, n int, sketch binary")
+        struck = tried.select("centre", "member").unionByName(tried.select(F.col("member").alias("centre"), F.col("centre").alias("member"))).groupBy(F.col("centre").alias("struck_id")).agg(F.collect_set("member").alias("struck"))
+        rows = rows.join(sketches, (F.col("doc_id") == F.col("sketch_id")) & (F.col("band") == F.col("sketch_band"))).join(struck, F.col("doc_id") == F.col("struck_id"), "left")
+        rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        rows = rows.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "doc_id", "component", "n", "sketch", "struck")
+        dealt = rows.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "doc_id")
+        across = materialize(dealt.mapInArrow(functools.partial(_forests, percent=percent, every=every), "centre long, member long").distinct(), "across")
+        more = materialize(verified(across, source, n, percent), "verified")
+        failed = materialize(across.join(more, (F.col("centre") == F.col("a")) & (F.col("member") == F.col("b")), "left_anti"), "struck")
+        links, tried = links.unionByName(more), tried.unionByName(failed)
+        if failed.isEmpty():
+            break
+    edges = links.unionByName(sets.join(reps, "class").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")))
     whole = components(edges)
     return sets.join(whole, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
