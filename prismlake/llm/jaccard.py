@@ -220,10 +220,12 @@ def linked(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     reps = materialize(named, "classes")
     # one document stands for each set; a few others slip through the filter and are dropped by the join of ids
     firsts = maybe_in(source, reps.select(F.col("rep").alias("doc_id")))
-    keys = firsts.mapInArrow(_keys(n, percent), "key long, doc_id long, band int").distinct()
-    meet = Window.partitionBy("key").orderBy("doc_id")
-    groups = keys.withColumn("centre", F.first("doc_id").over(meet.rowsBetween(Window.unboundedPreceding, 0))).withColumn("more", F.lead("doc_id").over(meet))
-    groups = materialize(groups.where("centre <> doc_id OR more IS NOT NULL").select("key", "doc_id", "band", "centre"), "groups")
+    keys = firsts.mapInArrow(_keys(n, percent), "key long, doc_id long, band int")
+    # near copies share many pieces: keys with the same members are one group (and groups that a chance makes one are a larger one)
+    meet = Window.partitionBy("key")
+    same = keys.withColumn("size", F.count("*").over(meet)).withColumn("members", F.bit_xor(F.xxhash64("doc_id")).over(meet)).where("size > 1")
+    groups = same.select(F.xxhash64("members", "size", "band").alias("key"), "doc_id", "band").distinct()
+    groups = materialize(groups.withColumn("centre", F.min("doc_id").over(Window.partitionBy("key"))), "groups")
     pairs = groups.where("centre <> doc_id").select("centre", F.col("doc_id").alias("member")).distinct()
     links = materialize(verified(pairs, source, n, percent), "verified")
     tried = materialize(pairs.join(links, (F.col("centre") == F.col("a")) & (F.col("member") == F.col("b")), "left_anti"), "struck")

@@ -111,7 +111,9 @@ def _ask(depth: int, owners: int):
                         if learns:
                             words.update(t.split())
                         else:
-                            words.update(dict.fromkeys(set(t.split()) - words.keys(), 0))
+                            for w in t.split():
+                                if w not in words:
+                                    words[w] = 0
         block = table.column("block")[0].as_py()
         g, n = _merged(parts)
         owner = owner_of[(g >> 8) & 0xFFFF]
