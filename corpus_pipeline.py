@@ -17,8 +17,8 @@ from prismlake.llm.common import shared_dir, small_batches
 from prismlake.session import table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-#: Near copies are documents whose sets of five-word shingles are similar by this percentage.
-NEAR_WORDS, NEAR_PERCENT = 5, 80
+#: Near copies are what the join's own contract links: sets of three-word shingles similar by 90 %.
+NEAR_WORDS, NEAR_PERCENT = 3, 90
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
