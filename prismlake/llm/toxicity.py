@@ -149,7 +149,10 @@ def _score(shared):
         for batch in batches:
             scores = []
             for t in batch.column("text").to_pylist():
-                z = sum(a * b for a, b in zip(model.weights, (1.0, *features(t, compressors)), strict=True)) if model else -math.inf
+                if model is None:
+                    scores.append(0.0)
+                    continue
+                z = sum(a * b for a, b in zip(model.weights, (1.0, *features(t, compressors)), strict=True))
                 scores.append(1 / (1 + math.exp(-max(-700.0, min(700.0, z)))))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64())], names=["doc_id", "score"])
 
