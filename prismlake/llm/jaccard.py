@@ -3,8 +3,9 @@
 The shingles of a document are XOR-hashed into a bit sketch: every shingle flips one bit, so the
 Hamming distance of two sketches never exceeds the symmetric difference of the sets. At similarity s
 sets of sizes a and b differ in at most (1 - s) / (1 + s) * (a + b) shingles; cut into one piece more
-than that, two sketches of linked documents agree in a piece. Documents meet by pieces within bands
-of sizes, and what meets is verified on the texts.
+than that, two linked documents hold the same shingles in a piece. Documents meet by pieces within
+bands of sizes, and what meets is verified on the texts. An empty piece says nothing and would join
+strangers: sets are cut into so many pieces that linked ones agree in others too.
 
 Documents of one set are one class from the start. Of those that share a piece the smallest id is
 the centre and is compared with all others, which joins most copies at one comparison a member. Where
@@ -17,6 +18,8 @@ are few: then no two documents of different components can link. No group is exp
 from __future__ import annotations
 
 import functools
+import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +35,8 @@ from .components import components
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 #: Members that one centre's text is sent for, and members of a group in one block, on average.
 SPREAD, BLOCK = 500, 2000
+#: Empty pieces that make a key together, and the share of a band's sets that such a key may join.
+TOGETHER, RARE = 3, 1e-5
 _words: dict[bytes, int] = {}
 
 
@@ -62,19 +67,38 @@ def shingles(text: bytes, n: int) -> np.ndarray:
     return np.unique(out)
 
 
+@functools.lru_cache(maxsize=1 << 12)
+def cut(top: int, percent: int) -> tuple[int, int]:
+    """(differ, pieces) of the band whose lesser sets have at most top members; no pieces where linked sets are equal.
+
+    More pieces than differ + 1 make several agree: enough that hardly any set has as many empty ones.
+    """
+    differ = (100 - percent) * (top + top * 100 // percent) // (100 + percent)
+    if not differ:
+        return 0, 0
+    best = (math.inf, 0)
+    for k in range(differ + 1, 3 * (differ + 1) // 2 + 3):
+        few, mean = min(k - differ, TOGETHER), k * math.exp(-top / k)
+        # keys of empty pieces that a set gets on average, with their number as Poisson's
+        keys = mean**few / math.factorial(few) * max(0.0, 1 - sum(math.exp(j * math.log(mean) - mean - math.lgamma(j + 1)) for j in range(k - differ - few)))
+        best = min(best, (share := keys / math.comb(k, few), k))
+        if share <= RARE and keys <= k / 20:
+            return differ, k
+    return differ, best[1]
+
+
 @functools.lru_cache(maxsize=1 << 16)
-def bands(size: int, percent: int) -> tuple[tuple[int, int], ...]:
-    """(band, pieces) under which a set of a size meets others: band i joins the sizes of band i and of the next."""
+def spans(size: int, percent: int) -> tuple[tuple[int, int], ...]:
+    """(band, top) under which a set of a size meets others: band i joins the sizes of band i, at most top, and of the next."""
     low, i = 1, 0
     while (high := low * 100 // percent + 1) <= size:  # high is the least size that can't link with low
         low, i = high, i + 1
-    out = []
-    for band, top in ((i, high - 1), (i - 1, low - 1)):
-        if top >= 1 and size <= top * 100 // percent:
-            differ = (100 - percent) * (top + top * 100 // percent) // (100 + percent)
-            if differ:  # else linked sets are equal, and one class already
-                out.append((band, differ + 1))
-    return tuple(out)
+    return tuple((band, top) for band, top in ((i, high - 1), (i - 1, low - 1)) if top >= 1 and size <= top * 100 // percent and cut(top, percent)[1])
+
+
+def bands(size: int, percent: int) -> tuple[tuple[int, int], ...]:
+    """(band, pieces) under which a set of a size meets others."""
+    return tuple((band, cut(top, percent)[1]) for band, top in spans(size, percent))
 
 
 def sketch(sets: np.ndarray, k: int) -> np.ndarray:
@@ -86,8 +110,27 @@ def sketch(sets: np.ndarray, k: int) -> np.ndarray:
 
 
 def pieces(sets: np.ndarray, percent: int) -> list[tuple[int, np.ndarray]]:
-    """(band, keys) of a set: a key is a hash of band, piece and the piece's parity bits."""
-    return [(band, _mix(_mix(sketch(sets, k) + GOLDEN) + np.arange(k, dtype=np.uint64) * GOLDEN + np.uint64(band << 32))) for band, k in bands(len(sets), percent)]
+    """(band, keys) of a sorted set: a key is a hash of band, piece and all that the piece holds.
+
+    Empty pieces have no key: linked sets agree in some that hold shingles, unless one has as many empty
+    pieces as must agree. Such a set, which is rare, also gets a key for each few of its empty pieces.
+    """
+    out = []
+    for band, top in spans(len(sets), percent):
+        differ, k = cut(top, percent)
+        piece = (((sets >> np.uint64(32)) * np.uint64(k)) >> np.uint64(32)).astype(np.int64)
+        first = np.flatnonzero(np.diff(piece, prepend=-1))
+        keys = _mix(_mix(np.bitwise_xor.reduceat(sets, first) + GOLDEN) + piece[first].astype(np.uint64) * GOLDEN + np.uint64(band << 32))
+        most = top if len(sets) > top else len(sets) * 100 // percent  # the largest set that this one can link with in the band
+        if k - len(first) >= k - (100 - percent) * (len(sets) + most) // (100 + percent):
+            empty = np.setdiff1d(np.arange(k), piece[first])
+            few = np.array(list(itertools.combinations(empty.tolist(), min(k - differ, TOGETHER))), np.uint64)
+            h = np.full(len(few), (band << 32) + k, np.uint64)
+            for column in few.T:
+                h = _mix(h * GOLDEN + column + np.uint64(1))
+            keys = np.concatenate([keys, h])
+        out.append((band, keys))
+    return out
 
 
 def _classes(n: int):
