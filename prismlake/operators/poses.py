@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.linear import norm, sub, vec
@@ -35,6 +35,29 @@ def stereo_pairs(cameras: DataFrame, reach: int = 5) -> DataFrame:
     return d.select("i", "j", stereo_score(F.col("baseline"), F.col("angle")).alias("score"))
 
 
+def source_views(cameras: DataFrame, most: int = 4, least: float = 0.01, far: float = 10.0, widest: float = 60.0) -> DataFrame:
+    """i, j, rank: of all other cameras the best source views of each, ties and views of score zero by index.
+
+    Only centres less than far apart can score, so cameras meet in cells of that size and their neighbours.
+    """
+    at = cameras.select("img_id", "R", center(F.col("R"), F.col("t")).alias("c"))
+    at = at.select("img_id", "R", "c", *(F.floor(F.col("c")[k] / far).cast("long").alias(f"g{k}") for k in range(3)))
+    a = at.select(F.col("img_id").alias("i"), F.col("R").alias("ra"), F.col("c").alias("ca"), *(F.explode(F.array(*(F.col(f"g{k}") + s for s in (-1, 0, 1)))).alias(f"g{k}") if k == 0 else F.col(f"g{k}") for k in range(3)))
+    for k in (1, 2):
+        a = a.withColumn(f"g{k}", F.explode(F.array(*(F.col(f"g{k}") + s for s in (-1, 0, 1)))))
+    b = at.select(F.col("img_id").alias("j"), F.col("R").alias("rb"), F.col("c").alias("cb"), "g0", "g1", "g2")
+    d = a.join(b, ["g0", "g1", "g2"]).where("i <> j").select("i", "j", norm(sub(F.col("ca"), F.col("cb"))).alias("baseline"), rotation_angle(F.col("ra"), F.col("rb")).alias("angle"))
+    d = d.where((F.col("baseline") > least) & (F.col("baseline") < far) & (F.col("angle") < widest))
+    order = Window.partitionBy("i").orderBy(F.desc("score"), "j")
+    rank = F.row_number().over(order).alias("rank")
+    best = d.select("i", "j", F.round(F.col("baseline") / (1 + F.col("angle") / 20), 9).alias("score")).select("*", rank).where(F.col("rank") <= most)
+    # a camera that lacks views has fewer than most of its own: with itself that leaves enough of the first 2 * most
+    first = cameras.select(F.col("img_id").alias("j")).orderBy("j").limit(2 * most)
+    rest = cameras.select(F.col("img_id").alias("i")).crossJoin(F.broadcast(first)).where("i <> j").select("i", "j", F.lit(0.0).alias("score"))
+    both = best.select("i", "j", "score").unionByName(rest).groupBy("i", "j").agg(F.max("score").alias("score"))
+    return both.select("i", "j", rank).where(F.col("rank") <= most)
+
+
 def symmetric(edges: DataFrame, *more: str) -> DataFrame:
     return edges.select("src", "dst", *more).unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), *more))
 

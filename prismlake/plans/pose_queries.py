@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.linear import tidy
@@ -49,9 +49,7 @@ def stereo_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     with_(CAMERAS, TWO) + ", r AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY round(score, 9) DESC, j) AS rank FROM scored) SELECT i, j, rank::INT AS rank FROM r WHERE rank <= 2",
 )
 def source_views(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = G.stereo_pairs(cameras(spark, sf_dir))
-    order = Window.partitionBy("i").orderBy(F.desc(F.round("score", 9)), "j")
-    return p.withColumn("rank", F.row_number().over(order)).where("rank <= 2").select("i", "j", "rank")
+    return G.source_views(cameras(spark, sf_dir))
 
 
 EDGES = """
