@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import materialize, shared_dir  # noqa: F401
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 FOLD = bytes.maketrans(UPPER.encode(), LOWER.encode())
 #: One million ids fit a filter of this many bits with an error of 1.5 %; its size is at most 8 MB however many ids it gets.
@@ -16,29 +16,6 @@ FILTER_BITS = 1 << 26
 BITMAP_BITS = 32768
 
 
-_own: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; on one machine, where the session names none, a temporary one."""
-    if base := spark.conf.get("spark.checkpoint.dir", None):
-        return base.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    if not _own:
-        _own.append(f"file://{tempfile.mkdtemp(prefix='spark-prismlake-')}")
-    return _own[0]
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it again: lineage ends, and a lost executor costs only its own tasks."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
-
-
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Texts are long: fewer rows to an Arrow batch keep the Python workers small."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

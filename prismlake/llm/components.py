@@ -1,33 +1,3 @@
-"""Connected components of a table of links, by alternating large and small stars."""
+"""Connected components, as the text operators import them."""
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from .common import materialize
-
-
-def _least(edges: DataFrame) -> DataFrame:
-    """Edges (u, v) with the least of u and its neighbours: partial sums meet first, so a hot node is one row of each task."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    return edges.join(least, "u").withColumn("m", F.least("m", "u"))
-
-
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
-    """node, component (its least node) of every node of links (a, b); nodes without links are not listed."""
-    pairs = links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    edges = materialize(pairs, "links")
-    before = None
-    for _ in range(rounds):
-        both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        large = _least(both).where("v > u").select(F.col("m").alias("a"), F.col("v").alias("b")).where("a <> b").distinct()
-        down = large.select(F.col("b").alias("u"), F.col("a").alias("v"))
-        low = _least(down)
-        small = low.select(F.col("m").alias("a"), F.col("v").alias("b")).unionByName(low.select(F.col("m").alias("a"), F.col("u").alias("b"))).where("a <> b").distinct()
-        edges = materialize(small, "links")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
-        if now == before:
-            break
-        before = now
-    return edges.select(F.col("b").alias("node"), F.col("a").alias("component")).unionByName(edges.select(F.col("a").alias("node"), F.col("a").alias("component"))).groupBy("node").agg(F.min("component").alias("component"))
+from ..operators.components import components  # noqa: F401

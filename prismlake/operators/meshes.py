@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.linear import cross, dot, norm, sub, vec
+from ..session import materialize
+from .components import components
 
 
 def edges(faces: DataFrame) -> DataFrame:
@@ -36,13 +38,25 @@ def quality(faces: DataFrame, vertices: DataFrame, tiny: float = 1e-10) -> DataF
     return out.withColumn("euler", F.col("n_vertices") - F.col("n_edges") + F.col("n_faces")).withColumn("volume", F.when(F.col("watertight"), F.abs("volume")))
 
 
-def clean(faces: DataFrame, vertices: DataFrame, tiny: float = 1e-10) -> DataFrame:
-    """Faces without repeats of the same three vertices (the smallest fid stays) and without vanishing area."""
+def pieces(faces: DataFrame) -> DataFrame:
+    """fid, component of every face: faces are neighbours where an edge has just these two, as in the reference's split."""
+    shared = edges(faces).groupBy("lo", "hi").agg(F.count("*").alias("uses"), F.min("fid").alias("a"), F.max("fid").alias("b")).where("uses = 2")
+    found = components(shared.select("a", "b")).withColumnRenamed("node", "fid")
+    return faces.select("fid").join(found, "fid", "left").select("fid", F.coalesce("component", "fid").alias("component"))
+
+
+def clean(faces: DataFrame, vertices: DataFrame, tiny: float = 1e-10, ratio: float = 0.01) -> DataFrame:
+    """Faces without repeats of the same three vertices (the smallest fid stays) and without vanishing area, then
+    without the components that have fewer faces than ratio times the largest."""
     key = F.array_sort(F.array("a", "b", "c"))
     first = faces.withColumn("_key", key).groupBy("_key").agg(F.min(F.struct("fid", "a", "b", "c")).alias("f")).select("f.*")
     n = cross(sub(F.col("pb"), F.col("pa")), sub(F.col("pc"), F.col("pa")))
     good = corners(first, vertices).where(norm(n) / 2 >= tiny).select("fid")
-    return first.join(good, "fid", "left_semi")
+    whole = materialize(first.join(good, "fid", "left_semi"), "faces")
+    labels = materialize(pieces(whole), "pieces")
+    sizes = labels.groupBy("component").agg(F.count("*").alias("n"))
+    large = sizes.crossJoin(F.broadcast(sizes.agg(F.max("n").alias("most")))).where(F.col("n") >= F.col("most") * ratio)
+    return whole.join(labels.join(large, "component", "left_semi"), "fid", "left_semi")
 
 
 def smooth(faces: DataFrame, vertices: DataFrame, share: float = 0.5, rounds: int = 1) -> DataFrame:
