@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import Scratch, materialize
 
 
 def _least(edges: DataFrame) -> DataFrame:
@@ -14,20 +14,27 @@ def _least(edges: DataFrame) -> DataFrame:
     return edges.join(least, "u").withColumn("m", F.least("m", "u"))
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
-    """node, component (its least node) of every node of links (a, b); nodes without links are not listed."""
+def components(links: DataFrame) -> DataFrame:
+    """node, component (its least node) of every node of links (a, b); nodes without links are not listed.
+
+    Rounds go on until one changes nothing, when every component is a star around its least node; there
+    are O(log^2) of the number of nodes.
+    """
     pairs = links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    edges = materialize(pairs, "links")
-    before = None
-    for _ in range(rounds):
+    scratch = Scratch(links.sparkSession)
+    edges, before = scratch.table(pairs, "links"), None
+    while True:
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
         large = _least(both).where("v > u").select(F.col("m").alias("a"), F.col("v").alias("b")).where("a <> b").distinct()
         down = large.select(F.col("b").alias("u"), F.col("a").alias("v"))
         low = _least(down)
         small = low.select(F.col("m").alias("a"), F.col("v").alias("b")).unionByName(low.select(F.col("m").alias("a"), F.col("u").alias("b"))).where("a <> b").distinct()
-        edges = materialize(small, "links")
+        edges = scratch.table(small, "links")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if now == before:
             break
         before = now
-    return edges.select(F.col("b").alias("node"), F.col("a").alias("component")).unionByName(edges.select(F.col("a").alias("node"), F.col("a").alias("component"))).groupBy("node").agg(F.min("component").alias("component"))
+    found = edges.select(F.col("b").alias("node"), F.col("a").alias("component")).unionByName(edges.select(F.col("a").alias("node"), F.col("a").alias("component")))
+    found = materialize(found.groupBy("node").agg(F.min("component").alias("component")), "components")
+    scratch.clear()
+    return found
