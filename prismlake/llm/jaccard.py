@@ -7,12 +7,15 @@ than that, two linked documents hold the same shingles in a piece. Documents mee
 bands of sizes, and what meets is verified on the texts. An empty piece says nothing and would join
 strangers: sets are cut into so many pieces that linked ones agree in others too.
 
-Documents of one set are one class from the start. Of those that share a piece the smallest id is
-the centre and is compared with all others, which joins most copies at one comparison a member. Where
-that leaves several components in a group, its members' whole sketches meet in blocks of bounded size;
-of the pairs across components whose Hamming distance allows a link, a block hands on a spanning
-forest to verify. Where some of that fails, one more round verifies all such pairs that are left, which
-are few: then no two documents of different components can link. No group is expanded into its pairs.
+A set with more pieces of its own than may differ links with nothing; of any other only the rarest
+pieces count, one more than may differ, of which linked sets still share one (the frequent pieces are
+passages that many texts hold). Documents of one set are one class from the start. Of those that share
+a piece the smallest class is the centre and is compared with all others, first by whole sketches and
+then on the texts, which joins most copies at one comparison a member. Where that leaves several
+components in a group, its members' sketches meet in blocks of bounded size; of the pairs across
+components whose Hamming distance allows a link, a block hands on as many as join the components. Where
+some of these fail on the texts, rounds with more of them follow until none fails: then no two
+documents of different components can link. No group is expanded into its pairs.
 """
 
 from __future__ import annotations
@@ -20,6 +23,7 @@ from __future__ import annotations
 import functools
 import itertools
 import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,16 +32,23 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import FOLD, materialize, maybe_in, texts, without
+from .common import FOLD, Scratch, materialize, maybe_in, texts, without
 from .components import components
 
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
-#: Members that one centre's text is sent for, and members of a group in one block, on average.
-SPREAD, BLOCK = 500, 2000
+#: Members that one centre's sketch or text is sent for, and shingles of a group in one block, on average.
+SPREAD, BLOCK = 500, 1_000_000
+#: Bytes of text that are hashed at once, the values of bytes, and an odd base whose powers tell their places.
+SEGMENT, BASE = 1 << 21, 0xD1342543DE82EF9B
+BYTES = np.random.default_rng(11).integers(1 << 62, 1 << 63, 256, np.uint64)
+IS_SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
+SPACES = re.compile(rb"[\x20\x09-\x0D]")
+#: Bits of a whole sketch for each shingle of a band's largest set.
+SKETCH_BITS = 8
 #: Empty pieces that make a key together, and the share of a band's sets that such a key may join.
 TOGETHER, RARE = 3, 1e-5
-_words: dict[bytes, int] = {}
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -46,25 +57,56 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-def _word(w: bytes) -> int:
-    got = _words.get(w)
-    if got is None:
-        if len(_words) > 500_000:
-            _words.clear()
-        got = _words[w] = xxhash.xxh3_64_intdigest(w)
-    return got
+def _powers(base: int, n: int) -> np.ndarray:
+    return np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(n, base, np.uint64)]))
+
+
+_tables: dict[str, np.ndarray] = {}
+
+
+def word_hashes(line: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of a folded line start, and their hashes: sums of byte values times powers of a base, by differences of running sums."""
+    starts, hashes, low = [], [], 0
+    while low < len(line):
+        found = SPACES.search(line, low + SEGMENT) if len(line) - low > SEGMENT else None  # a segment ends behind a word
+        high = found.start() if found else len(line)
+        a = np.frombuffer(line, np.uint8, high - low, low)
+        if len(_tables.get("up", ())) <= len(a):
+            size = max(len(a), SEGMENT + 4096)
+            _tables.update(up=_powers(BASE, size), down=_powers(pow(BASE, -1, 1 << 64), size))
+        word = np.concatenate([[False], ~IS_SPACE[a], [False]])
+        edges = np.flatnonzero(word[1:] != word[:-1])
+        first, end = edges[::2], edges[1::2]
+        running = np.concatenate([np.zeros(1, np.uint64), np.cumsum(BYTES[a] * _tables["up"][: len(a)], dtype=np.uint64)])
+        hashes.append(_mix((running[end] - running[first]) * _tables["down"][first] + (end - first).astype(np.uint64) * GOLDEN))
+        starts.append(first + low)
+        low = high
+    return (np.concatenate(starts), np.concatenate(hashes)) if starts else (np.empty(0, np.int64), np.empty(0, np.uint64))
+
+
+def shingle_sets(raw: list[bytes], n: int) -> list[np.ndarray]:
+    """Of each text the sorted distinct hashes of its n-word shingles; of fewer words the whole sequence is one."""
+    line = b" ".join(raw).translate(FOLD)
+    starts, h = word_hashes(line)
+    at = np.cumsum([0, *(len(t) + 1 for t in raw)])
+    bounds = np.searchsorted(starts, at)
+    whole, out = _windows(h, n), []
+    for a, b in itertools.pairwise(bounds.tolist()):
+        own = whole[a : b - n + 1].copy() if b - a >= n else _windows(h[a:b], b - a)
+        own.sort()
+        out.append(own[np.concatenate([[True], own[1:] != own[:-1]])] if len(own) else own)
+    return out
 
 
-def shingles(text: bytes, n: int) -> np.ndarray:
-    """Sorted distinct hashes of the n-word shingles; of fewer words the whole sequence is one."""
-    words = text.translate(FOLD).split()
-    if not words:
-        return np.empty(0, np.uint64)
-    h = np.array(list(map(_word, words)), np.uint64)
-    out, width = np.full(max(1, len(h) - n + 1), len(h) if len(h) < n else n, np.uint64), len(h) - max(1, len(h) - n + 1) + 1
+def _windows(h: np.ndarray, width: int) -> np.ndarray:
+    out = np.full(max(0, len(h) - width + 1) if width else 0, width, np.uint64)
     for k in range(width):
-        out = _mix(out * GOLDEN + h[k : k + len(out)])
-    return np.unique(out)
+        out = out * GOLDEN + h[k : k + len(out)]
+    return _mix(out)
+
+
+def shingles(text: bytes, n: int) -> np.ndarray:
+    return shingle_sets([text], n)[0]
 
 
 @functools.lru_cache(maxsize=1 << 12)
@@ -101,44 +143,54 @@ def bands(size: int, percent: int) -> tuple[tuple[int, int], ...]:
     return tuple((band, cut(top, percent)[1]) for band, top in spans(size, percent))
 
 
-def sketch(sets: np.ndarray, k: int) -> np.ndarray:
-    """k pieces of 64 parity bits."""
-    piece = ((sets >> np.uint64(32)) * np.uint64(k)) >> np.uint64(32)
-    parity = np.zeros(k, np.uint64)
-    np.bitwise_xor.at(parity, piece.astype(np.int64), np.uint64(1) << (sets & np.uint64(63)))
-    return parity
+def sketch(sets: np.ndarray, top: int) -> np.ndarray:
+    """Parity bits, SKETCH_BITS for each shingle of the largest set of the band, as bytes."""
+    bits = 64 * -(-SKETCH_BITS * top // 64)
+    place = ((sets >> np.uint64(32)) * np.uint64(bits)) >> np.uint64(32)
+    return np.packbits((np.bincount(place.astype(np.int64), minlength=bits) & 1).astype(np.uint8))
 
 
-def pieces(sets: np.ndarray, percent: int) -> list[tuple[int, np.ndarray]]:
-    """(band, keys) of a sorted set: a key is a hash of band, piece and all that the piece holds.
+def may_differ(a, b, percent: int):
+    """Shingles in which linked sets of these sizes differ at most."""
+    return (100 - percent) * (a + b) // (100 + percent)
 
-    Empty pieces have no key: linked sets agree in some that hold shingles, unless one has as many empty
-    pieces as must agree. Such a set, which is rare, also gets a key for each few of its empty pieces.
+
+def pieces(sets: np.ndarray, percent: int) -> list[tuple[int, int, np.ndarray]]:
+    """(band, most, keys) of a sorted set: a key is a hash of band, piece and all that the piece holds.
+
+    Of the rarest keys so many as most count; -1: all. Empty pieces have no key: linked sets agree in
+    some that hold shingles, unless one has as many empty pieces as must agree. Such a set, which is
+    rare, also gets a key for each few of its empty pieces, and all its keys count.
     """
     out = []
     for band, top in spans(len(sets), percent):
         differ, k = cut(top, percent)
         piece = (((sets >> np.uint64(32)) * np.uint64(k)) >> np.uint64(32)).astype(np.int64)
-        first = np.flatnonzero(np.diff(piece, prepend=-1))
+        first = np.flatnonzero(np.concatenate([[True], piece[1:] != piece[:-1]]))
         keys = _mix(_mix(np.bitwise_xor.reduceat(sets, first) + GOLDEN) + piece[first].astype(np.uint64) * GOLDEN + np.uint64(band << 32))
-        most = top if len(sets) > top else len(sets) * 100 // percent  # the largest set that this one can link with in the band
-        if k - len(first) >= k - (100 - percent) * (len(sets) + most) // (100 + percent):
+        largest = top if len(sets) > top else len(sets) * 100 // percent  # the largest set that this one can link with in the band
+        most = may_differ(len(sets), largest, percent) + 1
+        if len(first) < most:
             empty = np.setdiff1d(np.arange(k), piece[first])
             few = np.array(list(itertools.combinations(empty.tolist(), min(k - differ, TOGETHER))), np.uint64)
             h = np.full(len(few), (band << 32) + k, np.uint64)
             for column in few.T:
                 h = _mix(h * GOLDEN + column + np.uint64(1))
-            keys = np.concatenate([keys, h])
-        out.append((band, keys))
+            keys, most = np.concatenate([keys, h]), -1
+        out.append((band, most, keys))
     return out
 
 
+def class_of(sets: np.ndarray) -> int | None:
+    """The number of a set; None of the empty one."""
+    return xxhash.xxh3_64_intdigest(sets.tobytes()) - (1 << 63) if len(sets) else None
+
+
 def _classes(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingles(t, n) for t in batch.column("text").to_pylist()]
-            digests = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary())], names=["doc_id", "n", "class"])
+            sets = shingle_sets(batch.column("text").to_pylist(), n)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(map(class_of, sets), pa.int64())], names=["doc_id", "n", "class"])
 
     return run
 
@@ -146,14 +198,14 @@ def _classes(n: int):
 def _keys(n: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [(i, band, keys) for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True) for band, keys in pieces(shingles(t, n), percent)]
-            if not found:
-                continue
-            sizes = [len(keys) for _, _, keys in found]
-            ids, band = (np.repeat(np.array([f[k] for f in found], kind), sizes) for k, kind in ((0, np.int64), (1, np.int32)))
-            keys = np.concatenate([f[2] for f in found]).view(np.int64)
-            for a in range(0, len(ids), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(x[a : a + 100_000]) for x in (keys, ids, band)], names=["key", "doc_id", "band"])
+            found = []
+            for own in shingle_sets(batch.column("text").to_pylist(), n):
+                if len(own):
+                    mine = class_of(own)
+                    found += [(mine, band, most, keys) for band, most, keys in pieces(own, percent)]
+            sizes = [len(f[3]) for f in found]
+            keys = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(np.concatenate([f[3] for f in found]).view(np.int64) if found else [], pa.int64()))
+            yield pa.RecordBatch.from_arrays([*(pa.array([f[k] for f in found], kind) for k, kind in ((0, pa.int64()), (1, pa.int32()), (2, pa.int32()))), keys], names=["class", "band", "most", "keys"])
 
     return run
 
@@ -162,22 +214,21 @@ def _sketches(n: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                own = shingles(t, n)
-                rows += [(i, band, len(own), sketch(own, k).tobytes()) for band, k in bands(len(own), percent)]
+            for own in shingle_sets(batch.column("text").to_pylist(), n):
+                rows += [(class_of(own), band, len(own), sketch(own, top).tobytes()) for band, top in spans(len(own), percent)]
             columns = zip(*rows, strict=True) if rows else ((),) * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["sketch_id", "sketch_band", "n", "sketch"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["sketch_class", "sketch_band", "n", "sketch"])
 
     return run
 
 
-def forest(ids: list[int], components_: list[int], sizes: np.ndarray, sketches: np.ndarray, sides: np.ndarray | None, struck: dict[int, set], percent: int, every: bool) -> list[tuple[int, int]]:
-    """Pairs across components within the Hamming distance that their sizes allow: all, or no more than join the components.
+def forest(ids: list[int], components_: list[int], sizes: np.ndarray, sketches: np.ndarray, sides: np.ndarray | None, percent: int, most: int, struck: set[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Pairs across components within the Hamming distance that their sizes allow, but for those struck: where two components meet, most of them at least, or all there are.
 
     sides: pairs have one document of either side; None: all pairs.
     """
     _, root = np.unique(components_, return_inverse=True)
-    out, places = [], np.arange(len(ids))
+    out, places, met = [], np.arange(len(ids)), {}
     for i in range(len(ids)):
         other = places[i + 1 :]
         other = other[root[i + 1 :] != root[i]]
@@ -185,55 +236,75 @@ def forest(ids: list[int], components_: list[int], sizes: np.ndarray, sketches:
             other = other[sides[other] != sides[i]]
         if not len(other):
             continue
-        near = other[np.bitwise_count(sketches[other] ^ sketches[i]).sum(axis=1, dtype=np.int64) <= (100 - percent) * (sizes[other] + sizes[i]) // (100 + percent)]
+        near = other[np.bitwise_count(sketches[other] ^ sketches[i]).sum(axis=1, dtype=np.int64) <= may_differ(sizes[other], sizes[i], percent)]
         for j in near.tolist():
-            if root[j] != root[i] and ids[i] != ids[j] and ids[j] not in struck.get(ids[i], ()):
-                if not every:
+            pair = (min(ids[i], ids[j]), max(ids[i], ids[j]))
+            if root[j] != root[i] and pair not in struck:
+                at = (min(root[i], root[j]), max(root[i], root[j]))
+                met[at] = met.get(at, 0) + 1
+                if met[at] >= most:
                     root[root == root[j]] = root[i]
-                out.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
+                out.append(pair)
     return out
 
 
-def _forests(batches: Iterator[pa.RecordBatch], percent: int, every: bool) -> Iterator[pa.RecordBatch]:
-    """Rows by group and block pair, each of which is held in memory alone."""
+def _forests(percent: int, most: int):
+    """Of a group's block pair: its members, and the pairs struck before."""
 
-    def emit(rows: list[dict]) -> list[tuple[int, int]]:
-        sides = None if rows[0]["low"] == rows[0]["high"] else np.array([r["block"] == r["low"] for r in rows])
-        return forest([r["doc_id"] for r in rows], [r["component"] for r in rows], np.array([r["n"] for r in rows]), np.frombuffer(b"".join(r["sketch"] for r in rows), np.uint64).reshape(len(rows), -1), sides, {r["doc_id"]: set(r["struck"]) for r in rows if r["struck"]}, percent, every)
+    def run(members: pa.Table, struck: pa.Table) -> pa.Table:
+        rows = members.sort_by("class")
+        sides = None if not len(rows) or rows.column("low")[0] == rows.column("high")[0] else np.array(rows.column("block")) == rows.column("low")[0].as_py()
+        sketches = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint64).reshape(len(rows), -1) if len(rows) else np.empty((0, 1), np.uint64)
+        gone = set(zip(struck.column("centre").to_pylist(), struck.column("member").to_pylist(), strict=True))
+        pairs = forest(rows.column("class").to_pylist(), rows.column("component").to_pylist(), np.array(rows.column("n")), sketches, sides, percent, most, gone)
+        place = [pa.array([rows.column(c)[0].as_py()] * len(pairs) if len(rows) else [], kind) for c, kind in (("key", pa.int64()), ("low", pa.int32()), ("high", pa.int32()))]
+        return pa.Table.from_arrays([*place, *(pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1))], names=["key", "low", "high", "centre", "member"])
+
+    return run
+
+
+def _near(percent: int):
+    """Rows of a centre's sketch and of a part of its members', the centre first: keeps the members that can link with it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mine, size = None, 0
+        for batch in batches:
+            a, b = [], []
+            for c, m, n, s in zip(*(batch.column(k).to_pylist() for k in ("centre", "member", "n", "sketch")), strict=True):
+                own = np.frombuffer(s, np.uint64)
+                if m is None:
+                    mine, size = own, n
+                elif int(np.bitwise_count(mine ^ own).sum(dtype=np.int64)) <= may_differ(size, n, percent):
+                    a.append(c)
+                    b.append(m)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["centre", "member"])
 
-    here, rows = None, []
-    for batch in batches:
-        pairs: list[tuple[int, int]] = []
-        for r in batch.to_pylist():
-            if here != (at := (r["key"], r["low"], r["high"])):
-                pairs += emit(rows) if rows else []
-                here, rows = at, []
-            rows.append(r)
-        yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["centre", "member"])
-    if rows:
-        pairs = emit(rows)
-        yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["centre", "member"])
+    return run
 
 
-def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _packed(n: int):
     """Texts for the way: they cross the network twice, and compress better alone than shuffle blocks do."""
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([zstandard.compress(t, 6) for t in batch.column("text").to_pylist()], pa.binary())], names=["doc_id", "text"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = batch.column("text").to_pylist()
+            yield pa.RecordBatch.from_arrays([pa.array(map(class_of, shingle_sets(raw, n)), pa.int64()), pa.array([zstandard.compress(t, 6) for t in raw], pa.binary())], names=["class", "text"])
+
+    return run
 
 
 def _verify(n: int, percent: int):
     """Rows of a centre and a part of its members, the centre first: keeps the members that link with it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        centre, mine = None, np.empty(0, np.uint64)
+        mine = np.empty(0, np.uint64)
         for batch in batches:
             a, b = [], []
             for c, m, t in zip(batch.column("centre").to_pylist(), batch.column("member").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 own = shingles(zstandard.decompress(t), n)
                 if m is None:
-                    centre, mine = c, own
+                    mine = own
                     continue
-                assert c == centre
                 both = len(np.intersect1d(mine, own, assume_unique=True))
                 if both and 100 * both >= percent * (len(mine) + len(own) - both):
                     a.append(c)
@@ -243,16 +314,96 @@ def _verify(n: int, percent: int):
     return run
 
 
-def verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """Of pairs (centre, member) of ids those whose texts link; each member's text is sent once a pair, the centre's once for SPREAD members."""
-    sizes = pairs.groupBy("centre").agg(F.count("*").alias("members"))
-    dealt = pairs.join(sizes, "centre").withColumn("parts", F.ceil(F.col("members") / SPREAD).cast("int")).withColumn("part", F.pmod(F.xxhash64("member"), F.col("parts")).cast("int"))
-    heads = dealt.groupBy("centre", "part").count().select("centre", "part", F.lit(None).cast("long").alias("member"), F.col("centre").alias("id"))
-    wanted = materialize(dealt.select("centre", "part", "member", F.col("member").alias("id")).unionByName(heads), "pairs")
-    sent = maybe_in(docs, wanted.select(F.col("id").alias("doc_id"))).mapInArrow(_packed, "doc_id long, text binary")
-    rows = sent.join(wanted, F.col("doc_id") == F.col("id")).select("centre", "part", "member", "text")
-    rows = rows.repartition("centre", "part").sortWithinPartitions("centre", "part", F.col("member").asc_nulls_first())
-    return rows.mapInArrow(_verify(n, percent), "a long, b long")
+def dealt(pairs: DataFrame, *by: str) -> DataFrame:
+    """centre, by, part, member (null: the centre itself) and class, whose sketch or text is wanted: the centre's once for SPREAD members."""
+    sizes = pairs.groupBy("centre", *by).agg(F.count("*").alias("members"))
+    rows = pairs.join(sizes, ["centre", *by]).withColumn("part", F.pmod(F.xxhash64("member"), F.ceil(F.col("members") / SPREAD)).cast("int"))
+    rows = rows.select("centre", *by, "part", "member", F.col("member").alias("class"))
+    return rows.unionByName(rows.select("centre", *by, "part", F.lit(None).cast("long").alias("member"), F.col("centre").alias("class")).distinct())
+
+
+class Join:
+    """The steps of linked(): documents, their classes, and where tables of the steps are kept."""
+
+    def __init__(self, docs: DataFrame, n: int, percent: int) -> None:
+        self.source, self.n, self.percent, self.scratch = texts(docs), n, percent, Scratch(docs.sparkSession)
+        sets = materialize(self.source.mapInArrow(_classes(n), "doc_id long, n long, class long"), "sets")
+        # a document without words is a class of its own, without keys
+        self.sets = sets.withColumn("class", F.coalesce("class", F.xxhash64(F.lit("none"), "doc_id")))
+        self.classes = materialize(self.sets.groupBy("class").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.count("*").alias("rows")), "classes")
+
+    def texts_of(self, classes: DataFrame) -> DataFrame:
+        """Texts of the classes' first documents, and of few others, which callers tell by their class."""
+        reps = self.classes.where("n > 0").join(classes.select("class").distinct(), "class", "left_semi") if classes is not self.classes else self.classes.where("n > 0")
+        return maybe_in(self.source, reps.select(F.col("rep").alias("doc_id")))
+
+    def groups(self) -> DataFrame:
+        """key, class, band, centre of all that share a piece that counts; pieces with the same members are one key."""
+        packed = self.scratch.table(self.texts_of(self.classes).mapInArrow(_keys(self.n, self.percent), "class long, band int, most int, keys array<long>"), "keys")
+        keys = packed.select("class", "band", "most", F.size("keys").alias("total"), F.explode("keys").alias("key"))
+        shared = self.scratch.table(keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "shared")
+        rows = maybe_in(keys, shared, "key").join(shared, "key").distinct()
+        own = Window.partitionBy("class", "band")
+        rows = rows.withColumn("alone", F.col("total") - F.count("*").over(own)).withColumn("rank", F.row_number().over(own.orderBy("size", "key")))
+        rows = self.scratch.table(rows.where("most < 0 OR rank <= most - alone").select("key", "class", "band"), "rare")
+        # near copies share many pieces: keys with the same members are one group (and groups that a chance makes one are a larger one)
+        met = rows.groupBy("key").agg(F.min("class").alias("centre"), F.bit_xor(F.xxhash64("class")).alias("members"), F.count("*").alias("size")).where("size > 1")
+        rows = rows.join(met, "key").select(F.xxhash64("members", "size", "band").alias("key"), "class", "band").distinct()
+        rows = self.scratch.table(rows, "groups")
+        return rows.join(rows.groupBy("key").agg(F.min("class").alias("centre"), F.count("*").alias("size")), "key")
+
+    def near(self, pairs: DataFrame) -> DataFrame:
+        """Of pairs (centre, member, band) those that whole sketches allow."""
+        wanted = self.scratch.table(dealt(pairs, "band"), "wanted")
+        self.sketches = self.scratch.table(self.texts_of(wanted).mapInArrow(_sketches(self.n, self.percent), "sketch_class long, sketch_band int, n int, sketch binary"), "sketches")
+        rows = wanted.join(self.sketches, (F.col("class") == F.col("sketch_class")) & (F.col("band") == F.col("sketch_band")))
+        rows = rows.select("centre", "band", "part", "member", "n", "sketch").repartition("centre", "band", "part").sortWithinPartitions("centre", "band", "part", F.col("member").asc_nulls_first())
+        return rows.mapInArrow(_near(self.percent), "centre long, member long").distinct()
+
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        """Of pairs (centre, member) those whose texts link."""
+        wanted = self.scratch.table(dealt(pairs), "pairs")
+        sent = self.texts_of(wanted).mapInArrow(_packed(self.n), "sent_class long, text binary")
+        rows = wanted.join(sent, F.col("class") == F.col("sent_class")).select("centre", "part", "member", "text")
+        rows = rows.repartition("centre", "part").sortWithinPartitions("centre", "part", F.col("member").asc_nulls_first())
+        return self.scratch.table(rows.mapInArrow(_verify(self.n, self.percent), "a long, b long").distinct(), "verified")
+
+    def links(self) -> DataFrame:
+        """Pairs of classes that join all classes that links join."""
+        groups = self.scratch.table(self.groups(), "met")
+        links = self.verified(self.near(groups.where("centre <> class").select("centre", F.col("class").alias("member"), "band").distinct()))
+        place, schema = ["key", "low", "high"], "key long, low int, high int, centre long, member long"
+        struck, most = groups.sparkSession.createDataFrame([], schema), 1
+        left = None  # the block pairs of which a pair failed: of all others, what may link is joined
+        while left is None or not left.isEmpty():
+            found = components(links).select(F.col("node").alias("found_class"), "component")
+            # a group of two is the centre and its member, and settled
+            rows = groups.where("size > 2") if left is None else groups.join(left.select("key").distinct(), "key", "left_semi")
+            rows = rows.join(found, F.col("class") == F.col("found_class"), "left").select("key", "class", "band", F.coalesce("component", "class").alias("component"))
+            still = rows.groupBy("key").agg(F.min("component").alias("first"), F.max("component").alias("last")).where("first <> last").select("key")
+            rows = rows.join(still, "key", "left_semi").join(self.sketches, (F.col("class") == F.col("sketch_class")) & (F.col("band") == F.col("sketch_band")))
+            rows = self.scratch.table(rows.select("key", "class", "component", "n", "sketch"), "open")
+            sizes = rows.groupBy("key").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
+            rows = rows.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+            rows = rows.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
+            rows = rows if left is None else rows.join(left, place, "left_semi")
+            across = self.scratch.table(rows.groupBy(*place).cogroup(struck.groupBy(*place)).applyInArrow(_forests(self.percent, most), schema), "across")
+            if across.isEmpty():
+                break
+            more = self.verified(across.select("centre", "member").distinct())
+            failed = self.scratch.table(across.join(more, (F.col("centre") == F.col("a")) & (F.col("member") == F.col("b")), "left_anti"), "struck")
+            links, struck, most, left = links.unionByName(more), struck.unionByName(failed), most * 8, failed.select(*place).distinct()
+        return links
+
+    def labels(self) -> DataFrame:
+        """class, component of all classes that others, or other rows, share an id with."""
+        ids = self.sets.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high")
+        same = self.sets.join(ids, "doc_id").where("low <> class").select(F.col("low").alias("a"), F.col("class").alias("b"))
+        found = components(self.links().unionByName(same)).withColumnRenamed("node", "class")
+        rows = self.classes.join(found, "class", "left").select("class", "rep", "rows", F.coalesce("component", "class").alias("root"), F.col("component").isNotNull().alias("linked"))
+        least = rows.where("linked").groupBy("root").agg(F.min("rep").alias("component"))
+        rows = rows.where("linked OR rows > 1").join(least, "root", "left").select("class", F.coalesce("component", "rep").alias("component"))
+        return materialize(rows, "labels")
 
 
 def linked(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
@@ -262,51 +413,39 @@ def linked(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     component_id is the smallest doc_id that links reach, itself included. Words are runs without
     white space, A-Z lower-cased; with fewer than n words the whole sequence is the set. Null and blank
     texts have empty sets, n_shingles 0, and link with nothing. Rows that repeat a doc_id each get a row,
-    and count as one document of which any text can link. Other columns are ignored; an empty table
+    and count as one document of which any text can link. Rows of null doc_id are documents each, whose
+    component_id is that of what they link with, or null. Other columns are ignored; an empty table
     gives an empty result.
     """
-    source = texts(docs)
-    sets = materialize(source.mapInArrow(_classes(n), "doc_id long, n long, class binary"), "sets")
-    named = sets.where(F.col("class").isNotNull()).groupBy("class").agg(F.min("doc_id").alias("rep"))
-    reps = materialize(named, "classes")
-    # one document stands for each set; a few others slip through the filter and are dropped by the join of ids
-    firsts = maybe_in(source, reps.select(F.col("rep").alias("doc_id")))
-    keys = firsts.mapInArrow(_keys(n, percent), "key long, doc_id long, band int")
-    # near copies share many pieces: keys with the same members are one group (and groups that a chance makes one are a larger one)
-    meet = Window.partitionBy("key")
-    same = keys.withColumn("size", F.count("*").over(meet)).withColumn("members", F.bit_xor(F.xxhash64("doc_id")).over(meet)).where("size > 1")
-    groups = same.select(F.xxhash64("members", "size", "band").alias("key"), "doc_id", "band").distinct()
-    groups = materialize(groups.withColumn("centre", F.min("doc_id").over(Window.partitionBy("key"))), "groups")
-    pairs = groups.where("centre <> doc_id").select("centre", F.col("doc_id").alias("member")).distinct()
-    links = materialize(verified(pairs, source, n, percent), "verified")
-    tried = materialize(pairs.join(links, (F.col("centre") == F.col("a")) & (F.col("member") == F.col("b")), "left_anti"), "struck")
-    for every in (False, True):
-        found = components(links).select(F.col("node").alias("found_id"), "component")
-        rows = groups.join(found, F.col("doc_id") == F.col("found_id"), "left").select("key", "doc_id", "band", F.coalesce("component", "doc_id").alias("component"))
-        # a group of two is the centre and its member, and settled
-        still = rows.groupBy("key").agg(F.min("component").alias("first"), F.max("component").alias("last"), F.count("*").alias("size")).where("first <> last AND size > 2")
-        still = still.select(F.col("key").alias("open_key"), F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-        rows = materialize(rows.join(still, F.col("key") == F.col("open_key")).drop("open_key"), "open")
-        sketches = maybe_in(source, rows.select("doc_id")).mapInArrow(_sketches(n, percent), "sketch_id long, sketch_band int, n int, sketch binary")
-        struck = tried.select("centre", "member").unionByName(tried.select(F.col("member").alias("centre"), F.col("centre").alias("member"))).groupBy(F.col("centre").alias("struck_id")).agg(F.collect_set("member").alias("struck"))
-        rows = rows.join(sketches, (F.col("doc_id") == F.col("sketch_id")) & (F.col("band") == F.col("sketch_band"))).join(struck, F.col("doc_id") == F.col("struck_id"), "left")
-        rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        rows = rows.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "doc_id", "component", "n", "sketch", "struck")
-        dealt = rows.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "doc_id")
-        across = materialize(dealt.mapInArrow(functools.partial(_forests, percent=percent, every=every), "centre long, member long").distinct(), "across")
-        more = materialize(verified(across, source, n, percent), "verified")
-        failed = materialize(across.join(more, (F.col("centre") == F.col("a")) & (F.col("member") == F.col("b")), "left_anti"), "struck")
-        links, tried = links.unionByName(more), tried.unionByName(failed)
-        if failed.isEmpty():
-            break
-    edges = links.unionByName(sets.join(reps, "class").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")))
-    whole = components(edges)
-    return sets.join(whole, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    join = Join(docs, n, percent)
+    labels = join.labels()
+    join.scratch.clear()
+    return join.sets.join(labels, "class", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def _with_class(n: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = shingle_sets([t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()], n)
+            yield batch.append_column("__class", pa.array(map(class_of, found), pa.int64()))
+
+    return run
 
 
 def keep_first(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
-    """Of each component of linked() the document with the smallest id, with its columns, and all that link with nothing."""
-    return without(docs, linked(docs, n, percent).where("doc_id <> component_id").select("doc_id"))
+    """Of each component of linked() the document with the smallest id, with its columns, and all that link with nothing.
+
+    Rows that repeat a doc_id are one document, and stay or go together. A row of null doc_id goes where
+    it links with a known document.
+    """
+    join = Join(docs, n, percent)
+    labels = join.labels()
+    join.scratch.clear()
+    gone = materialize(join.sets.join(labels, "class").where("doc_id <> component").select("doc_id").distinct(), "gone")
+    known = without(docs.where("doc_id IS NOT NULL"), gone)
+    nameless = docs.where("doc_id IS NULL").mapInArrow(_with_class(n), T.StructType([*docs.schema.fields, T.StructField("__class", T.LongType())]))
+    nameless = nameless.join(labels.where("component IS NOT NULL").select(F.col("class").alias("__class")), "__class", "left_anti").select(docs.columns)
+    return known.unionByName(nameless)
 
 
 ORACLE = r"""

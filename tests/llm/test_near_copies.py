@@ -10,7 +10,7 @@ from prismlake.llm import jaccard
 
 
 def keys(sets, percent):
-    return {(band, int(k)) for band, ks in jaccard.pieces(sets, percent) for k in ks}
+    return {(band, int(k)) for band, _, ks in jaccard.pieces(sets, percent) for k in ks}
 
 
 def numbers(gen, n):
