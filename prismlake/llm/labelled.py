@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 FOLDS = 5
@@ -19,17 +19,20 @@ def training_labels(labels: DataFrame, label: str) -> DataFrame:
     return rows.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col(label).cast("int")).alias("y"))
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, most: dict[int | None, int]) -> tuple[list[tuple[int, bytes]], dict[int, int]]:
-    """(y, text) of at most most[y] rows of each label (of all labels under None), by the hash of the id, and the fold's counts.
+#: Bytes of text in a sample, at most (and one text more of each label).
+SAMPLE_BYTES = 64 << 20
+
+
+def sample(docs: DataFrame, labels: DataFrame, label: str, most: dict[int | None, int], most_bytes: int = SAMPLE_BYTES) -> list[tuple[int, bytes]]:
+    """(y, text) of at most most[y] rows of each label (of all labels under None), whole texts by the hash of their ids up to most_bytes.
 
     The sample is what the driver fits on; its size is a parameter, whatever the size of the tables.
     """
-    fold = training_labels(labels, label)
-    counts = {r.y: r["count"] for r in fold.groupBy("y").count().collect()}
-    picked = None
+    fold, picked = training_labels(labels, label), None
     for y, n in most.items():
-        part = (fold if y is None else fold.where(F.col("y") == y)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
+        part = (fold if y is None else fold.where(F.col("y") == y)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n).withColumn("part", F.lit(-1 if y is None else y))
         picked = part if picked is None else picked.unionByName(part)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    rows = texts.join(F.broadcast(picked), "doc_id").select("y", "doc_id", "text").collect()
-    return [(r.y, r.text.encode()) for r in sorted(rows, key=lambda r: (r.doc_id, r.text))], counts
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id")
+    before = Window.partitionBy("part").orderBy(F.xxhash64("doc_id"), "doc_id", "text").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("before", F.coalesce(F.sum(F.octet_length("text")).over(before), F.lit(0))).where(F.col("before") < most_bytes // len(most))
+    return [(r.y, r.text.encode()) for r in sorted(rows.select("y", "doc_id", "text").collect(), key=lambda r: (r.doc_id, r.text))]

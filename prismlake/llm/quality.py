@@ -98,7 +98,11 @@ class Model:
         scores, k = [], min(NEIGHBOURS, len(self.labels))
         for a in range(0, len(vectors), block):
             cosines = vectors[a : a + block] @ self.vectors.T
-            near = np.argpartition(-cosines, k - 1, axis=1)[:, :k]
+            # of equal cosines the first in the sample's order, by id: all above the k-th, then of its equals so many as are missing
+            kth = np.partition(cosines, len(self.labels) - k, axis=1)[:, len(self.labels) - k, None]
+            above, equal = cosines > kth, cosines == kth
+            take = above | (equal & (np.cumsum(equal, axis=1) <= k - above.sum(axis=1, keepdims=True)))
+            near = np.nonzero(take)[1].reshape(len(cosines), k)
             weights = np.maximum(np.take_along_axis(cosines, near, axis=1), 1e-3) ** SHARPNESS
             scores.append((weights * self.labels[near]).sum(axis=1) / weights.sum(axis=1))
         scores = np.concatenate(scores) if scores else np.empty(0)
@@ -138,9 +142,11 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataF
     """doc_id, held_out, score, predicted of every row.
 
     Null and blank texts have no features and get the mean label; without training rows all scores are 0.
+    Neighbours of equal cosine count in the order of their ids. Texts of any length count whole.
     Repeated rows are scored each; labels of unknown documents, nulls and other columns are ignored.
+    Empty documents give an empty result.
     """
-    rows, _ = sample(docs, labels, "quality", {None: SAMPLE})
+    rows = sample(docs, labels, "quality", {None: SAMPLE})
     model = fit(rows, inverse_frequencies(docs)) if rows else None
     out = texts(docs).mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(model)), "doc_id long, score double")
     return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

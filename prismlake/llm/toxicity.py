@@ -3,7 +3,8 @@
 The ordinary dictionary is trained on windows of ordinary documents. The toxic one continues it with
 what the trainer makes of the segments that set toxic documents apart, so that both treat ordinary
 text alike and a window's gain, the bytes that the toxic dictionary saves, comes from toxic text only.
-A logistic curve over a document's gains, calibrated on the labelled sample, is its score.
+A logistic curve over a document's gains is its score. It is fitted on gains under dictionaries that
+did not see the document, and shifted so that the cut which these gains call for lies at 0.5.
 """
 
 from __future__ import annotations
@@ -23,26 +24,35 @@ from pyspark.sql import functions as F
 from .common import FOLD, texts
 from .labelled import held_out, sample
 
-#: Labelled rows that the driver fits on, at most.
+#: Labelled rows that the driver fits on, at most (and labelled.SAMPLE_BYTES of text).
 SAMPLE = {1: 2000, 0: 5000}
-WINDOW_WORDS = 8
+#: Windows of ordinary text that the ordinary dictionary is trained on, at most.
+DICTIONARY_WINDOWS = 20_000
+#: Parts of the sample whose gains are measured under dictionaries of the others.
+PARTS = 4
+#: The cut makes caught share - this * share of false alarms largest.
+FALSE_ALARM_COST = 2.0
+#: Words to a window, and bytes: what has no white space is cut, too.
+WINDOW_WORDS, WINDOW_BYTES = 8, 4096
 #: zstandard looks for no match in a block's last bytes: every window ends in these.
 TAIL = b"\n" * 12
+#: Sizes of the ordinary dictionary, and of what the trainer adds to the toxic one, where all significant segments stand besides.
 ORDINARY_BYTES, TOXIC_BYTES = 32768, 1024
 #: Matches of under 6 bytes are syllables that any text shares; a roomy hash table finds all others.
-PARAMETERS = {"strategy": zstandard.STRATEGY_FAST, "min_match": 6, "hash_log": 17, "window_log": 17, "write_content_size": False, "write_checksum": False, "write_dict_id": False}
-#: Word starts of 4 to 11 bytes, with the blank before them, are candidates; a likelihood ratio (G2) above this is no chance.
+PARAMETERS = {"strategy": zstandard.STRATEGY_FAST, "min_match": 6, "hash_log": 17, "write_content_size": False, "write_checksum": False, "write_dict_id": False}
+#: Whole words and their starts of 4 to 11 bytes, with the blanks around them, are candidates; a likelihood ratio (G2) above this is no chance.
 SHORTEST, LONGEST, SIGNIFICANT, LEAST = 5, 12, 25.0, 4
 
 
 def windows(text: bytes, n: int = WINDOW_WORDS) -> list[bytes]:
     words = text.translate(FOLD).split()
-    return [b" " + b" ".join(words[k : k + n]) + TAIL for k in range(0, len(words), n)]
+    whole = (b" " + b" ".join(words[k : k + n]) for k in range(0, len(words), n))
+    return [w[k : k + WINDOW_BYTES] + TAIL for w in whole for k in range(0, len(w), WINDOW_BYTES)]
 
 
 def _starts(word: bytes) -> list[bytes]:
     word = b" " + word + b" "
-    return [word[:k] for k in range(SHORTEST, min(len(word), LONGEST) + 1)]
+    return [word[:k] for k in range(SHORTEST, min(len(word), LONGEST) + 1)] + [word] * (len(word) > LONGEST)
 
 
 def _counts(docs: list[bytes]) -> Counter:
@@ -61,10 +71,9 @@ def _surprise(a: int, b: int, n: int, m: int) -> float:
     return 2 * sum(x * math.log(x / expected) for x, expected in cells if x)
 
 
-def segments(toxic: list[bytes], ordinary: list[bytes]) -> Counter:
-    """Word starts that set toxic documents apart, with their counts: the most surprising, then longest, one of each word."""
-    a, b = _counts(toxic), _counts(ordinary)
-    worth = {p: g for p, k in a.items() if k >= LEAST and (g := _surprise(k, b[p], len(toxic), len(ordinary))) > SIGNIFICANT}
+def segments(toxic: list[bytes], a: Counter, b: Counter, m: int) -> Counter:
+    """Segments that set toxic documents (a counts theirs) apart from m ordinary ones (b), with their counts: the most surprising, then longest, one of each word."""
+    worth = {p: g for p, k in a.items() if k >= LEAST and (g := _surprise(k, b[p], len(toxic), m)) > SIGNIFICANT}
     found: Counter = Counter()
     for text in toxic:
         for w in text.translate(FOLD).split():
@@ -91,7 +100,7 @@ class Model:
         made = []
         for content in (self.ordinary, self.toxic):
             d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            how = zstandard.ZstdCompressionParameters(**PARAMETERS)
+            how = zstandard.ZstdCompressionParameters(**PARAMETERS, window_log=max(17, (len(content) + WINDOW_BYTES).bit_length()))
             d.precompute_compress(compression_params=how)
             made.append(zstandard.ZstdCompressor(compression_params=how, dict_data=d))
         return tuple(made)
@@ -117,28 +126,50 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     return w
 
 
-def fit(rows: list[tuple[int, bytes]], counts: dict[int, int], seed: int = 1) -> Model | None:
+def _dictionaries(base: bytes, toxic: list[bytes], a: Counter, b: Counter, m: int, rng: random.Random) -> Model:
+    found = segments(toxic, a, b, m)
+    drawn = [p for p, k in found.items() for _ in range(k)]
+    rng.shuffle(drawn)
+    extra = _train(TOXIC_BYTES, [b"".join(drawn[k : k + 8]) for k in range(0, len(drawn), 8)], k=24, d=8)
+    # the trainer may leave out a rare segment: all stand once, the commonest last, where offsets are short
+    return Model(base, base + extra + b"".join(p for p, _ in reversed(found.most_common())))
+
+
+def best_cut(chance: np.ndarray, y: np.ndarray, cost: float = FALSE_ALARM_COST) -> float:
+    """The chance from which on a document counts as toxic: midway below the least that makes caught share - cost * false alarms largest."""
+    order = np.argsort(-chance, kind="stable")
+    p, t = chance[order], y[order]
+    worth = np.cumsum(t) / max(1, t.sum()) - cost * np.cumsum(1 - t) / max(1, (1 - t).sum())
+    last = np.flatnonzero(np.append(p[1:] != p[:-1], True))  # equal chances fall on one side
+    k = last[worth[last].argmax()]
+    return float(p[k] + (p[k + 1] if k + 1 < len(p) else 0)) / 2
+
+
+def fit(rows: list[tuple[int, bytes]], seed: int = 1) -> Model | None:
     """None where a label has no rows."""
     toxic, ordinary = [t for y, t in rows if y == 1], [t for y, t in rows if y == 0]
     if not toxic or not ordinary:
         return None
     rng = random.Random(seed)
     plain = [w[: -len(TAIL)] for t in ordinary for w in windows(t)]
-    base = _train(ORDINARY_BYTES, rng.sample(plain, min(len(plain), 20_000)))
-    found = segments(toxic, ordinary)
-    drawn = [p for p, k in found.items() for _ in range(k)]
-    rng.shuffle(drawn)
-    extra = _train(TOXIC_BYTES, [b"".join(drawn[k : k + 8]) for k in range(0, len(drawn), 8)], k=24, d=8)
-    # the trainer may leave out a rare segment: all stand once, the commonest last, where offsets are short
-    model = Model(base, base + extra + b"".join(p for p, _ in reversed(found.most_common()))[-TOXIC_BYTES:])
-    compressors = model.compressors()
-    x = np.array([(1.0, *features(t, compressors)) for _, t in rows])
-    y = np.array([float(k) for k, _ in rows])
+    base = _train(ORDINARY_BYTES, rng.sample(plain, min(len(plain), DICTIONARY_WINDOWS)))
+    rng.shuffle(toxic)
+    rng.shuffle(ordinary)
+    counts = [(_counts(toxic[k::PARTS]), _counts(ordinary[k::PARTS])) for k in range(PARTS)]
+    a, b = sum((c[0] for c in counts), Counter()), sum((c[1] for c in counts), Counter())
+    x, y = [], []
+    for k, (own_a, own_b) in enumerate(counts):
+        others = [t for i, t in enumerate(toxic) if i % PARTS != k]
+        held = _dictionaries(base, others, a - own_a, b - own_b, len(ordinary) - len(ordinary[k::PARTS]), rng).compressors()
+        for label, texts_ in ((1.0, toxic[k::PARTS]), (0.0, ordinary[k::PARTS])):
+            x += [(1.0, *features(t, held)) for t in texts_]
+            y += [label] * len(texts_)
+    model, x, y = _dictionaries(base, toxic, a, b, len(ordinary), rng), np.array(x), np.array(y)
     scale = np.maximum(x.std(axis=0), 1e-9)
     scale[0] = 1.0
     w = _logistic(x / scale, y) / scale
-    # the sample's rates differ from the fold's
-    w[0] += math.log(counts[1] / counts[0]) - math.log(len(toxic) / len(ordinary))
+    cut = min(max(best_cut(1 / (1 + np.exp(-np.clip(x @ w, -30, 30))), y), 1e-9), 1 - 1e-9)
+    w[0] -= math.log(cut / (1 - cut))
     return Model(model.ordinary, model.toxic, tuple(w))
 
 
@@ -162,18 +193,20 @@ def _score(shared):
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """doc_id, held_out, score, predicted of every row.
 
-    Null and empty texts have no windows and get the score of no gain. Without toxic or without ordinary
-    training rows nothing can be learnt and scores are 0. Repeated rows are scored each; labels of
-    unknown documents, nulls and other columns are ignored.
+    Null and empty texts have no windows and get the score of no gain. Texts of any length are scored
+    whole. Equal texts get equal scores. Without toxic or without ordinary training rows nothing can be
+    learnt and scores are 0. Repeated rows are scored each; labels of unknown documents, nulls and other
+    columns are ignored; of a document with several labels the larger counts. Empty documents give an
+    empty result.
     """
-    model = fit(*sample(docs, labels, "toxic", SAMPLE))
+    model = fit(sample(docs, labels, "toxic", SAMPLE))
     out = texts(docs).mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(model)), "doc_id long, score double")
     return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The documents that are not toxic, with their columns: texts are scored where they are, none is shuffled."""
-    model = fit(*sample(docs, labels, "toxic", SAMPLE))
+    model = fit(sample(docs, labels, "toxic", SAMPLE))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
