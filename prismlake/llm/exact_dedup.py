@@ -19,12 +19,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, materialize, maybe_in, texts, without
+from .common import LOWER, UPPER, fold, materialize, maybe_in, texts, without
 
 #: Hashes to one owner at most, on average.
 OWNER_HASHES = 2_000_000
 #: Bits of a fingerprint beyond log2 of the row count: one row in 2**10 is a false suspect.
 EXTRA_BITS = 10
+#: Bits of the suspects' filter for each of them, and at most (32 MB): with more suspects it lets others through to the shuffle, too.
+FILTER_ROOM, MOST_FILTER_BITS = 32, 1 << 28
+#: Groups of copies that are broadcast, at most.
+MOST_HOT = 10_000
 
 
 def rice_encode(values: np.ndarray, shift: int) -> bytes:
@@ -61,19 +65,19 @@ def _send(bits: int, owners: int):
             for t in fold(batch.column("text").to_pylist()):
                 prints.append(xxhash.xxh3_64_intdigest(t) >> (64 - bits))
                 shas.append(hashlib.sha256(t).digest())
-            ids.append(batch.column("doc_id").to_numpy(zero_copy_only=False))
+            ids.append(batch.column("doc_id"))
         if not prints:
             return
         sender, fp = TaskContext.get().partitionId(), np.array(prints, np.uint64)
         order = np.argsort(fp, kind="stable")
-        fp, owner, ids = fp[order], (fp[order] // np.uint64(span)).astype(np.int32), np.concatenate(ids)[order]
+        fp, owner, ids = fp[order], (fp[order] // np.uint64(span)).astype(np.int32), pa.chunked_array(ids).combine_chunks().take(pa.array(order))
         starts = np.flatnonzero(np.diff(owner, prepend=-1))
         sizes = np.diff(starts, append=len(fp))
         null = lambda n, kind: pa.nulls(n, kind)
         for a in range(0, len(fp), 10_000):
             b = min(a + 10_000, len(fp))
             pos = np.arange(a, b) - np.repeat(starts, sizes)[a:b]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(b - a, sender, np.int32)), pa.array(owner[a:b]), pa.array(pos.astype(np.int32)), pa.array(ids[a:b]), pa.array([shas[k] for k in order[a:b]], pa.binary()), null(b - a, pa.int32()), null(b - a, pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(b - a, sender, np.int32)), pa.array(owner[a:b]), pa.array(pos.astype(np.int32)), ids.slice(a, b - a), pa.array([shas[k] for k in order[a:b]], pa.binary()), null(b - a, pa.int32()), null(b - a, pa.binary())], schema=schema)
         shifts, payloads = [], []
         for a, n in zip(starts, sizes, strict=True):
             low = np.uint64(int(owner[a]) * span)
@@ -104,7 +108,8 @@ def exact_groups(docs: DataFrame) -> DataFrame:
 
     Texts are equal when their bytes are, after lower-casing A-Z; null counts as empty, so nulls and
     empty texts form one group. The largest doc_id of a group stays; of repeated rows with that
-    doc_id all have kept = true. Other columns are ignored; an empty table gives an empty result.
+    doc_id all have kept = true. A null doc_id is less than all others, and stays where a group has no
+    other. Other columns are ignored; an empty table gives an empty result.
     """
     spark, source = docs.sparkSession, texts(docs)
     n = max(1, docs.count())
@@ -117,17 +122,35 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     answers = messages.groupBy("owner").applyInPandas(_answer, "sender int, owner int, bitmap binary")
     byte = F.conv(F.hex(F.expr("substring(bitmap, pos div 8 + 1, 1)")), 16, 10).cast("int")
     twice = byte.bitwiseAND(F.pow(F.lit(2), F.col("pos") % 8).cast("int")) != 0
-    suspects = prints.join(answers, ["sender", "owner"]).where(twice).select("doc_id")
+    suspects = materialize(prints.join(answers, ["sender", "owner"]).where(twice).select("doc_id"), "suspects")
     # the texts of suspects (and of few others, which are alone in their group) meet by their bytes
-    same = maybe_in(source, suspects).mapInArrow(_normalised, "doc_id long, norm binary").groupBy("norm").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")).where("group_size > 1")
-    same = same.select(F.unhex(F.sha2("norm", 256)).alias("sha"), "keep_id", "group_size")
-    keep = F.coalesce("keep_id", "doc_id")
-    return prints.join(same, "sha", "left").select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), (keep == F.col("doc_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
+    room = min(MOST_FILTER_BITS, 1 << max(16, (FILTER_ROOM * suspects.count()).bit_length()))
+    same = maybe_in(source, suspects, bits=room).mapInArrow(_normalised, "doc_id long, norm binary").groupBy("norm").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")).where("group_size > 1")
+    same = materialize(same.select(F.unhex(F.sha2("norm", 256)).alias("sha"), "keep_id", "group_size"), "groups")
+    # at most MOST_HOT groups hold more than this share of the rows: they are broadcast, and no task gets all rows of one
+    hot = F.broadcast(same.where(F.col("group_size") > n / MOST_HOT))
+    rows = prints.join(hot, "sha").unionByName(prints.join(hot, "sha", "left_anti").join(same, "sha", "left"), allowMissingColumns=True)
+    keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
+    return rows.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), keep.eqNullSafe(F.col("doc_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
 
 
 def keep_last(docs: DataFrame) -> DataFrame:
-    """The documents that stay, with their columns, by exact_groups(); a doc_id stands for one document."""
-    return without(docs, exact_groups(docs).where("NOT kept").select("doc_id"))
+    """The rows that stay, with their columns: of each group of equal texts one of the largest doc_id, by exact_groups().
+
+    Where a doc_id stands for one row, that row goes by its id; rows of repeated and null ids go by their digests.
+    """
+    groups = materialize(exact_groups(docs), "exact")
+    gone = groups.where("NOT kept").select("doc_id")
+    odd = materialize(groups.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").select("doc_id"), "odd")
+    if odd.isEmpty():
+        return without(docs, gone)
+    regular = without(docs.where("doc_id IS NOT NULL"), gone.unionByName(odd).where("doc_id IS NOT NULL"))
+    rows = maybe_in(docs, odd).join(odd.select(F.col("doc_id").alias("__odd")), F.col("doc_id").eqNullSafe(F.col("__odd"))).drop("__odd")
+    rows = rows.withColumn("__sha", F.sha2(F.translate(F.coalesce(F.col("text"), F.lit("")), UPPER, LOWER), 256))
+    of = groups.where("group_size > 1").select(F.col("text_sha256").alias("__sha"), F.col("keep_id").alias("__keep")).distinct()
+    alone = rows.join(of, "__sha", "left_anti")
+    first = rows.join(of, "__sha").where(F.col("doc_id").eqNullSafe(F.col("__keep"))).dropDuplicates(["__sha"])
+    return regular.unionByName(alone.select(docs.columns)).unionByName(first.select(docs.columns))
 
 
 ORACLE = """
