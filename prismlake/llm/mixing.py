@@ -7,14 +7,16 @@ ranges of a source, then inside each range, so no task sees more than one range
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: Hex digits of the key that make a range: 16 ** 3 ranges to a source.
-RANGE_DIGITS = 3
+#: Documents to a range, on average, were all of one source: keys are cut behind so many hex digits.
+RANGE_ROWS = 100_000
 
 
 def sized(docs: DataFrame, seed: int) -> DataFrame:
@@ -53,7 +55,9 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
     are missing. A text that is null or blank has size 0 and gives none. Rows that repeat a doc_id each
     count; reruns agree. Other columns are ignored; an empty table gives an empty result.
     """
-    d = materialize(sized(docs, seed).withColumn("range", F.substring("key", 1, RANGE_DIGITS)), "sizes")
+    d = materialize(sized(docs, seed), "sizes")
+    digits = max(3, math.ceil(math.log(max(1, d.count() / RANGE_ROWS), 16)))
+    d = d.withColumn("range", F.substring("key", 1, digits))
     parts = d.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
     goal = targets(parts.groupBy("source").agg(F.sum("range_size").alias("source_size")), weights, share, most)
     budget = F.round("target").cast("long")

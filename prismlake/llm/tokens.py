@@ -4,6 +4,7 @@ are joined to sections of the text; a rule allocates tokens that cross a boundar
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,10 +35,25 @@ def encoding(path: str) -> tuple[tiktoken.Encoding, np.ndarray]:
     return _loaded[path]
 
 
-def token_ends(text: str, path: str) -> np.ndarray:
-    """Byte offsets at which the text's tokens end."""
+#: White space of the pre-tokenizer; in a run of as many the search for its end overflows, and it is cut out before.
+LONG_RUN = 1000
+WHITE = r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+
+
+def token_ends(text: str, path: str, long_run: int = LONG_RUN) -> np.ndarray:
+    """Byte offsets at which the text's tokens end.
+
+    A run of white space is one pre-token but for its last character, which belongs to what follows;
+    so a long run is encoded as that piece, and the text before and behind it as ever.
+    """
     enc, sizes = encoding(path)
-    return np.cumsum(sizes[enc.encode_to_numpy(text, disallowed_special=())]) if text else np.empty(0, np.int64)
+    parts, at = [], 0
+    for run in re.finditer(f"{WHITE}{{{long_run},}}", text):
+        stop = run.end() if run.end() == len(text) else run.end() - 1
+        parts += [enc.encode_to_numpy(text[at : run.start()], disallowed_special=()), np.array(enc._encode_single_piece(text[run.start() : stop]), np.int64)]
+        at = stop
+    parts.append(enc.encode_to_numpy(text[at:], disallowed_special=()))
+    return np.cumsum(sizes[np.concatenate(parts).astype(np.int64)])
 
 
 def allocate(ends: np.ndarray, starts: np.ndarray, stops: np.ndarray, rule: str) -> tuple[np.ndarray, np.ndarray]:
@@ -116,7 +132,7 @@ def attribute(docs: DataFrame, sections: DataFrame | None = None, rule: str = "m
     """doc_id, section (by start), start and end in code points, n_tokens, n_crossing, doc_tokens of every section.
 
     sections has doc_id, start, end; without it a document's lines are its sections. Rules: allocate().
-    Without gaps a document's n_tokens sum up to doc_tokens. Null and empty texts have one empty section of no tokens;
+    Without gaps a document's n_tokens sum up to doc_tokens. Long texts are encoded whole. Null and empty texts have one empty section of no tokens;
     documents that sections doesn't list have none. Sections reach to the text's end at most, and
     one that overlaps another starts where that ends. Rows that repeat a doc_id are counted each; other
     columns are ignored.
