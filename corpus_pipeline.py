@@ -2,7 +2,10 @@
 
 Toxic documents go, of equal texts the one with the largest id stays, of near copies the one with the
 smallest, contaminated documents go, and the last stage deals the sources' words to the mix: a row for
-each document that came so far, with the words that the mix takes of it.
+each document of which the mix takes words.
+
+All stages take null and empty texts, texts of any length, null and repeated ids, and other columns,
+which stay; of an empty table nothing comes out. What the operators say of such rows holds here.
 """
 
 from __future__ import annotations
@@ -22,27 +25,32 @@ NEAR_WORDS, NEAR_PERCENT = 5, 80
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the documents that score below 0.5; null and empty texts have no gain, and without labels of both kinds nothing is toxic. Each row counts by its own text."""
     small_batches(spark)
     return toxicity.keep_clean(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one row of each group of equal texts, of the largest id; a null id stays only where a group has no other."""
     small_batches(spark)
     return exact_dedup.keep_last(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the smallest id of each group that links join; texts without words link with nothing. Rows of one id stay or go together; a row of null id goes where it links with a known one."""
     small_batches(spark)
     return jaccard.keep_first(docs, NEAR_WORDS, NEAR_PERCENT)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the documents of which benchmark windows cover less than 5 %, each row by its own text; an empty benchmark hits nothing."""
     small_batches(spark)
     return decontaminate.keep_clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mix(docs)
+    """The documents of the mix, with their words taken; documents of which it takes none are not part of it. A null source is a source."""
+    return mixing.mix(docs).where("taken > 0")
 
 
 STAGES: list[tuple[str, Stage]] = [("toxicity", drop_toxic), ("exact_dedup", drop_copies), ("jaccard_join", drop_near_copies), ("decontamination", drop_contaminated), ("mixing", mix_sources)]
