@@ -22,18 +22,19 @@ def components(links: DataFrame) -> DataFrame:
     """
     pairs = links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     scratch = Scratch(links.sparkSession)
-    edges, before = scratch.table(pairs, "links"), None
+    mark = lambda d: d.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
+    edges = scratch.table(pairs, "links")
+    now = mark(edges)
     while True:
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        large = _least(both).where("v > u").select(F.col("m").alias("a"), F.col("v").alias("b")).where("a <> b").distinct()
+        large = _least(both).where("v > u").select(F.col("m").alias("a"), F.col("v").alias("b")).where("a <> b")
         down = large.select(F.col("b").alias("u"), F.col("a").alias("v"))
         low = _least(down)
         small = low.select(F.col("m").alias("a"), F.col("v").alias("b")).unionByName(low.select(F.col("m").alias("a"), F.col("u").alias("b"))).where("a <> b").distinct()
-        edges = scratch.table(small, "links")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
+        edges, before = scratch.table(small, "links"), now
+        now = mark(edges)
         if now == before:
             break
-        before = now
     found = edges.select(F.col("b").alias("node"), F.col("a").alias("component")).unionByName(edges.select(F.col("a").alias("node"), F.col("a").alias("component")))
     found = materialize(found.groupBy("node").agg(F.min("component").alias("component")), "components")
     scratch.clear()
