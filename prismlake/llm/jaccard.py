@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, Window
@@ -222,12 +223,16 @@ def _sketches(n: int, percent: int):
     return run
 
 
-def forest(ids: list[int], components_: list[int], sizes: np.ndarray, sketches: np.ndarray, sides: np.ndarray | None, percent: int, most: int, struck: set[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Pairs across components within the Hamming distance that their sizes allow, but for those struck: where two components meet, most of them at least, or all there are.
+def forest(ids: list[int], components_: list[int], sizes: np.ndarray, sketches: np.ndarray, sides: np.ndarray | None, percent: int, most: int, asked: dict[tuple[int, int], bool]) -> list[tuple[int, int]]:
+    """Pairs across components within the Hamming distance that their sizes allow: where two components meet, most of them at least, or all there are.
 
-    sides: pairs have one document of either side; None: all pairs.
+    sides: pairs have one document of either side; None: all pairs. asked: pairs asked before, and whether they link.
     """
     _, root = np.unique(components_, return_inverse=True)
+    of = dict(zip(ids, range(len(ids)), strict=True))
+    for (a, b), link in asked.items():
+        if link:
+            root[root == root[of[b]]] = root[of[a]]
     out, places, met = [], np.arange(len(ids)), {}
     for i in range(len(ids)):
         other = places[i + 1 :]
@@ -239,7 +244,7 @@ def forest(ids: list[int], components_: list[int], sizes: np.ndarray, sketches:
         near = other[np.bitwise_count(sketches[other] ^ sketches[i]).sum(axis=1, dtype=np.int64) <= may_differ(sizes[other], sizes[i], percent)]
         for j in near.tolist():
             pair = (min(ids[i], ids[j]), max(ids[i], ids[j]))
-            if root[j] != root[i] and pair not in struck:
+            if root[j] != root[i] and pair not in asked:
                 at = (min(root[i], root[j]), max(root[i], root[j]))
                 met[at] = met.get(at, 0) + 1
                 if met[at] >= most:
@@ -248,21 +253,54 @@ def forest(ids: list[int], components_: list[int], sizes: np.ndarray, sketches:
     return out
 
 
+def _pairs_of(rows: pa.Table, percent: int, most: int) -> list[tuple[int, int]]:
+    """Of one group's block pair: its members, and behind them the pairs asked before (with member)."""
+    before = rows.filter(pa.compute.is_valid(rows.column("member")))
+    rows = rows.filter(pa.compute.is_null(rows.column("member")))
+    ids = np.array(rows.column("class"))
+    if not len(ids):
+        return []
+    rows = rows.filter(pa.array(np.concatenate([[True], ids[1:] != ids[:-1]])))  # a class may have come from several of its documents
+    sides = None if rows.column("low")[0] == rows.column("high")[0] else np.array(rows.column("block")) == rows.column("low")[0].as_py()
+    sketches = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint64).reshape(len(rows), -1)
+    asked = {(a, b): link for a, b, link in zip(*(before.column(c).to_pylist() for c in ("class", "member", "link")), strict=True)}
+    return forest(rows.column("class").to_pylist(), rows.column("component").to_pylist(), np.array(rows.column("n")), sketches, sides, percent, most, asked)
+
+
 def _forests(percent: int, most: int):
-    """Of a group's block pair: its members, and the pairs struck before."""
+    """Rows by group and block pair, each of which is held in memory alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, held, out = None, [], []
 
-    def run(members: pa.Table, struck: pa.Table) -> pa.Table:
-        rows = members.sort_by("class")
-        sides = None if not len(rows) or rows.column("low")[0] == rows.column("high")[0] else np.array(rows.column("block")) == rows.column("low")[0].as_py()
-        sketches = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint64).reshape(len(rows), -1) if len(rows) else np.empty((0, 1), np.uint64)
-        gone = set(zip(struck.column("centre").to_pylist(), struck.column("member").to_pylist(), strict=True))
-        pairs = forest(rows.column("class").to_pylist(), rows.column("component").to_pylist(), np.array(rows.column("n")), sketches, sides, percent, most, gone)
-        place = [pa.array([rows.column(c)[0].as_py()] * len(pairs) if len(rows) else [], kind) for c, kind in (("key", pa.int64()), ("low", pa.int32()), ("high", pa.int32()))]
-        return pa.Table.from_arrays([*place, *(pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1))], names=["key", "low", "high", "centre", "member"])
+        def emit() -> None:
+            pairs = _pairs_of(pa.Table.from_batches(held), percent, most) if sum(map(len, held)) > 1 else []
+            out.extend((*place, *p) for p in pairs)
+
+        for batch in batches:
+            at = np.stack([np.array(batch.column(c), np.int64) for c in ("key", "low", "high")])
+            cuts = np.flatnonzero((at[:, 1:] != at[:, :-1]).any(axis=0)) + 1
+            for a, b in itertools.pairwise([0, *cuts.tolist(), len(batch)]):
+                if a < b:
+                    if place != (here := tuple(at[:, a].tolist())):
+                        if held:
+                            emit()
+                        place, held = here, []
+                    held.append(batch.slice(a, b - a))
+            yield _pair_rows(out)
+            out = []
+        if held:
+            emit()
+        yield _pair_rows(out)
 
     return run
 
 
+def _pair_rows(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=["key", "low", "high", "centre", "member"])
+
+
 def _near(percent: int):
     """Rows of a centre's sketch and of a part of its members', the centre first: keeps the members that can link with it."""
 
@@ -372,34 +410,41 @@ class Join:
         """Pairs of classes that join all classes that links join."""
         groups = self.scratch.table(self.groups(), "met")
         links = self.verified(self.near(groups.where("centre <> class").select("centre", F.col("class").alias("member"), "band").distinct()))
+        found = components(links).select(F.col("node").alias("found_class"), "component")
+        # a group of two is the centre and its member, and settled
+        rows = groups.where("size > 2").join(found, F.col("class") == F.col("found_class"), "left").select("key", "class", "band", F.coalesce("component", "class").alias("component"))
+        still = rows.groupBy("key").agg(F.min("component").alias("first"), F.max("component").alias("last")).where("first <> last").select("key")
+        rows = rows.join(still, "key", "left_semi").join(self.sketches, (F.col("class") == F.col("sketch_class")) & (F.col("band") == F.col("sketch_band")))
+        rows = self.scratch.table(rows.select("key", "class", "component", "n", "sketch"), "open")
+        sizes = rows.groupBy("key").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
+        rows = rows.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        rows = rows.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "class", "component", "n", "sketch", F.lit(None).cast("long").alias("member"), F.lit(None).cast("boolean").alias("link"))
         place, schema = ["key", "low", "high"], "key long, low int, high int, centre long, member long"
-        struck, most = groups.sparkSession.createDataFrame([], schema), 1
-        left = None  # the block pairs of which a pair failed: of all others, what may link is joined
-        while left is None or not left.isEmpty():
-            found = components(links).select(F.col("node").alias("found_class"), "component")
-            # a group of two is the centre and its member, and settled
-            rows = groups.where("size > 2") if left is None else groups.join(left.select("key").distinct(), "key", "left_semi")
-            rows = rows.join(found, F.col("class") == F.col("found_class"), "left").select("key", "class", "band", F.coalesce("component", "class").alias("component"))
-            still = rows.groupBy("key").agg(F.min("component").alias("first"), F.max("component").alias("last")).where("first <> last").select("key")
-            rows = rows.join(still, "key", "left_semi").join(self.sketches, (F.col("class") == F.col("sketch_class")) & (F.col("band") == F.col("sketch_band")))
-            rows = self.scratch.table(rows.select("key", "class", "component", "n", "sketch"), "open")
-            sizes = rows.groupBy("key").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
-            rows = rows.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-            rows = rows.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
-            rows = rows if left is None else rows.join(left, place, "left_semi")
-            across = self.scratch.table(rows.groupBy(*place).cogroup(struck.groupBy(*place)).applyInArrow(_forests(self.percent, most), schema), "across")
+        asked, most = rows.limit(0).select(*place, "class", "member", "link"), 1
+        while True:
+            dealt_ = rows.unionByName(asked, allowMissingColumns=True).repartition(*place).sortWithinPartitions(*place, "class", "member")
+            across = self.scratch.table(dealt_.mapInArrow(_forests(self.percent, most), schema), "across")
             if across.isEmpty():
-                break
+                return links
             more = self.verified(across.select("centre", "member").distinct())
-            failed = self.scratch.table(across.join(more, (F.col("centre") == F.col("a")) & (F.col("member") == F.col("b")), "left_anti"), "struck")
-            links, struck, most, left = links.unionByName(more), struck.unionByName(failed), most * 8, failed.select(*place).distinct()
-        return links
+            links = links.unionByName(more)
+            told = across.join(more, (F.col("centre") == F.col("a")) & (F.col("member") == F.col("b")), "left").select(*place, "centre", "member", F.col("a").isNotNull().alias("link"))
+            told = self.scratch.table(told, "told")
+            # of block pairs of which no pair failed, what may link is joined
+            left = told.where("NOT link").select(*place).distinct()
+            if left.isEmpty():
+                return links
+            asked = asked.unionByName(told.select(*place, F.col("centre").alias("class"), "member", "link"))
+            rows, most = rows.join(left, place, "left_semi"), most * 8
 
     def labels(self) -> DataFrame:
         """class, component of all classes that others, or other rows, share an id with."""
-        ids = self.sets.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high")
-        same = self.sets.join(ids, "doc_id").where("low <> class").select(F.col("low").alias("a"), F.col("class").alias("b"))
-        found = components(self.links().unionByName(same)).withColumnRenamed("node", "class")
+        edges = self.links()
+        ids = self.scratch.table(self.sets.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high"), "ids")
+        if not ids.isEmpty():
+            same = maybe_in(self.sets, ids).join(ids, "doc_id").where("low <> class")
+            edges = edges.unionByName(same.select(F.col("low").alias("a"), F.col("class").alias("b")))
+        found = components(edges).withColumnRenamed("node", "class")
         rows = self.classes.join(found, "class", "left").select("class", "rep", "rows", F.coalesce("component", "class").alias("root"), F.col("component").isNotNull().alias("linked"))
         least = rows.where("linked").groupBy("root").agg(F.min("rep").alias("component"))
         rows = rows.where("linked OR rows > 1").join(least, "root", "left").select("class", F.coalesce("component", "rep").alias("component"))
