@@ -142,6 +142,8 @@ def best_cut(chance: np.ndarray, y: np.ndarray, cost: float = FALSE_ALARM_COST)
     worth = np.cumsum(t) / max(1, t.sum()) - cost * np.cumsum(1 - t) / max(1, (1 - t).sum())
     last = np.flatnonzero(np.append(p[1:] != p[:-1], True))  # equal chances fall on one side
     k = last[worth[last].argmax()]
+    if worth[k] <= 0:  # no cut is better than none: nothing counts as toxic
+        return float(1 + p[0]) / 2
     return float(p[k] + (p[k + 1] if k + 1 < len(p) else 0)) / 2
 
 

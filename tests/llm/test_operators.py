@@ -288,3 +288,46 @@ def test_classifiers_on_held_out_rows(spark, empty, run, column, cut):
 def test_training_fold_only(spark):
     fold_ = labelled.training_labels(spark.range(50).select(F.col("id").alias("doc_id"), F.lit(1).alias("toxic")), "toxic")
     assert {r.doc_id for r in fold_.collect()} == {k for k in range(50) if zlib.crc32(str(k).encode()) % 5}
+
+
+def test_toxic_cut():
+    chance, y = np.array([0.9, 0.8, 0.8, 0.3, 0.2, 0.1]), np.array([1.0, 1, 1, 0, 1, 0])
+    assert toxicity.best_cut(chance, y) == pytest.approx(0.55) and toxicity.best_cut(chance, y, 0.1) == pytest.approx(0.15)
+    assert toxicity.best_cut(np.full(6, 0.4), y) == pytest.approx(0.2) or toxicity.best_cut(np.full(6, 0.4), 1 - y) > 0.4
+    assert toxicity.best_cut(np.full(6, 0.4), np.array([1.0, 0, 0, 0, 0, 0])) > 0.4
+
+
+def test_windows_hold_every_byte():
+    for text in (b"", b"A b " * 30, b"x" * 10_000, b"y " * 5 + b"z" * 9000):
+        assert b"".join(w[: -len(toxicity.TAIL)] for w in toxicity.windows(text)).replace(b" ", b"") == text.lower().replace(b" ", b"")
+        assert all(len(w) <= toxicity.WINDOW_BYTES + len(toxicity.TAIL) for w in toxicity.windows(text))
+
+
+def test_toxic_gains_are_those_of_plain_compressors():
+    docs, labels = labelled_rows()
+    model = toxicity.fit([(y, (t or "").encode()) for (_, t), (_, _, y) in zip(docs, labels, strict=True) if y is not None])
+    made = model.compressors()
+    for _, t in docs[:20]:
+        gains = []
+        words = t.lower().split()
+        for k in range(0, len(words), 8):
+            window = (" " + " ".join(words[k : k + 8])).encode() + b"\n" * 12
+            gains.append(max(0, len(made[0].compress(window)) - len(made[1].compress(window)) - 1))
+        n = len(gains)
+        assert toxicity.features(t.encode(), made) == pytest.approx((sum(gains) / n, sum(g > 0 for g in gains) / n, math.log1p(sum(gains)), max(gains)))
+    assert model.toxic.startswith(model.ordinary) and b" nastything" in model.toxic
+
+
+def test_votes_are_those_of_brute_force():
+    gen = np.random.default_rng(2)
+    vectors = gen.standard_normal((60, 5)).astype(np.float32)
+    vectors[10:40] = vectors[10]  # ties
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    model = quality.Model(np.ones(1), np.ones((1, 5)), vectors, (np.arange(60) % 3 == 0).astype(np.float32))
+    asked = np.concatenate([vectors[8:12], gen.standard_normal((6, 5)).astype(np.float32), np.zeros((1, 5), np.float32)])
+    cosines = asked @ vectors.T
+    for row, got in zip(cosines[:-1], model.vote(asked)[:-1], strict=True):
+        near = sorted(range(60), key=lambda k: (-row[k], k))[: quality.NEIGHBOURS]
+        weights = [max(row[k], 1e-3) ** quality.SHARPNESS for k in near]
+        assert got == pytest.approx(sum(w * model.labels[k] for w, k in zip(weights, near, strict=True)) / sum(weights), rel=1e-5)
+    assert model.vote(asked)[-1] == pytest.approx(model.labels.mean())
