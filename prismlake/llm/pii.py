@@ -1,10 +1,10 @@
 """Personal data: candidate spans scored by gradient-boosted trees, with DataFrame operations only.
 
 High-recall generators propose spans, which may overlap. Spans that the strict rules accept always
-stay. All others are scored by boosted trees over features of format and context; the trees learn,
-from counts of feature vectors over all documents, what accepted spans look like, and their output is
-divided by its mean over accepted spans of the kind (a strict rule finds only a share of the true
-ones), which puts all kinds on one scale for the threshold.
+stay. All others are scored by boosted trees over features of format, taken after undoing what hides an
+address, and of context. The trees learn from counts of feature vectors over four folds of all
+documents what accepted spans look like; in the fifth fold, which they have not seen, each kind's cut is
+calibrated: the least score from which on candidates are accepted ones by a target share.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,7 +20,7 @@ from .common import materialize
 
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = "A-Za-z0-9._%+-"
-# (kind, pattern, substring or pattern that a text must hold). The strict ones come first, one for each kind. Lookbehinds
+# (kind, pattern, what a text must hold some of, in lower case). The strict ones come first, one for each kind. Lookbehinds
 # let a match start only where the leftmost one must, so that no text makes the search quadratic; \G
 # is the end of the match before.
 STRICT = (
@@ -29,34 +30,47 @@ STRICT = (
     ("phone", r"\+[0-9][ ().0-9-]+[0-9]", "+"),
 )
 LOOSE = (
-    ("email", r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]{1,64}+ ?(?:\(at\)|\[at\]|\{at\}| at |@) ?[a-z0-9-]{1,63}+(?: ?(?:\(dot\)|\[dot\]|\{dot\}| dot |\.) ?[a-z0-9-]{2,63}+){1,4}+", "at"),
-    ("ip", r"(?<![0-9.])[0-9]{1,3}(?:\[\.\]|\(\.\)| dot )[0-9]{1,3}(?:\[\.\]|\(\.\)|\.| dot )[0-9]{1,3}(?:\[\.\]|\(\.\)|\.| dot )[0-9]{1,3}(?![0-9])", "."),
+    ("email", r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]{1,64}+ ?(?:\(at\)|\[at\]|\{at\}| at |@) ?[a-z0-9-]{1,63}+(?: ?(?:\(dot\)|\[dot\]|\{dot\}| dot |\.) ?[a-z0-9-]{2,63}+){1,4}+", "@", "at"),
+    ("ip", r"(?<![0-9.])[0-9]{1,3}(?:\[\.\]|\(\.\)| dot )[0-9]{1,3}(?:\[\.\]|\(\.\)|\.| dot )[0-9]{1,3}(?:\[\.\]|\(\.\)|\.| dot )[0-9]{1,3}(?![0-9])", ".", " dot "),
     ("ip", r"(?i)(?<![0-9a-f:])(?:[0-9a-f]{1,4}:){7}[0-9a-f]{1,4}(?![0-9a-f:])", ":"),
     ("card", r"(?<![0-9])[0-9]{4}(?:[ ./_-]?[0-9]{4}){2}[ ./_-]?[0-9]{1,7}(?![0-9])", ""),
     ("phone", r"(?<![0-9+])(?:00[0-9]{1,3}[ .-]?)?\(?[0-9]{2,4}\)?[ .-][0-9]{3,4}[ .-][0-9]{3,4}(?![0-9])", ""),
 )
 #: Folded words before a span that speak for a kind.
 CONTEXT = {1: "e-?mail|contact|write to|mailto", 2: "phone|tel|call|mobile|fax|whatsapp", 3: "card|visa|credit|amex|master", 4: r"\bip\b|host|server|addr|login from"}
-SPAN = "array<struct<s:int,e:int,m:string>>"
-#: The bins of each feature, in the order of the feature vector.
-BINS = {"kind": 4, "digits": 8, "parts": 6, "marks": 4, "lead": 6, "words": 5, "before": 5, "after": 5, "size": 6, "tail": 4}
+#: The bins of each feature, in the order of the feature vector: at most 115,200 vectors.
+BINS = {"kind": 4, "digits": 8, "parts": 5, "marks": 4, "words": 5, "before": 3, "after": 3, "tail": 4}
 FEATURES = tuple(BINS)
+#: One fold of so many is held out from the trees, and calibrates the cuts: of candidates above a cut this share is accepted by the strict rules.
+FOLDS, TARGET = 5, 0.9
+#: Code points to a bucket in which spans that overlap meet.
+BUCKET = 64
 
 
-def _found(text: str, pattern: str, needs: str) -> Column:
-    """All leftmost non-overlapping matches as structs of start, end (code points) and match."""
-    t = F.col(text)
-    guard = F.contains(t, F.lit(needs)) if needs else F.lit(True)
-    hits = F.when(guard, F.regexp_extract_all(t, F.lit(pattern), 0)).otherwise(F.array().cast("array<string>"))
-    return hits
+def _hits(text: str, pattern: str, *needs: str) -> Column:
+    """All leftmost non-overlapping matches."""
+    guard = F.lit(True)
+    if any(needs):
+        low = F.lower(F.col(text)) if any(n.lower() != n.upper() for n in needs) else F.col(text)
+        guard = F.contains(low, F.lit(needs[0])) if len(needs) == 1 else F.contains(low, F.lit(needs[0])) | F.contains(low, F.lit(needs[1]))
+    return F.when(guard, F.regexp_extract_all(F.col(text), F.lit(pattern), 0)).otherwise(F.array().cast("array<string>"))
 
 
-def _placed(hits: str, parts: str) -> Column:
-    return F.expr(f"""
-      CASE WHEN size({hits}) = 0 THEN cast(array() AS {SPAN}) ELSE aggregate(sequence(1, size({hits})), named_struct('at', 0, 'out', cast(array() AS {SPAN})),
-        (a, i) -> named_struct('at', a.at + length({parts}[i - 1]) + length({hits}[i - 1]),
-          'out', concat(a.out, array(named_struct('s', a.at + length({parts}[i - 1]), 'e', a.at + length({parts}[i - 1]) + length({hits}[i - 1]), 'm', {hits}[i - 1])))),
-        a -> a.out) END""")
+def _placed(h: str, p: str) -> str:
+    """Structs of start, end (code points), match, folded text before and character behind.
+
+    Running sums of lengths go by blocks of about the square root of their number, and what stands
+    around a match comes from its neighbours: no match costs a walk through the whole text.
+    """
+    sums = "aggregate(slice(v.lens, (b - 1) * v.w + 1, v.w), 0, (x, y) -> x + y)"
+    return f"""CASE WHEN size({h}) = 0 THEN array() ELSE
+      transform(array(named_struct('lens', transform({h}, (x, i) -> length({p}[i]) + length(x)), 'w', cast(ceil(sqrt(size({h}))) AS int))), v ->
+        transform(array(aggregate(sequence(1, cast(ceil(size(v.lens) / v.w) AS int)), named_struct('at', 0, 'out', array(0)), (a, b) -> named_struct('at', a.at + {sums}, 'out', concat(a.out, array(a.at + {sums}))), a -> a.out)), off ->
+          transform(transform({h}, (x, i) -> named_struct('m', x,
+              's', off[cast(i div v.w AS int)] + aggregate(slice(v.lens, cast(i div v.w AS int) * v.w + 1, i % v.w), 0, (x, y) -> x + y) + length({p}[i]),
+              'l', lower(right(concat(CASE WHEN i > 0 THEN {h}[i - 1] ELSE '' END, {p}[i]), 24)),
+              'r', left(concat({p}[i + 1], coalesce(get({h}, i + 1), '')), 1))),
+            x -> named_struct('s', x.s, 'e', x.s + length(x.m), 'm', x.m, 'l', x.l, 'r', x.r)))[0])[0] END"""
 
 
 CHECKS = {
@@ -70,34 +84,35 @@ CHECKS = {
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """doc_id and an array of candidates: s, e, strict, kind and the bins of the other features."""
+    """row, key (of id and text), doc_id and an array of candidates: s, e, strict, kind and the bins of the other features."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t"))
-    every = [(kind, pattern, needs, True) for kind, pattern, needs in STRICT] + [(kind, pattern, needs, False) for kind, pattern, needs in LOOSE]
-    rows = rows.select("*", *(_found("t", p, needs).alias(f"h{k}") for k, (_, p, needs, _) in enumerate(every)))
+    every = [(*x, True) for x in STRICT] + [(*x, False) for x in LOOSE]
+    rows = rows.select("*", *(_hits("t", p, *needs).alias(f"h{k}") for k, (_, p, *needs, _) in enumerate(every)))
     # few texts have matches: only those are split to learn where the matches are
-    rows = rows.select("*", *(F.when(F.size(f"h{k}") > 0, F.split("t", p, -1)).alias(f"p{k}") for k, (_, p, _, _) in enumerate(every)))
-    rows = rows.select("doc_id", "t", *(_placed(f"h{k}", f"p{k}").alias(f"c{k}") for k in range(len(every))))
+    rows = rows.select("*", *(F.when(F.size(f"h{k}") > 0, F.split("t", p, -1)).alias(f"p{k}") for k, (_, p, *_) in enumerate(every)))
     lists = []
-    for k, (kind, _, _, strict) in enumerate(every):
+    for k, (kind, *_, strict) in enumerate(every):
         passes = CHECKS[kind] if strict else "false"
-        lists.append(f"transform(c{k}, x -> named_struct('s', x.s, 'e', x.e, 'm', x.m, 'kind', {KINDS.index(kind)}, 'strict', {passes}, 'loose', {str(not strict).lower()}, 'l', lower(substring(t, greatest(1, x.s - 23), least(24, x.s))), 'r', substring(t, x.e + 1, 1)))")
+        lists.append(f"transform({_placed(f'h{k}', f'p{k}')}, x -> named_struct('s', x.s, 'e', x.e, 'm', x.m, 'kind', {KINDS.index(kind)}, 'strict', {passes}, 'loose', {str(not strict).lower()}, 'l', x.l, 'r', x.r))")
     # what fails its strict rule is no address and no number; a card with a slip in it may still be one
     rows = rows.select("doc_id", "t", F.expr(f"filter(concat({', '.join(lists)}), x -> x.strict OR x.loose OR x.kind = {KINDS.index('card')})").alias("c"))
-    clean = r"regexp_replace(regexp_replace(lower(x.m), ' ?([(\\[{]at[)\\]}]| at ) ?', '@'), ' ?([(\\[{]dot[)\\]}]| dot |[(\\[][.][)\\]]) ?', '.')"
-    side = lambda c: f"CASE WHEN {c} = '' THEN 0 WHEN {c} RLIKE '\\\\s' THEN 1 WHEN {c} RLIKE '[0-9]' THEN 2 WHEN {c} RLIKE '\\\\w' THEN 3 ELSE 4 END"
+    # what hides an address is undone: brackets always, bare words where both stand in the span
+    bare = "CASE WHEN lower(x.m) LIKE '% dot %' THEN replace(replace(lower(x.m), ' at ', '@'), ' dot ', '.') ELSE lower(x.m) END"
+    clean = rf"regexp_replace(regexp_replace({bare}, ' ?[(\\[{{]at[)\\]}}] ?', '@'), ' ?([(\\[{{]dot[)\\]}}]|[(\\[][.][)\\]]) ?', '.')"
+    rows = rows.select("doc_id", "t", F.expr(f"transform(c, x -> named_struct('s', x.s, 'e', x.e, 'strict', x.strict, 'kind', x.kind, 'l', x.l, 'r', x.r, 'm', {clean}))").alias("c"))
+    side = lambda c: f"CASE WHEN {c} = '' OR {c} RLIKE '\\\\s' THEN 0 WHEN {c} RLIKE '\\\\w' THEN 1 ELSE 2 END"
     bins = {
         "digits": "least(7, cast(length(regexp_replace(x.m, '[^0-9]', '')) / 3 AS int))",
-        "parts": f"least(5, size(split({clean}, '[.]')) - 1)",
-        "marks": "least(3, length(regexp_replace(x.m, '[^ ()./_-]', '')))",
-        "lead": "CASE substring(regexp_extract(x.m, '[0-9]', 0), 1, 1) WHEN '' THEN 0 WHEN '3' THEN 1 WHEN '4' THEN 2 WHEN '5' THEN 3 WHEN '6' THEN 4 ELSE 5 END",
+        "parts": "least(4, size(split(x.m, '[.]')) - 1)",
+        "marks": "least(3, length(regexp_replace(x.m, '[^ ()/_]', '')))",
         "words": "CASE " + " ".join(f"WHEN x.l RLIKE '{p}' THEN {k}" for k, p in ((k, p.replace("\\", "\\\\")) for k, p in CONTEXT.items())) + " ELSE 0 END",
         "before": side("right(x.l, 1)"),
         "after": side("x.r"),
-        "size": "least(5, cast(length(x.m) / 6 AS int))",
-        "tail": f"least(3, length(regexp_extract({clean}, '[.]([a-z]+)$', 1)))",
+        "tail": "least(3, length(regexp_extract(x.m, '[.]([a-z]+)$', 1)))",
     }
     fields = ", ".join(f"'{k}', cast({v} AS int)" for k, v in bins.items())
-    return rows.select("doc_id", F.expr(f"transform(c, x -> named_struct('s', x.s, 'e', x.e, 'strict', x.strict, 'kind', x.kind, {fields}))").alias("c"))
+    spans = F.expr(f"transform(c, x -> named_struct('s', x.s, 'e', x.e, 'strict', x.strict, 'kind', x.kind, {fields}))")
+    return rows.select(F.monotonically_increasing_id().alias("row"), F.xxhash64("doc_id", "t").alias("key"), "doc_id", spans.alias("c"))
 
 
 @dataclass
@@ -113,107 +128,149 @@ class Node:
     def sql(self, x: str) -> str:
         return f"{self.value!r}D" if self.feature is None else f"CASE WHEN {x}.{self.feature} <= {self.cut} THEN {self.left.sql(x)} ELSE {self.right.sql(x)} END"
 
-    def of(self, row: dict) -> float:
-        return self.value if self.feature is None else (self.left if row[self.feature] <= self.cut else self.right).of(row)
-
-
-def _grow(rows: list[tuple[dict, float, float]], depth: int, ridge: float = 1.0) -> Node:
-    """rows: features, gradient, curvature. A regression tree by second-order gain."""
-    g, h = sum(r[1] for r in rows), sum(r[2] for r in rows)
-    best = (1e-6, None, 0)
-    if depth:
-        for f in FEATURES:
-            sums = [[0.0, 0.0] for _ in range(BINS[f])]
-            for x, a, b in rows:
-                sums[x[f]][0] += a
-                sums[x[f]][1] += b
-            gl = hl = 0.0
-            for cut in range(BINS[f] - 1):
-                gl, hl = gl + sums[cut][0], hl + sums[cut][1]
-                gain = gl * gl / (hl + ridge) + (g - gl) ** 2 / (h - hl + ridge) - g * g / (h + ridge)
-                if gain > best[0] and hl > 0 and h - hl > 0:
-                    best = (gain, f, cut)
+    def of(self, x: np.ndarray) -> np.ndarray:
+        """Of vectors, a row each."""
+        if self.feature is None:
+            return np.full(len(x), self.value)
+        return np.where(x[:, FEATURES.index(self.feature)] <= self.cut, self.left.of(x), self.right.of(x))
+
+
+def _grow(x: np.ndarray, g: np.ndarray, h: np.ndarray, depth: int, rate: float, ridge: float = 1.0) -> Node:
+    """Of vectors with gradients and curvatures: a regression tree by second-order gain."""
+    all_g, all_h, best = g.sum(), h.sum(), (1e-6, None, 0)
+    for k, f in enumerate(FEATURES if depth else ()):
+        low_g, low_h = np.cumsum(np.bincount(x[:, k], g, BINS[f]))[:-1], np.cumsum(np.bincount(x[:, k], h, BINS[f]))[:-1]
+        gain = low_g**2 / (low_h + ridge) + (all_g - low_g) ** 2 / (all_h - low_h + ridge) - all_g**2 / (all_h + ridge)
+        gain[(low_h <= 0) | (all_h - low_h <= 1e-9)] = 0
+        if (at := int(gain.argmax())) is not None and gain[at] > best[0]:
+            best = (gain[at], f, at)
     if best[1] is None:
-        return Node(g / (h + ridge))
-    sides = [r for r in rows if r[0][best[1]] <= best[2]], [r for r in rows if r[0][best[1]] > best[2]]
-    return Node(0.0, best[1], best[2], _grow(sides[0], depth - 1, ridge), _grow(sides[1], depth - 1, ridge))
+        return Node(rate * float(all_g / (all_h + ridge)))
+    left = x[:, FEATURES.index(best[1])] <= best[2]
+    return Node(0.0, best[1], best[2], *(_grow(x[side], g[side], h[side], depth - 1, rate, ridge) for side in (left, ~left)))
 
 
 @dataclass
 class Model:
     start: float
     trees: list[Node]
-    share: tuple[float, ...]  # of a kind's true spans that the strict rule accepts
+    cuts: tuple[float, ...]  # of each kind, in log odds
 
     def sql(self, x: str) -> str:
-        total = " + ".join([f"{self.start!r}D", *(f"({t.sql(x)})" for t in self.trees)])
-        shares = " ".join(f"WHEN {k} THEN {v!r}D" for k, v in enumerate(self.share))
-        return f"least(1D, 1D / (1D + exp(-({total}))) / CASE {x}.kind {shares} END)"
-
-
-def boost(counts: list[tuple[dict, int, int]], rounds: int = 20, depth: int = 3, rate: float = 0.3) -> Model:
-    """counts: features, accepted spans, all spans with these features."""
-    positive, total = sum(p for _, p, _ in counts), sum(n for _, _, n in counts)
-    if not total:
-        return Model(-30.0, [], (1.0,) * len(KINDS))
-    start = math.log((positive + 0.5) / (total - positive + 0.5))
-    raw, trees = [start] * len(counts), []
+        return " + ".join([f"{self.start!r}D", *(f"({t.sql(x)})" for t in self.trees)])
+
+    def cut(self, x: str) -> str:
+        return "CASE " + " ".join(f"WHEN {x}.kind = {k} THEN {v!r}D" for k, v in enumerate(self.cuts)) + " END"
+
+    def of(self, x: np.ndarray) -> np.ndarray:
+        out = np.full(len(x), self.start)
+        for t in self.trees:  # in the order of the SQL, so that sums are equal to the last bit
+            out += t.of(x)
+        return out
+
+
+#: A cut that nothing reaches.
+NEVER = 1e9
+
+
+def calibrated(score: np.ndarray, accepted: np.ndarray, total: np.ndarray, target: float) -> float:
+    """The least score from which on the accepted ones are at least the target share of all."""
+    order = np.argsort(-score, kind="stable")
+    share = np.cumsum(accepted[order]) / np.cumsum(total[order])
+    last = np.append(np.diff(score[order]) != 0, True)  # equal scores fall on one side
+    good = np.flatnonzero(last & (share >= target) & (np.cumsum(accepted[order]) > 0))
+    return float(score[order][good[-1]]) if len(good) else NEVER
+
+
+def boost(x: np.ndarray, accepted: np.ndarray, total: np.ndarray, held: np.ndarray, rounds: int = 20, depth: int = 3, rate: float = 0.3, target: float = TARGET) -> Model:
+    """Vectors with the numbers of accepted and of all spans that have them; held vectors calibrate, the others train."""
+    tx, p, n = x[~held], accepted[~held], total[~held]
+    if not n.sum():
+        return Model(0.0, [], (NEVER,) * len(KINDS))
+    start = math.log((p.sum() + 0.5) / (n.sum() - p.sum() + 0.5))
+    raw, trees = np.full(len(tx), start), []
     for _ in range(rounds):
-        chance = [1 / (1 + math.exp(-z)) for z in raw]
-        tree = _grow([(x, p - n * q, n * q * (1 - q)) for (x, p, n), q in zip(counts, chance, strict=True)], depth)
-        stack = [tree]
-        while stack:
-            node = stack.pop()
-            node.value *= rate
-            stack += [c for c in (node.left, node.right) if c]
-        trees.append(tree)
-        raw = [z + tree.of(x) for z, (x, _, _) in zip(raw, counts, strict=True)]
-    share = []
+        chance = 1 / (1 + np.exp(-raw))
+        trees.append(_grow(tx, p - n * chance, n * chance * (1 - chance), depth, rate))
+        raw += trees[-1].of(tx)
+    model = Model(start, trees, ())
+    score, cuts = model.of(x), []
     for k in range(len(KINDS)):
-        own = [(p, 1 / (1 + math.exp(-z))) for z, (x, p, _) in zip(raw, counts, strict=True) if x["kind"] == k and p]
-        share.append(max(0.02, sum(p * q for p, q in own) / sum(p for p, _ in own)) if own else 1.0)
-    return Model(start, trees, tuple(share))
+        own = held & (x[:, 0] == k)
+        cuts.append(calibrated(score[own], accepted[own], total[own], target) if own.any() else NEVER)
+    return Model(start, trees, tuple(cuts))
 
 
-def learn(found: DataFrame) -> Model:
-    """From counts of feature vectors, of which there are few; the counts cover all candidates of all documents."""
-    rows = found.select(F.explode("c").alias("x")).select("x.*").groupBy(*FEATURES).agg(F.count_if("strict").alias("p"), F.count("*").alias("n")).collect()
-    return boost([({f: r[f] for f in FEATURES}, r.p, r.n) for r in sorted(rows, key=lambda r: tuple(r[f] for f in FEATURES))])
+def _buckets(spans: DataFrame) -> DataFrame:
+    return spans.withColumn("bucket", F.explode(F.sequence(F.expr(f"s div {BUCKET}"), F.expr(f"(e - 1) div {BUCKET}"))))
 
 
-def personal_data(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """doc_id, the numbers n_email, n_ip, n_card, n_phone of strict spans, base_sha256 of these, spans (all), n_added.
+AT = ("row", "s", "e", "kind")
 
-    A candidate beside the strict spans is added when its score reaches the threshold, no strict span
-    overlaps it, and no candidate that is better (by score, then length, then the earlier) does. Null
-    and empty texts have no spans. Repeated rows give one row each; other columns are ignored. An empty
-    table gives an empty result.
-    """
+
+def visible(found: DataFrame) -> DataFrame:
+    """A row for each candidate: the strict ones, and of the others those that overlap no strict one."""
+    spans = found.select("row", "doc_id", F.explode("c").alias("x")).select("row", "doc_id", "x.*").distinct()
+    strict, loose = spans.where("strict"), spans.where("NOT strict")
+    near = _buckets(loose.select(*AT)).join(_buckets(strict.select("row", "s", "e")).toDF("row", "ys", "ye", "bucket"), ["row", "bucket"])
+    return strict.unionByName(loose.join(near.where("s < ye AND ys < e").select(*AT).distinct(), list(AT), "left_anti"))
+
+
+def learn(spans: DataFrame, target: float = TARGET) -> Model:
+    """From counts of feature vectors, whose number the bins bound; the counts cover all candidates of all documents."""
+    held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % FOLDS == 0
+    rows = spans.groupBy(held.alias("held"), *FEATURES).agg(F.count_if("strict").alias("p"), F.count("*").alias("n")).collect()
+    rows = sorted(tuple(r) for r in rows)
+    table = np.array(rows, float).reshape(len(rows), len(FEATURES) + 3)
+    return boost(table[:, 1:-2].astype(int), table[:, -2], table[:, -1], table[:, 0] > 0, target=target)
+
+
+def added(spans: DataFrame, model: Model) -> DataFrame:
+    """row, s, e, kind of the candidates beside the strict spans that stay."""
+    x = F.struct(*FEATURES).alias("x")
+    chosen = spans.where("NOT strict").select(*AT, x).select(*AT, F.expr(model.sql("x")).alias("score"), F.expr(model.cut("x")).alias("cut")).where("score >= cut").drop("cut")
+    better = "yscore > score OR (yscore = score AND (ye - ys > e - s OR (ye - ys = e - s AND (ys < s OR (ys = s AND ykind < kind)))))"
+    rival = _buckets(chosen).toDF("row", "ys", "ye", "ykind", "yscore", "bucket")
+    beaten = _buckets(chosen).join(rival, ["row", "bucket"]).where("s < ye AND ys < e").where(better).select(*AT)
+    return chosen.select(*AT).join(beaten.distinct(), list(AT), "left_anti")
+
+
+def _found(docs: DataFrame, target: float) -> DataFrame:
     found = materialize(candidates(docs), "spans")
-    model = learn(found)
+    spans = materialize(visible(found), "visible")
+    more = added(spans, learn(spans, target))
+    spans = spans.where("strict").select(*AT, "strict").unionByName(more.withColumn("strict", F.lit(False)))
     names = ", ".join(f"'{k}'" for k in KINDS)
-    line = lambda c: f"array_join(transform(array_sort(transform({c}, x -> named_struct('s', x.s, 'kind', x.kind, 'e', x.e))), x -> concat(array({names})[x.kind], ':', x.s, ':', x.e)), ',')"
-    over = "(x.s < y.e AND y.s < x.e)"
-    better = "(y.score > x.score OR (y.score = x.score AND (y.e - y.s > x.e - x.s OR (y.e - y.s = x.e - x.s AND (y.s < x.s OR (y.s = x.s AND y.kind < x.kind))))))"
-    out = found.select(
-        "doc_id",
-        F.expr("transform(filter(c, x -> x.strict), x -> named_struct('s', x.s, 'e', x.e, 'kind', x.kind))").alias("base"),
-        F.expr(f"transform(filter(c, x -> NOT x.strict AND NOT exists(c, y -> y.strict AND {over})), x -> named_struct('s', x.s, 'e', x.e, 'kind', x.kind, 'score', {model.sql('x')}))").alias("more"),
-    )
-    out = out.withColumn("more", F.expr(f"array_distinct(filter(more, x -> x.score >= {threshold}D))"))
-    out = out.withColumn("more", F.expr(f"transform(filter(more, x -> NOT exists(more, y -> {over} AND {better})), x -> named_struct('s', x.s, 'e', x.e, 'kind', x.kind))"))
-    return out.select(
-        "doc_id",
-        *(F.expr(f"size(filter(base, x -> x.kind = {k}))").cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)),
-        F.sha2(F.expr(line("base")), 256).alias("base_sha256"),
-        F.expr(line("concat(base, more)")).alias("spans"),
-        F.size("more").cast("long").alias("n_added"),
+    line = lambda c: f"array_join(transform(array_sort({c}), x -> concat(array({names})[x.kind], ':', x.s, ':', x.e)), ',')"
+    span = F.struct("s", "kind", "e")
+    by_row = spans.groupBy(F.col("row").alias("of")).agg(
+        *(F.count_if(F.col("strict") & (F.col("kind") == k)).alias(f"n_{name}") for k, name in enumerate(KINDS)),
+        F.collect_list(F.when(F.col("strict"), span)).alias("base"),
+        F.collect_list(span).alias("spans"),
+        F.count_if(~F.col("strict")).alias("n_added"),
     )
+    by_row = by_row.select("of", *(f"n_{name}" for name in KINDS), F.expr(line("base")).alias("base"), F.expr(line("spans")).alias("spans"), "n_added")
+    out = found.select("row", "key", "doc_id").join(by_row, F.col("row") == F.col("of"), "left")
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return out.select("key", "doc_id", *(zero(f"n_{name}") for name in KINDS), F.sha2(F.coalesce("base", F.lit("")), 256).alias("base_sha256"), F.coalesce("spans", F.lit("")).alias("spans"), zero("n_added"))
+
+
+def personal_data(docs: DataFrame, target: float = TARGET) -> DataFrame:
+    """doc_id, the numbers n_email, n_ip, n_card, n_phone of strict spans, base_sha256 of these, spans (all), n_added.
+
+    A candidate beside the strict spans is added when its score reaches its kind's cut, no strict span
+    overlaps it, and no candidate that is better (by score, then length, then the earlier) does; a kind
+    of which the held-out fold has no accepted span adds none. Null and empty texts have no spans. Texts
+    of any length count whole. Repeated rows give one row each; other columns are ignored. An empty
+    table gives an empty result.
+    """
+    return _found(docs, target).drop("key")
 
 
-def redact(docs: DataFrame, threshold: float = 0.5, mask: str = "[{kind}]") -> DataFrame:
+def redact(docs: DataFrame, target: float = TARGET, mask: str = "[{kind}]") -> DataFrame:
     """doc_id and the text with every span of personal_data() masked; of overlapping spans the first hides the rest."""
-    spans = personal_data(docs, threshold).select(F.col("doc_id").alias("span_id"), F.expr("transform(filter(split(spans, ','), x -> x != ''), x -> named_struct('kind', split(x, ':')[0], 's', int(split(x, ':')[1]), 'e', int(split(x, ':')[2])))").alias("x")).distinct()
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(spans, F.col("doc_id").eqNullSafe(F.col("span_id")))
+    spans = _found(docs, target).select(F.col("key").alias("span_key"), F.expr("transform(filter(split(spans, ','), x -> x != ''), x -> named_struct('kind', split(x, ':')[0], 's', int(split(x, ':')[1]), 'e', int(split(x, ':')[2])))").alias("x")).distinct()
+    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    text = text.withColumn("key", F.xxhash64("doc_id", "text")).join(spans, F.col("key") == F.col("span_key"))
     a, b = mask.split("{kind}")
     return text.select("doc_id", F.expr(f"aggregate(x, named_struct('at', 0, 'out', ''), (a, y) -> CASE WHEN y.e <= a.at THEN a ELSE named_struct('at', y.e, 'out', concat(a.out, substring(text, a.at + 1, greatest(0, y.s - a.at)), '{a}', y.kind, '{b}')) END, a -> concat(a.out, substring(text, a.at + 1)))").alias("text"))
