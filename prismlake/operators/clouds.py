@@ -2,9 +2,20 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import Scratch, materialize
+
+#: Points to a cell of an evenly filled box, points around a cell to one task, and pairs compared at once.
+CELL_POINTS, PART_POINTS, BLOCK_PAIRS = 24, 50_000, 2_000_000
+#: Buckets of values in which quantiles are looked for.
+BUCKETS = 100_000
+
 
 def voxel_downsample(points: DataFrame, size: float, axes: tuple[str, ...] = ("x", "y", "z"), values: tuple[str, ...] = ("r", "g", "b")) -> DataFrame:
     """One row a voxel: its cell (from the cloud's minimum), centroid, mean values and number of points.
@@ -22,9 +33,34 @@ def box_stats(points: DataFrame, axes: tuple[str, ...] = ("x", "y", "z")) -> Dat
     return d.withColumn("diagonal", F.sqrt(sum(((F.col(f"max_{a}") - F.col(f"min_{a}")) ** 2 for a in axes[1:]), (F.col(f"max_{axes[0]}") - F.col(f"min_{axes[0]}")) ** 2)))
 
 
+def quantiles(rows: DataFrame, columns: tuple[str, ...], share: float) -> DataFrame:
+    """One row: of each column the value at a share of its order, interpolated between neighbours; nulls don't count.
+
+    Values meet in equal counts only after grouping; of the groups those around the place are found by a
+    running sum over buckets of values, so no task holds all distinct values.
+    """
+    out = None
+    for c in columns:
+        v = rows.where(F.col(c).isNotNull()).select(F.col(c).cast("double").alias("v")).groupBy("v").agg(F.count("*").alias("n"))
+        ends = v.agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("n").alias("total"))
+        width = F.greatest((F.col("hi") - F.col("lo")) / BUCKETS, F.lit(1e-300))
+        v = v.crossJoin(F.broadcast(ends)).withColumn("bucket", F.least(F.floor((F.col("v") - F.col("lo")) / width), F.lit(BUCKETS - 1)).cast("int"))
+        sums = v.groupBy("bucket").agg(F.sum("n").alias("m"), F.first("total").alias("total"))
+        sums = sums.withColumn("before", F.sum("m").over(Window.partitionBy(F.lit(0)).orderBy("bucket")) - F.col("m")).withColumn("at", F.lit(share) * (F.col("total") - 1))
+        wanted = sums.where((F.col("before") <= F.ceil("at")) & (F.col("before") + F.col("m") > F.floor("at"))).select("bucket", "before", "at")
+        own = Window.partitionBy("bucket").orderBy("v")
+        near = v.join(F.broadcast(wanted), "bucket").withColumn("last", F.col("before") + F.sum("n").over(own) - 1).withColumn("first", F.col("last") - F.col("n") + 1)
+        pick = lambda place: F.max(F.when((F.col("first") <= place) & (F.col("last") >= place), F.col("v")))
+        one = near.agg(pick(F.floor("at")).alias("a"), pick(F.ceil("at")).alias("b"), F.first("at").alias("at"))
+        one = one.select((F.col("a") + (F.col("b") - F.col("a")) * (F.col("at") - F.floor("at"))).alias(c))
+        out = one if out is None else out.crossJoin(one)
+    return out
+
+
 def remove_outliers(points: DataFrame, axes: tuple[str, ...] = ("x", "y", "z"), spread: float = 3.0) -> DataFrame:
     """Points within spread deviations (population) of the median on every axis."""
-    stats = points.agg(*(f for a in axes for f in (F.median(a).alias(f"_m{a}"), F.stddev_pop(a).alias(f"_s{a}"))))
+    middle = quantiles(points, axes, 0.5).toDF(*(f"_m{a}" for a in axes))
+    stats = points.agg(*(F.stddev_pop(a).alias(f"_s{a}") for a in axes)).crossJoin(middle)
     inside = None
     for a in axes:
         ok = F.abs(F.col(a) - F.col(f"_m{a}")) < spread * (F.col(f"_s{a}") + 1e-9)
@@ -32,42 +68,82 @@ def remove_outliers(points: DataFrame, axes: tuple[str, ...] = ("x", "y", "z"),
     return points.crossJoin(F.broadcast(stats)).where(inside).select(points.columns)
 
 
-def neighbours(points: DataFrame, k: int, cell: float, axes: tuple[str, ...] = ("x", "y", "z"), rings: int = 12) -> DataFrame:
+def _nearest(k: int, axes: tuple[str, ...]):
+    """Of a cell's points and of those in it and around it: each point's k nearest others, in blocks of bounded size."""
+    schema = pa.schema([("pt_id", pa.int64()), ("nn_id", pa.int64()), ("d", pa.float64())])
+
+    def run(queries: pa.Table, base: pa.Table) -> pa.Table:
+        if not len(queries) or not len(base):
+            return schema.empty_table()
+        base = base.sort_by("nn_id")  # so that equal distances stay in the order of ids
+        ids, q_ids, parts = np.array(base.column("nn_id")), np.array(queries.column("pt_id")), []
+        step = max(1, BLOCK_PAIRS // len(ids))
+        for a in range(0, len(q_ids), step):
+            square = None
+            for axis in axes:
+                x = np.array(queries.column(axis))[a : a + step, None] - np.array(base.column(axis))[None, :]
+                square = x * x if square is None else square + x * x
+            d = np.sqrt(square)
+            d[q_ids[a : a + step, None] == ids[None, :]] = np.inf
+            n = min(k, len(ids))
+            if n < len(ids):
+                bound = np.partition(d, n - 1, axis=1)[:, n - 1 : n]
+                row, col = np.nonzero(d <= bound)
+            else:
+                row, col = np.nonzero(np.isfinite(d))
+            order = np.lexsort((ids[col], d[row, col], row))
+            row, col = row[order], col[order]
+            rank = np.arange(len(row)) - np.searchsorted(row, row)
+            keep = (rank < k) & np.isfinite(d[row, col])
+            row, col = row[keep], col[keep]
+            parts.append(pa.Table.from_arrays([pa.array(q_ids[a + row]), pa.array(ids[col]), pa.array(d[row, col])], schema=schema))
+        return pa.concat_tables(parts)
+
+    return run
+
+
+def neighbours(points: DataFrame, k: int, cell: float | None = None, axes: tuple[str, ...] = ("x", "y", "z")) -> DataFrame:
     """pt_id, nn_id, d, rank: the exact k nearest others of every point, ties by id.
 
-    Points meet in a grid: ring 1 joins each cell with the 27 around it. A point is settled once its
-    k-th distance is at most the ring's width, since all nearer points were seen; the others go on with
-    cells twice as wide. So no round compares all points with all, and far outliers cost few wide cells.
+    Points meet in a grid: each cell's points are compared with those in the 27 cells around it, in
+    blocks. A point is settled once its k-th distance is at most a cell's width, since all nearer points
+    were seen; the others go on with cells twice as wide, until all are settled. Without cell the first
+    width comes from the density of the bounding box. Cells with many points around are dealt in parts.
     """
-    rows = points.select("pt_id", *axes)
-    total = rows.count()
-    want = min(k, total - 1)
-    left, out, width = rows, None, cell
-    for _ in range(rings):
+    scratch = Scratch(points.sparkSession)
+    rows = scratch.table(points.select(F.col("pt_id").cast("long").alias("pt_id"), *(F.col(a).cast("double").alias(a) for a in axes)), "points")
+    ends = rows.agg(F.count("*").alias("n"), *(f(a).alias(f"{name}{a}") for a in axes for name, f in (("lo", F.min), ("hi", F.max)))).first()
+    want, left, out, width = min(k, ends.n - 1), rows, None, cell
+    if not width:
+        sides = [ends[f"hi{a}"] - ends[f"lo{a}"] for a in axes if ends.n and ends[f"hi{a}"] > ends[f"lo{a}"]]
+        width = (math.prod(sides) * max(CELL_POINTS, 2 * k) / ends.n) ** (1 / len(sides)) if sides else 1.0
+    names, offsets = [f"c{a}" for a in axes], F.explode(F.array(*(F.array(*(F.lit(n // 3**i % 3 - 1) for i in range(len(axes)))) for n in range(3 ** len(axes)))))
+    while want > 0:
         cells = {f"c{a}": F.floor(F.col(a) / width).cast("long") for a in axes}
-        offsets = F.explode(F.array(*(F.array(*(F.lit(int(o) - 1) for o in (n // 9, n // 3 % 3, n % 3))) for n in range(27))))
-        probe = left.withColumns(cells).withColumn("o", offsets)
-        probe = probe.select(F.col("pt_id"), *(F.col(a).alias(f"q{a}") for a in axes), *((F.col(f"c{a}") + F.col("o")[i]).alias(f"c{a}") for i, a in enumerate(axes)))
-        base = rows.withColumns(cells).withColumnRenamed("pt_id", "nn_id")
-        d = F.sqrt(sum(((F.col(a) - F.col(f"q{a}")) ** 2 for a in axes[1:]), (F.col(axes[0]) - F.col(f"q{axes[0]}")) ** 2))
-        near = probe.join(base, [f"c{a}" for a in axes]).where("pt_id <> nn_id").select("pt_id", "nn_id", d.alias("d"))
-        ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("pt_id").orderBy("d", "nn_id"))).where(F.col("rank") <= want)
-        sure = ranked.groupBy("pt_id").agg(F.max("d").alias("far"), F.count("*").alias("found")).where((F.col("found") == want) & (F.col("far") <= width)).select("pt_id")
-        part = ranked.join(sure, "pt_id", "left_semi")
+        probe = left.withColumns(cells)
+        visits = rows.withColumnRenamed("pt_id", "nn_id").withColumns(cells).withColumn("o", offsets).select("nn_id", *axes, *((F.col(f"c{a}") + F.col("o")[i]).alias(f"c{a}") for i, a in enumerate(axes)))
+        visits = visits.join(probe.select(*names).distinct(), names, "left_semi")
+        sizes = visits.groupBy(*names).agg(F.ceil(F.count("*") / PART_POINTS).cast("int").alias("parts"))
+        base = visits.join(sizes, names).withColumn("part", F.pmod(F.xxhash64("nn_id"), F.col("parts")).cast("int"))
+        asked = probe.join(sizes, names).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        base, asked = (d.select(*keep).toDF(*keep) for d, keep in ((base, [*names, "part", "nn_id", *axes]), (asked, [*names, "part", "pt_id", *axes])))
+        near = asked.groupBy(*names, "part").cogroup(base.groupBy(*names, "part")).applyInArrow(_nearest(want, axes), "pt_id long, nn_id long, d double")
+        near = near.withColumn("rank", F.row_number().over(Window.partitionBy("pt_id").orderBy("d", "nn_id"))).where(F.col("rank") <= want)
+        near = materialize(near, "near")
+        sure = near.groupBy("pt_id").agg(F.max("d").alias("far"), F.count("*").alias("found")).where((F.col("found") == want) & (F.col("far") <= width)).select("pt_id")
+        part = near.join(sure, "pt_id", "left_semi")
         out = part if out is None else out.unionByName(part)
-        left = left.join(sure, "pt_id", "left_anti")
+        left = scratch.table(left.join(sure, "pt_id", "left_anti"), "left")
         if left.isEmpty():
-            return out
+            break
         width *= 2
-    # what is left lies further out than 2 ** rings cells: it is compared with all points
-    d = F.sqrt(sum(((F.col(a) - F.col(f"q{a}")) ** 2 for a in axes[1:]), (F.col(axes[0]) - F.col(f"q{axes[0]}")) ** 2))
-    far = left.select("pt_id", *(F.col(a).alias(f"q{a}") for a in axes)).join(rows.withColumnRenamed("pt_id", "nn_id"), F.col("pt_id") != F.col("nn_id")).select("pt_id", "nn_id", d.alias("d"))
-    return out.unionByName(far.withColumn("rank", F.row_number().over(Window.partitionBy("pt_id").orderBy("d", "nn_id"))).where(F.col("rank") <= want))
+    scratch.clear()
+    return out if out is not None else rows.sparkSession.createDataFrame([], "pt_id long, nn_id long, d double, rank int")
 
 
-def statistical_outliers(points: DataFrame, k: int = 20, spread: float = 2.0, cell: float = 1.0) -> DataFrame:
+def statistical_outliers(points: DataFrame, k: int = 20, spread: float = 2.0, cell: float | None = None) -> DataFrame:
     """pt_id, mean_distance, keep: points whose mean distance to k neighbours is below mean + spread deviations."""
-    mean = neighbours(points, k, cell).groupBy("pt_id").agg(F.avg("d").alias("mean_distance"))
+    mean = materialize(neighbours(points, k, cell).groupBy("pt_id").agg(F.avg("d").alias("mean_distance")), "mean")
     stats = mean.agg(F.avg("mean_distance").alias("_m"), F.stddev_pop("mean_distance").alias("_s"))
     return mean.crossJoin(F.broadcast(stats)).select("pt_id", "mean_distance", (F.col("mean_distance") < F.col("_m") + spread * F.col("_s")).alias("keep"))
 
@@ -76,5 +152,6 @@ def scene_scale(points: DataFrame, axes: tuple[str, ...] = ("x", "y", "z")) -> D
     """Centroid and the 90th percentile of distances from it, 1 where that vanishes."""
     mean = points.agg(*(F.avg(a).alias(f"c{a}") for a in axes))
     d = F.sqrt(sum(((F.col(a) - F.col(f"c{a}")) ** 2 for a in axes[1:]), (F.col(axes[0]) - F.col(f"c{axes[0]}")) ** 2))
-    scaled = points.crossJoin(F.broadcast(mean)).agg(F.percentile(d, F.lit(0.9)).alias("p90"), *(F.first(f"c{a}").alias(f"c{a}") for a in axes))
+    far = quantiles(points.crossJoin(F.broadcast(mean)).select(d.alias("p90")), ("p90",), 0.9)
+    scaled = mean.crossJoin(far)
     return scaled.withColumn("scale", F.when(F.col("p90") < 1e-8, 1.0).otherwise(F.col("p90")))

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Features to a block, on average, and numbers in a block of differences.
+BLOCK, BLOCK_VALUES = 2000, 4_000_000
+
 
 def squared_distance(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y).cast("double") * (x - y).cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -15,22 +20,56 @@ def hamming(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
 
 
-def nearest_two(features: DataFrame, queries: DataFrame | None = None) -> DataFrame:
+def _least_two(a: pa.Table, b: pa.Table) -> pa.Table:
+    """Of a block of queries and a block of an image: each query's two nearest, by exact differences."""
+    schema = pa.schema([("query_idx", pa.int64()), ("train_idx", pa.int64()), ("d", pa.float64())])
+    if not len(a) or not len(b):
+        return pa.Table.from_arrays([pa.array([], f.type) for f in schema], schema=schema)
+    b = b.sort_by("train_idx")
+    x, y = (np.array(t.column("desc").combine_chunks().flatten(), float).reshape(len(t), -1) for t in (a, b))
+    q, t, rows = np.array(a.column("query_idx")), np.array(b.column("train_idx")), []
+    step = max(1, BLOCK_VALUES // y.size)
+    for k in range(0, len(x), step):
+        d = ((x[k : k + step, None, :] - y[None, :, :]) ** 2).sum(axis=2)
+        for _ in range(min(2, len(t))):
+            best = d.argmin(axis=1)  # of equals the first, which has the smaller id
+            at = np.arange(len(d))
+            rows.append((q[k : k + step], t[best], d[at, best]))
+            d[at, best] = np.inf
+    return pa.Table.from_arrays([pa.array(np.concatenate(c), f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+
+def nearest_two(features: DataFrame, queries: DataFrame | None = None, block: int = BLOCK) -> DataFrame:
     """img_a, img_b, query_idx, train_idx, d1, d2: each feature of image a with its nearest in each image b > a.
 
-    Images are few against features, so image pairs are the join key: both sides are dealt by pair and
-    no feature meets one of another pair. Ties go to the smaller train_idx. The least two of each query
-    are kept by an aggregate that combines before the shuffle, not by ranking all pairs.
+    Features are dealt into blocks of bounded size, and block pairs of two images compared whole, so that
+    a large image is many tasks. Of each block pair the least two of each query go on, and of these the
+    least two are kept. Ties go to the smaller train_idx.
     """
     q = queries if queries is not None else features
-    images = features.select("img_id").distinct()
-    pairs = q.select(F.col("img_id").alias("img_a")).distinct().join(images.select(F.col("img_id").alias("img_b")), F.col("img_a") < F.col("img_b"))
-    left = q.select(F.col("img_id").alias("img_a"), F.col("feat_id").alias("query_idx"), F.col("desc").alias("da")).join(pairs, "img_a")
-    right = features.select(F.col("img_id").alias("img_b"), F.col("feat_id").alias("train_idx"), F.col("desc").alias("db"))
-    both = left.join(right, "img_b").select("img_a", "img_b", "query_idx", F.struct(squared_distance(F.col("da"), F.col("db")).alias("d"), "train_idx").alias("x"))
-    rank = Window.partitionBy("img_a", "img_b", "query_idx").orderBy("x")
-    top = both.withColumn("rank", F.row_number().over(rank)).where("rank <= 2")
-    return top.groupBy("img_a", "img_b", "query_idx").agg(F.min("x").alias("first"), F.max("x").alias("second"), F.count("*").alias("n")).where("n = 2").select("img_a", "img_b", "query_idx", F.col("first.train_idx").alias("train_idx"), F.sqrt("first.d").alias("d1"), F.sqrt("second.d").alias("d2"))
+    counts = features.groupBy("img_id").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
+    of = lambda d: d.groupBy("img_id").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
+    dealt = lambda d, parts: d.join(F.broadcast(parts), "img_id").withColumn("part", F.pmod(F.xxhash64("feat_id"), F.col("parts")).cast("int"))
+    blocks_a = of(q).select(F.col("img_id").alias("img_a"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part_a"))
+    blocks_b = counts.select(F.col("img_id").alias("img_b"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part_b"))
+    pairs = blocks_a.join(blocks_b, F.col("img_a") < F.col("img_b"))
+    left = dealt(q, of(q)).select(F.col("img_id").alias("img_a"), F.col("part").alias("part_a"), F.col("feat_id").cast("long").alias("query_idx"), "desc").join(pairs, ["img_a", "part_a"])
+    right = dealt(features, counts).select(F.col("img_id").alias("img_b"), F.col("part").alias("part_b"), F.col("feat_id").cast("long").alias("train_idx"), "desc").join(pairs, ["img_b", "part_b"])
+    place = ["img_a", "part_a", "img_b", "part_b"]
+    left, right = (d.select(*place, c, "desc").toDF(*place, c, "desc") for d, c in ((left, "query_idx"), (right, "train_idx")))
+
+    def run(key: tuple, a: pa.Table, b: pa.Table) -> pa.Table:
+        found = _least_two(a, b)
+        for k, name in ((2, "img_b"), (0, "img_a")):
+            found = found.add_column(0, name, pa.array([key[k].as_py()] * len(found), pa.int64()))
+        return found
+
+    near = left.groupBy(*place).cogroup(right.groupBy(*place)).applyInArrow(run, "img_a long, img_b long, query_idx long, train_idx long, d double")
+    rank = Window.partitionBy("img_a", "img_b", "query_idx").orderBy("d", "train_idx")
+    top = near.withColumn("rank", F.row_number().over(rank)).where("rank <= 2").withColumn("x", F.struct("d", "train_idx"))
+    top = top.groupBy("img_a", "img_b", "query_idx").agg(F.min("x").alias("first"), F.max("x").alias("second"), F.count("*").alias("n")).where("n = 2")
+    kind = features.schema["img_id"].dataType
+    return top.select(F.col("img_a").cast(kind).alias("img_a"), F.col("img_b").cast(kind).alias("img_b"), "query_idx", F.col("first.train_idx").alias("train_idx"), F.sqrt("first.d").alias("d1"), F.sqrt("second.d").alias("d2"))
 
 
 def ratio_test(pairs: DataFrame, ratio: float = 0.75, min_matches: int = 1) -> DataFrame:

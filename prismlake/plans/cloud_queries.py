@@ -43,7 +43,7 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY pt_id ORDER BY d, nn_id) AS
 
 @register("h1_nearest_points", with_(PARTS, NEAR) + "SELECT pt_id, rank::INT AS rank, round(d, 6) + 0.0 AS d FROM ranked WHERE rank <= 5")
 def nearest_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.neighbours(parts_cloud(spark, sf_dir), 5, 4.0).select("pt_id", "rank", tidy(F.col("d")).alias("d"))
+    return P.neighbours(parts_cloud(spark, sf_dir), 5).select("pt_id", "rank", tidy(F.col("d")).alias("d"))
 
 
 @register(
@@ -51,7 +51,7 @@ def nearest_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     with_(PARTS, NEAR) + ", m AS (SELECT pt_id, avg(d) AS md FROM ranked WHERE rank <= 20 GROUP BY 1) SELECT pt_id, round(md, 6) + 0.0 AS mean_distance, md < (SELECT avg(md) + 2 * stddev_pop(md) FROM m) AS keep FROM m",
 )
 def statistical_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.statistical_outliers(parts_cloud(spark, sf_dir), 20, 2.0, 6.0).select("pt_id", tidy(F.col("mean_distance")).alias("mean_distance"), "keep")
+    return P.statistical_outliers(parts_cloud(spark, sf_dir), 20, 2.0).select("pt_id", tidy(F.col("mean_distance")).alias("mean_distance"), "keep")
 
 
 @register(
