@@ -55,11 +55,30 @@ def _starts(word: bytes) -> list[bytes]:
     return [word[:k] for k in range(SHORTEST, min(len(word), LONGEST) + 1)] + [word] * (len(word) > LONGEST)
 
 
-def _counts(docs: list[bytes]) -> Counter:
-    found: Counter = Counter()
-    for text in docs:
-        found.update({p for w in set(text.translate(FOLD).split()) for p in _starts(w)})
-    return found
+class Candidates:
+    """Segments that enough toxic documents hold, and those of a word; words are looked up once."""
+
+    def __init__(self, toxic: list[bytes]) -> None:
+        found: Counter = Counter()
+        for text in toxic:
+            found.update({p for w in set(text.translate(FOLD).split()) for p in _starts(w)})
+        self.known = {p for p, k in found.items() if k >= LEAST}
+        self.of: dict[bytes, tuple[bytes, ...]] = {}
+
+    def __call__(self, word: bytes) -> tuple[bytes, ...]:
+        got = self.of.get(word)
+        if got is None:
+            if len(self.of) > 100_000:
+                self.of.clear()
+            got = self.of[word] = tuple(p for p in _starts(word) if p in self.known)
+        return got
+
+    def count(self, docs: list[bytes]) -> Counter:
+        """Documents that hold each candidate."""
+        found: Counter = Counter()
+        for text in docs:
+            found.update({p for w in set(text.translate(FOLD).split()) for p in self(w)})
+        return found
 
 
 def _surprise(a: int, b: int, n: int, m: int) -> float:
@@ -71,13 +90,13 @@ def _surprise(a: int, b: int, n: int, m: int) -> float:
     return 2 * sum(x * math.log(x / expected) for x, expected in cells if x)
 
 
-def segments(toxic: list[bytes], a: Counter, b: Counter, m: int) -> Counter:
+def segments(toxic: list[bytes], candidates: Candidates, a: Counter, b: Counter, m: int) -> Counter:
     """Segments that set toxic documents (a counts theirs) apart from m ordinary ones (b), with their counts: the most surprising, then longest, one of each word."""
     worth = {p: g for p, k in a.items() if k >= LEAST and (g := _surprise(k, b[p], len(toxic), m)) > SIGNIFICANT}
     found: Counter = Counter()
     for text in toxic:
         for w in text.translate(FOLD).split():
-            if (best := max((p for p in _starts(w) if p in worth), key=lambda p: (worth[p], len(p)), default=None)) is not None:
+            if (best := max((p for p in candidates(w) if p in worth), key=lambda p: (worth[p], len(p)), default=None)) is not None:
                 found[best] += 1
     return found
 
@@ -126,8 +145,8 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     return w
 
 
-def _dictionaries(base: bytes, toxic: list[bytes], a: Counter, b: Counter, m: int, rng: random.Random) -> Model:
-    found = segments(toxic, a, b, m)
+def _dictionaries(base: bytes, toxic: list[bytes], candidates: Candidates, a: Counter, b: Counter, m: int, rng: random.Random) -> Model:
+    found = segments(toxic, candidates, a, b, m)
     drawn = [p for p, k in found.items() for _ in range(k)]
     rng.shuffle(drawn)
     extra = _train(TOXIC_BYTES, [b"".join(drawn[k : k + 8]) for k in range(0, len(drawn), 8)], k=24, d=8)
@@ -155,18 +174,20 @@ def fit(rows: list[tuple[int, bytes]], seed: int = 1) -> Model | None:
     rng = random.Random(seed)
     plain = [w[: -len(TAIL)] for t in ordinary for w in windows(t)]
     base = _train(ORDINARY_BYTES, rng.sample(plain, min(len(plain), DICTIONARY_WINDOWS)))
+    del plain
     rng.shuffle(toxic)
     rng.shuffle(ordinary)
-    counts = [(_counts(toxic[k::PARTS]), _counts(ordinary[k::PARTS])) for k in range(PARTS)]
-    a, b = sum((c[0] for c in counts), Counter()), sum((c[1] for c in counts), Counter())
+    candidates = Candidates(toxic)
+    counts = [(candidates.count(toxic[k::PARTS]), candidates.count(ordinary[k::PARTS])) for k in range(PARTS)]
+    without = lambda side, k: Counter({p: sum(c[side][p] for i, c in enumerate(counts) if i != k) for p in candidates.known})
     x, y = [], []
-    for k, (own_a, own_b) in enumerate(counts):
+    for k in range(PARTS):
         others = [t for i, t in enumerate(toxic) if i % PARTS != k]
-        held = _dictionaries(base, others, a - own_a, b - own_b, len(ordinary) - len(ordinary[k::PARTS]), rng).compressors()
+        held = _dictionaries(base, others, candidates, without(0, k), without(1, k), len(ordinary) - len(ordinary[k::PARTS]), rng).compressors()
         for label, texts_ in ((1.0, toxic[k::PARTS]), (0.0, ordinary[k::PARTS])):
             x += [(1.0, *features(t, held)) for t in texts_]
             y += [label] * len(texts_)
-    model, x, y = _dictionaries(base, toxic, a, b, len(ordinary), rng), np.array(x), np.array(y)
+    model, x, y = _dictionaries(base, toxic, candidates, without(0, None), without(1, None), len(ordinary), rng), np.array(x), np.array(y)
     scale = np.maximum(x.std(axis=0), 1e-9)
     scale[0] = 1.0
     w = _logistic(x / scale, y) / scale
