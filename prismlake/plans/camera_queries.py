@@ -11,8 +11,8 @@ from ..session import table
 from .fixtures import CAMERAS, CX, CY, FOCAL, HEIGHT, OBSERVATIONS, POINTS, SEEN, WIDTH, cameras, observations, points, with_
 from .registry import register
 
-def k() -> Column:
-    return vec(FOCAL, 0, CX, 0, FOCAL, CY, 0, 0, 1)
+def k(focal: float = FOCAL, cx: float = CX, cy: float = CY) -> Column:
+    return vec(focal, 0, cx, 0, focal, cy, 0, 0, 1)
 
 
 def seen(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.linear import tidy, vec
 from ..operators import rendering as N
+from ..operators.depth import disparity_to_depth
 from ..session import table
 from .fixtures import CX, CY, FOCAL, observations, with_
 from .registry import register
@@ -122,5 +123,5 @@ def depth_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("d2_disparity_to_depth", "SELECT l_suppkey AS cam_id, round(sum(CASE WHEN l_discount > 0 THEN 0.5 * 800 / (l_discount * 100) ELSE 0 END), 2) + 0.0 AS depth_sum, count(*) FILTER (l_discount > 0)::BIGINT AS valid FROM lineitem GROUP BY 1")
 def disparity(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = F.col("l_discount") * 100
-    depth = F.when(d > 0, 0.5 * FOCAL / F.nullif(d, F.lit(0.0))).otherwise(0.0)
+    depth = disparity_to_depth(d, FOCAL, 0.5)
     return table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("cam_id")).agg(tidy(F.sum(depth), 2).alias("depth_sum"), F.count_if(d > 0).alias("valid"))
