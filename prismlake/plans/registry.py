@@ -23,5 +23,5 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-for _module in ("camera", "matching", "cloud", "pose", "render", "mesh", "kernel", "scene", "depth"):
+for _module in ("camera", "matching", "cloud", "pose", "render", "mesh", "kernel", "scene", "depth", "two_view"):
     importlib.import_module(f"prismlake.plans.{_module}_queries")
