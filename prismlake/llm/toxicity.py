@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 import random
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -55,6 +56,24 @@ def _starts(word: bytes) -> list[bytes]:
     return [word[:k] for k in range(SHORTEST, min(len(word), LONGEST) + 1)] + [word] * (len(word) > LONGEST)
 
 
+def contexts(text: bytes) -> set[int]:
+    """An eighth of the hashes of a text's word triples, and the text's own: what copies and shared passages repeat."""
+    words = text.translate(FOLD).split()
+    found = {h for x in zip(words, words[1:], words[2:], strict=False) if (h := zlib.crc32(b" ".join(x))) & 7 == 0}
+    return found | {zlib.crc32(b" ".join(words))}
+
+
+def originals(docs: list[bytes]) -> list[bytes]:
+    """The documents of which at least half is in none before: copies are no more evidence."""
+    seen, out = set(), []
+    for text in docs:
+        own = contexts(text)
+        if 2 * len(own - seen) >= len(own):
+            out.append(text)
+        seen |= own
+    return out
+
+
 class Candidates:
     """Segments that enough toxic documents hold, and those of a word; words are looked up once."""
 
@@ -73,12 +92,12 @@ class Candidates:
             got = self.of[word] = tuple(p for p in _starts(word) if p in self.known)
         return got
 
-    def count(self, docs: list[bytes]) -> Counter:
-        """Documents that hold each candidate."""
+    def count(self, docs: list[bytes]) -> tuple[Counter, int]:
+        """Documents that hold each candidate, and all."""
         found: Counter = Counter()
         for text in docs:
             found.update({p for w in set(text.translate(FOLD).split()) for p in self(w)})
-        return found
+        return found, len(docs)
 
 
 def _surprise(a: int, b: int, n: int, m: int) -> float:
@@ -90,9 +109,12 @@ def _surprise(a: int, b: int, n: int, m: int) -> float:
     return 2 * sum(x * math.log(x / expected) for x, expected in cells if x)
 
 
-def segments(toxic: list[bytes], candidates: Candidates, a: Counter, b: Counter, m: int) -> Counter:
-    """Segments that set toxic documents (a counts theirs) apart from m ordinary ones (b), with their counts: the most surprising, then longest, one of each word."""
-    worth = {p: g for p, k in a.items() if k >= LEAST and (g := _surprise(k, b[p], len(toxic), m)) > SIGNIFICANT}
+Counts = tuple[Counter, int]
+
+
+def segments(toxic: list[bytes], candidates: Candidates, a: Counts, b: Counts) -> Counter:
+    """Segments that set toxic documents (a) apart from ordinary ones (b), with their numbers in the toxic ones: the most surprising, then longest, one of each word."""
+    worth = {p: g for p, k in a[0].items() if k >= LEAST and (g := _surprise(k, b[0][p], a[1], b[1])) > SIGNIFICANT}
     found: Counter = Counter()
     for text in toxic:
         for w in text.translate(FOLD).split():
@@ -145,8 +167,8 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     return w
 
 
-def _dictionaries(base: bytes, toxic: list[bytes], candidates: Candidates, a: Counter, b: Counter, m: int, rng: random.Random) -> Model:
-    found = segments(toxic, candidates, a, b, m)
+def _dictionaries(base: bytes, toxic: list[bytes], candidates: Candidates, a: Counts, b: Counts, rng: random.Random) -> Model:
+    found = segments(toxic, candidates, a, b)
     drawn = [p for p, k in found.items() for _ in range(k)]
     rng.shuffle(drawn)
     extra = _train(TOXIC_BYTES, [b"".join(drawn[k : k + 8]) for k in range(0, len(drawn), 8)], k=24, d=8)
@@ -177,17 +199,22 @@ def fit(rows: list[tuple[int, bytes]], seed: int = 1) -> Model | None:
     del plain
     rng.shuffle(toxic)
     rng.shuffle(ordinary)
+    toxic, ordinary = originals(toxic), originals(ordinary)
     candidates = Candidates(toxic)
-    counts = [(candidates.count(toxic[k::PARTS]), candidates.count(ordinary[k::PARTS])) for k in range(PARTS)]
-    without = lambda side, k: Counter({p: sum(c[side][p] for i, c in enumerate(counts) if i != k) for p in candidates.known})
+    sides = [[candidates.count(docs[k::PARTS]) for k in range(PARTS)] for docs in (toxic, ordinary)]
+
+    def without(side: int, k: int | None) -> Counts:
+        kept = [c for i, c in enumerate(sides[side]) if i != k]
+        return Counter({p: sum(c[0][p] for c in kept) for p in candidates.known}), sum(c[1] for c in kept)
+
     x, y = [], []
     for k in range(PARTS):
         others = [t for i, t in enumerate(toxic) if i % PARTS != k]
-        held = _dictionaries(base, others, candidates, without(0, k), without(1, k), len(ordinary) - len(ordinary[k::PARTS]), rng).compressors()
+        held = _dictionaries(base, others, candidates, without(0, k), without(1, k), rng).compressors()
         for label, texts_ in ((1.0, toxic[k::PARTS]), (0.0, ordinary[k::PARTS])):
             x += [(1.0, *features(t, held)) for t in texts_]
             y += [label] * len(texts_)
-    model, x, y = _dictionaries(base, toxic, candidates, without(0, None), without(1, None), len(ordinary), rng), np.array(x), np.array(y)
+    model, x, y = _dictionaries(base, toxic, candidates, without(0, None), without(1, None), rng), np.array(x), np.array(y)
     scale = np.maximum(x.std(axis=0), 1e-9)
     scale[0] = 1.0
     w = _logistic(x / scale, y) / scale
