@@ -42,7 +42,7 @@ GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 #: Members that one centre's sketch or text is sent for, and shingles of a group in one block, on average.
 SPREAD, BLOCK = 500, 1_000_000
 #: Bytes of text that are hashed at once, the values of bytes, and an odd base whose powers tell their places.
-SEGMENT, BASE = 1 << 21, 0xD1342543DE82EF9B
+SEGMENT, BASE = 1 << 18, 0xD1342543DE82EF9B
 BYTES = np.random.default_rng(11).integers(1 << 62, 1 << 63, 256, np.uint64)
 IS_SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
 SPACES = re.compile(rb"[\x20\x09-\x0D]")
