@@ -5,7 +5,8 @@ Krichevsky-Trofimov counts at every depth, and the weights that mix the depths.
 blocks of bounded size. A block sends every owner of a part of the tree its distinct (context, byte)
 grams with their counts, packed as sorted lists; owners build their subtrees, and answer with the
 code length of each gram asked for, so a block scores its texts with a table of its own. The tree is
-nowhere in one place: what is broadcast are the nodes of depth 0 and 1, at most 65,536.
+nowhere in one place: what is broadcast are the nodes of depth 0 to 2, of the pairs of bytes that
+occur: some hundred thousand, and never more than 2 ** 24.
 
 Beside it stands a baseline, an add-one unigram model of words, whose counts go the same way.
 """
@@ -29,6 +30,7 @@ from .common import FOLD, materialize, texts
 DEPTH = 5
 #: Bytes of text to a block, and bytes that are looked up at once.
 BLOCK_BYTES, CHUNK_BYTES = 32 << 20, 2 << 20
+#: A block sends every owner a message: with more owners than this, messages get many and small.
 MOST_OWNERS = 16384
 #: In no UTF-8 text: stands before a text's first byte and is its last.
 EDGE = b"\xff"
@@ -74,10 +76,10 @@ def chunks(batch: list[bytes], size: int = CHUNK_BYTES) -> Iterator[list[bytes]]
         yield part
 
 
-def _owner_of_context(owners: int) -> np.ndarray:
-    """Of the last two bytes of a context."""
-    h = np.arange(1 << 16, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return ((h >> np.uint64(40)) % np.uint64(owners)).astype(np.int64)
+def _owner_of(gram: np.ndarray, owners: int) -> np.ndarray:
+    """By the last three bytes of the context."""
+    h = ((gram >> 8) & 0xFFFFFF).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return ((h >> np.uint64(24)) % np.uint64(owners)).astype(np.int64)
 
 
 def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -93,8 +95,6 @@ MESSAGES = pa.schema([("block", pa.int32()), ("kind", pa.string()), ("owner", pa
 
 def _ask(depth: int, owners: int):
     """Of a block: its grams and words with their counts in training texts, to each owner."""
-    owner_of = _owner_of_context(owners)
-
     def run(table: pa.Table) -> pa.Table:
         parts: list = []
         words: Counter = Counter()
@@ -116,7 +116,7 @@ def _ask(depth: int, owners: int):
                                     words[w] = 0
         block = table.column("block")[0].as_py()
         g, n = _merged(parts)
-        owner = owner_of[(g >> 8) & 0xFFFF]
+        owner = _owner_of(g, owners)
         order = np.argsort(owner, kind="stable")
         starts = np.searchsorted(owner[order], np.arange(owners + 1))
         for k in range(owners):
@@ -181,8 +181,8 @@ class Subtree:
             above = Level(key, n0, n1, below)
             self.levels[d] = above, where
 
-    def log_probability(self, tops: dict[int, np.ndarray]) -> np.ndarray:
-        """Of each gram's byte in its context. tops: depth -> (weight, n0, n1) by context and decision.
+    def log_probability(self, tops: dict[int, tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """Of each gram's byte in its context. tops: depth -> sorted keys, and (weight, n0, n1) of each.
 
         Below the deepest node that training texts have reached there is nothing to mix.
         """
@@ -192,7 +192,8 @@ class Subtree:
                 level, where = self.levels[d]
                 weight, n0, n1 = level.weight[where], level.n0[where], level.n1[where]
             else:
-                weight, n0, n1 = tops[d][:, self.context & ((1 << (8 * d)) - 1), self.decision]
+                key, values = tops[d]
+                weight, n0, n1 = values[:, np.searchsorted(key, ((self.context & ((1 << (8 * d)) - 1)) << 8) | self.decision)]
             own = (np.where(self.bit == 1, n1, n0) + 0.5) / (n0 + n1 + 1.0)
             mixed = own if mixed is None else np.where(seen, weight * own + (1 - weight) * mixed, own)
             seen = n0 + n1 > 0
@@ -206,29 +207,28 @@ def _received(table: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray
 
 
 #: Owners build the tree down from this depth; what lies above is summed up from them.
-TOP = 2
+TOP = 3
 
 
 def _summary(depth: int):
     def run(table: pa.Table) -> pa.Table:
         _, gram, count = _received(table)
         level, _ = Subtree(gram, count, depth, TOP).levels[TOP]
-        key, where = np.unique(((level.key >> 8 & 255) << 8) | (level.key & 255), return_inverse=True)
+        key, where = np.unique(level.key & 0xFFFFFF, return_inverse=True)
         return pa.table({"node": key, "n0": np.bincount(where, level.n0), "n1": np.bincount(where, level.n1), "below": np.bincount(where, level.log_weighted)})
 
     return run, "node long, n0 double, n1 double, below double"
 
 
-def top_levels(rows: list) -> dict[int, np.ndarray]:
-    """Weights and counts of depth 1 and 0, from the sums over all nodes of depth 2 below each of depth 1."""
-    key = np.array([r.node for r in rows], np.int64)
-    n0, n1, below = (np.array([r[k] for r in rows], float) for k in ("n0", "n1", "below"))
-    one = Level(key, n0, n1, below)
-    decision = key & 255
-    root = Level(np.arange(256), np.bincount(decision, n0, 256), np.bincount(decision, n1, 256), np.bincount(decision, one.log_weighted, 256))
-    first = np.zeros((3, 256, 256))
-    first[:, key >> 8, decision] = one.weight, n0, n1
-    return {1: first, 0: np.stack([root.weight, root.n0, root.n1])[:, None, :]}
+def top_levels(key: np.ndarray, n0: np.ndarray, n1: np.ndarray, below: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Keys, weights and counts of the depths above TOP, from the sums over all nodes of depth TOP below each of the depth above it."""
+    found = {}
+    for d in range(TOP - 1, -1, -1):
+        level = Level(key, n0, n1, below)
+        found[d] = key, np.stack([level.weight, n0, n1])
+        key, where = np.unique(key & ((1 << (8 * max(0, d - 1) + 8)) - 1), return_inverse=True)
+        n0, n1, below = (np.bincount(where, x, len(key)) for x in (n0, n1, level.log_weighted))
+    return found
 
 
 def _answer(depth: int, tops):
@@ -312,7 +312,8 @@ def scores(docs: DataFrame, depth: int = DEPTH, block_bytes: int = BLOCK_BYTES)
     asked = materialize(dealt.groupBy("block").applyInArrow(*_ask(depth, owners)), "asked")
     of_grams, of_words = asked.where("kind = 'gram'"), asked.where("kind = 'word'")
     summed = of_grams.groupBy("owner").applyInArrow(*_summary(depth)).groupBy("node").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("below").alias("below"))
-    tops = spark.sparkContext.broadcast(top_levels(summed.orderBy("node").collect()))
+    top = summed.orderBy("node").toArrow()
+    tops = spark.sparkContext.broadcast(top_levels(*(np.array(top.column(c)) for c in ("node", "n0", "n1", "below"))))
     counted = materialize(of_words.groupBy("owner").applyInArrow(_count, "block int, kind string, keys binary, values binary"), "counted")
     sums = [unpack(bytes(r["values"])) for r in counted.where("kind = 'sum'").select("values").toLocalIterator()]
     distinct, tokens = sum(int(s[0]) for s in sums), sum(int(s[1]) for s in sums)
