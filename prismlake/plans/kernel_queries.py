@@ -14,7 +14,7 @@ from .fixtures import CAMERAS, OBSERVATIONS, PARTS, POINTS, cameras, parts_cloud
 from .registry import register
 
 BOTH = """
-both_seen AS (SELECT o.cam_id, r.r6 * x + r.r7 * y + r.r8 * z + r.t2 AS z1, s.r6 * x + s.r7 * y + s.r8 * z + s.t2 AS z2
+both_seen AS (SELECT o.cam_id, x, y, z, r.r6 * x + r.r7 * y + r.r8 * z + r.t2 AS z1, s.r6 * x + s.r7 * y + s.r8 * z + s.t2 AS z2
   FROM obs o JOIN cameras r ON r.img_id = o.cam_id JOIN cameras s ON s.img_id = o.cam_id + 1 JOIN points p ON p.pt_id = o.pt_id)"""
 
 
@@ -30,11 +30,27 @@ def two_views(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.drop("q1", "q2")
 
 
-@register("g4_triangulate", with_(CAMERAS, POINTS, OBSERVATIONS, BOTH) + "SELECT cam_id, count(*)::BIGINT AS n, true AS recovered FROM both_seen WHERE z1 > 0 AND z2 > 0 GROUP BY 1")
+@register(
+    "g4_triangulate",
+    with_(CAMERAS, POINTS, OBSERVATIONS, BOTH)
+    + "SELECT cam_id, count(*)::BIGINT AS n, round(avg(x) + 1e-7, 4) + 0.0 AS x, round(avg(y) + 1e-7, 4) + 0.0 AS y, round(avg(z) + 1e-7, 4) + 0.0 AS z, round(max(x * y - z) + 1e-7, 4) + 0.0 AS most FROM both_seen WHERE z1 > 0 AND z2 > 0 GROUP BY 1",
+)
 def triangulate(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = two_views(spark, sf_dir).withColumn("x", K.triangulate(F.col("P1"), F.col("P2"), F.col("u1"), F.col("v1"), F.col("u2"), F.col("v2")))
-    error = F.greatest(*(F.abs(F.col("x")[i] - F.col("p")[i]) for i in range(3)))
-    return d.groupBy("cam_id").agg(F.count("*").alias("n"), (F.max(error) < 1e-4).alias("recovered"))
+    x = F.col("x")
+    return d.groupBy("cam_id").agg(F.count("*").alias("n"), *(tidy(F.avg(x[i]) + 1e-7, 4).alias(a) for i, a in enumerate("xyz")), tidy(F.max(x[0] * x[1] - x[2]) + 1e-7, 4).alias("most"))
+
+
+@register(
+    "g5_good_points",
+    with_(CAMERAS, POINTS, OBSERVATIONS)
+    + """, s AS (SELECT o.cam_id, r.r6 * x + r.r7 * y + r.r8 * z + r.t2 AS z1, s.r6 * x + s.r7 * y + s.r8 * z + s.t2 AS z2, x - a.c0 AS px, y - a.c1 AS py, z - a.c2 AS pz, x - b.c0 AS qx, y - b.c1 AS qy, z - b.c2 AS qz
+  FROM obs o JOIN cameras r ON r.img_id = o.cam_id JOIN cameras s ON s.img_id = o.cam_id + 1 JOIN centers a ON a.img_id = r.img_id JOIN centers b ON b.img_id = s.img_id JOIN points p ON p.pt_id = o.pt_id)
+SELECT cam_id, count(*)::BIGINT AS n FROM s WHERE z1 > 0 AND z2 > 0 AND degrees(acos(greatest(-1.0, least(1.0, (px * qx + py * qy + pz * qz) / (sqrt(px * px + py * py + pz * pz) * sqrt(qx * qx + qy * qy + qz * qz)))))) >= 37 GROUP BY 1""",
+)
+def good_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = two_views(spark, sf_dir).withColumn("x", K.triangulate(F.col("P1"), F.col("P2"), F.col("u1"), F.col("v1"), F.col("u2"), F.col("v2")))
+    return K.good_points(d, k(), degrees=37.0).groupBy("cam_id").agg(F.count("*").alias("n"))
 
 
 @register("g25_align_similarity", with_(CAMERAS) + "SELECT count(*)::BIGINT AS n, 2.5::DOUBLE AS scale, round(cos(radians(30.0)), 5) + 0.0 AS r11, 5.0::DOUBLE AS t0 FROM centers")

@@ -46,7 +46,12 @@ def stereo_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "d21_source_views",
-    with_(CAMERAS, TWO) + ", r AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY round(score, 9) DESC, j) AS rank FROM scored) SELECT i, j, rank::INT AS rank FROM r WHERE rank <= 2",
+    with_(CAMERAS)
+    + """, p AS (SELECT a.img_id AS i, b.img_id AS j, sqrt((x.c0 - y.c0) ** 2 + (x.c1 - y.c1) ** 2 + (x.c2 - y.c2) ** 2) AS base,
+  degrees(acos(greatest(-1.0, least(1.0, (a.r0 * b.r0 + a.r1 * b.r1 + a.r2 * b.r2 + a.r3 * b.r3 + a.r4 * b.r4 + a.r5 * b.r5 + a.r6 * b.r6 + a.r7 * b.r7 + a.r8 * b.r8 - 1) / 2)))) AS angle
+  FROM cameras a JOIN centers x USING (img_id) JOIN cameras b ON a.img_id <> b.img_id JOIN centers y ON y.img_id = b.img_id),
+s AS (SELECT i, j, CASE WHEN base > 0.01 AND base < 10 AND angle < 60 THEN base / (1 + angle / 20) ELSE 0.0 END AS score FROM p)
+SELECT i, j, row_number() OVER (PARTITION BY i ORDER BY round(score, 9) DESC, j)::INT AS rank FROM s QUALIFY rank <= 4""",
 )
 def source_views(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.source_views(cameras(spark, sf_dir))

@@ -2,40 +2,56 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 TYPES = {"char": "short", "uchar": "short", "int8": "short", "uint8": "short", "short": "int", "ushort": "int", "int": "int", "uint": "long", "float": "double", "double": "double", "float32": "double", "float64": "double"}
 
 
-def _header(spark: SparkSession, path: str) -> tuple[int, list[tuple[str, str]], int]:
-    """Lines of the header, the vertices' properties and their number; a header is short."""
-    lines = []
-    for r in spark.read.text(path, wholetext=False).limit(200).toLocalIterator():
-        lines.append(r.value.strip())
-        if lines[-1] == "end_header":
-            break
-    if not lines or lines[0] != "ply" or "format ascii 1.0" not in lines:
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """line (from 0) and value of a text file, read in as many parts as it has splits.
+
+    Lines are numbered within each split, and the splits' counts are summed up by their place in the file.
+    """
+    rows = spark.read.text(path).select("value", F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
+    sizes = rows.groupBy("block").agg(F.count("*").alias("n"), F.min("id").alias("first"))
+    before = Window.partitionBy(F.lit(0)).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # a row for each split
+    sizes = sizes.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    return rows.join(F.broadcast(sizes), "block").select((F.col("before") + F.col("id") - F.col("first")).alias("line"), "value")
+
+
+def _header(lines: DataFrame) -> tuple[int, list[tuple[str, str]], int]:
+    """Lines of the header, the vertices' properties and their number."""
+    end = lines.where(F.trim("value") == "end_header").agg(F.min("line").alias("line")).first().line
+    if end is None:
+        raise ValueError("not a PLY file: its header has no end")
+    head = [r.value.strip() for r in lines.where(F.col("line") <= end).orderBy("line").collect()]
+    if head[0] != "ply" or "format ascii 1.0" not in head:
         raise ValueError("not an ASCII PLY file")
     props, element, n = [], None, 0
-    for x in (line.split() for line in lines):
+    for x in (line.split() for line in head):
         if x[:1] == ["element"]:
             element, n = x[1], int(x[2]) if x[1] == "vertex" else n
         elif x[:1] == ["property"] and element == "vertex" and x[1] != "list":
             props.append((x[2], TYPES[x[1]]))
-    return len(lines), props, n
+    return len(head), props, n
 
 
 def read_ply(spark: SparkSession, path: str) -> DataFrame:
-    """The vertices of one file, with its properties as columns. Faces, which have a leading count, are left out.
+    """The vertices of one file, with its properties as columns; faces, which come behind them, are read by read_ply_faces()."""
+    lines = _lines(spark, path)
+    skip, props, n = _header(lines)
+    part = F.split(F.trim("value"), r"\s+")
+    return lines.where((F.col("line") >= skip) & (F.col("line") < skip + n)).select(*(part[k].cast(kind).alias(name) for k, (name, kind) in enumerate(props)))
 
-    A vertex line has as many numbers as there are properties; lines are told apart by place, so the
-    file is read as one split, as its format has it.
-    """
-    skip, props, n = _header(spark, path)
-    rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("line", "text"))
-    part = F.split(F.trim("text"), r"\s+")
-    return rows.where((F.col("line") >= skip) & (F.col("line") < skip + n)).select(*(part[k].cast(kind).alias(name) for k, (name, kind) in enumerate(props)))
+
+def read_ply_faces(spark: SparkSession, path: str) -> DataFrame:
+    """fid (from 0) and vertices, an array of their places, of the lines behind the vertices."""
+    lines = _lines(spark, path)
+    skip, _, n = _header(lines)
+    part = F.split(F.trim("value"), r"\s+")
+    rows = lines.where((F.col("line") >= skip + n) & (F.trim("value") != ""))
+    return rows.select((F.col("line") - skip - n).alias("fid"), F.transform(F.slice(part, 2, part[0].cast("int")), lambda x: x.cast("long")).alias("vertices"))
 
 
 def ply_lines(points: DataFrame, order: str, digits: int = 6) -> DataFrame:

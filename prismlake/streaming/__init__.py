@@ -1 +1 @@
-
+"""Streams of job events."""
