@@ -15,5 +15,8 @@ def spark():
 
     session = local_session("4", "4g", 4)
     session.sparkContext.setLogLevel("ERROR")
+    # plans here are many and rows few: compiling each costs more than it saves
+    session.conf.set("spark.sql.codegen.wholeStage", "false")
+    session.conf.set("spark.sql.codegen.factoryMode", "NO_CODEGEN")
     yield session
     session.stop()
