@@ -107,7 +107,7 @@ def neighbours(points: DataFrame, k: int, cell: float | None = None, axes: tuple
 
     Points meet in a grid: each cell's points are compared with those in the 27 cells around it, in
     blocks. A point is settled once its k-th distance is at most a cell's width, since all nearer points
-    were seen; the others go on with cells twice as wide, until all are settled. Without cell the first
+    were seen; the others go on with cells four times as wide, until all are settled. Without cell the first
     width comes from the density of the bounding box. Cells with many points around are dealt in parts.
     """
     scratch = Scratch(points.sparkSession)
@@ -136,7 +136,7 @@ def neighbours(points: DataFrame, k: int, cell: float | None = None, axes: tuple
         left = scratch.table(left.join(sure, "pt_id", "left_anti"), "left")
         if left.isEmpty():
             break
-        width *= 2
+        width *= 4
     scratch.clear()
     return out if out is not None else rows.sparkSession.createDataFrame([], "pt_id long, nn_id long, d double, rank int")
 

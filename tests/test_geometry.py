@@ -79,7 +79,7 @@ def test_homography_maps_plane_points(spark):
 def test_neighbours_are_exact_with_far_outliers(spark):
     pts = np.vstack([rng.uniform(0, 10, (150, 3)), rng.uniform(500, 900, (4, 3)), [[5e6, 0, 0]]])
     d = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(pts)], "pt_id int, x double, y double, z double")
-    got = {(r.pt_id, r["rank"]): r.d for r in clouds.neighbours(d, 4, 1.0, rings=5).collect()}
+    got = {(r.pt_id, r["rank"]): r.d for r in clouds.neighbours(d, 4, 1.0).collect()}
     full = np.sort(np.linalg.norm(pts[:, None] - pts[None], axis=2), axis=1)
     assert len(got) == 4 * len(pts) and all(got[i, k] == pytest.approx(full[i, k]) for i in range(len(pts)) for k in range(1, 5))
 
