@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import chat, decontaminate, exact_dedup, jaccard, lm, mixing, pii, quality, tokens, toxicity
+from . import chat, decontaminate, exact_dedup, jaccard, lm, merkle, mixing, negatives, pii, quality, simhash, tokens, toxicity
 from .common import small_batches
 
 
@@ -59,5 +59,18 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_attribution, op2_pii, op3_context_tree_scores, op4_quality, op5_exact_dedup, op6_mixing, op7_toxicity, op8_chat_formatting, op9_jaccard_join, op10_decontamination)}
-ORACLES: dict[str, str] = {"op5_exact_dedup": exact_dedup.ORACLE, "op6_mixing": mixing.ORACLE, "op8_chat_formatting": chat.ORACLE, "op9_jaccard_join": jaccard.ORACLE, "op10_decontamination": decontaminate.ORACLE}
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"), merkle.tampered())
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.hard_negatives(negatives.taking_part(table(spark, sf_dir, "embeddings")))
+
+
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return simhash.fingerprinted(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_attribution, op2_pii, op3_context_tree_scores, op4_quality, op5_exact_dedup, op6_mixing, op7_toxicity, op8_chat_formatting, op9_jaccard_join, op10_decontamination, op11_merkle_manifest, op12_hard_negatives, op13_fingerprints)}
+ORACLES: dict[str, str] = {"op5_exact_dedup": exact_dedup.ORACLE, "op6_mixing": mixing.ORACLE, "op8_chat_formatting": chat.ORACLE, "op9_jaccard_join": jaccard.ORACLE, "op10_decontamination": decontaminate.ORACLE, "op11_merkle_manifest": merkle.ORACLE, "op12_hard_negatives": negatives.ORACLE}
