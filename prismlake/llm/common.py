@@ -42,7 +42,8 @@ def _bit(bitmap: Column, position: Column) -> Column:
     return byte.bitwiseAND(F.expr("1").cast("int") * F.pow(F.lit(2), position % 8).cast("int")) != 0
 
 
-def _flagged(rows: DataFrame, ids: DataFrame, column: str, bits: int) -> DataFrame:
+def flagged(rows: DataFrame, ids: DataFrame, column: str, bits: int) -> DataFrame:
+    """Adds filter_hit: false where the row's id is not in ids for sure."""
     slot = F.pmod(F.xxhash64(column), F.lit(bits)) + 1
     out = rows.withColumn("filter_slot", slot).withColumn("filter_bucket", F.expr("bitmap_bucket_number(filter_slot)"))
     out = out.join(F.broadcast(id_filter(ids, column, bits)), "filter_bucket", "left")
@@ -55,11 +56,11 @@ def maybe_in(rows: DataFrame, ids: DataFrame, column: str = "doc_id", bits: int
     The broadcast side is bounded by bits / 8 bytes. With many more ids than bits it lets every row
     through: callers must stay right then, and only shuffle more.
     """
-    return _flagged(rows, ids, column, bits).where("filter_hit").select(rows.columns)
+    return flagged(rows, ids, column, bits).where("filter_hit").select(rows.columns)
 
 
 def without(rows: DataFrame, ids: DataFrame, column: str = "doc_id", bits: int = FILTER_BITS) -> DataFrame:
     """Rows whose id is not in ids: only those that the filter can't clear are shuffled to make sure."""
-    flagged = _flagged(rows, ids, column, bits)
-    unsure = flagged.where("filter_hit").select(rows.columns).join(ids.select(column).distinct(), column, "left_anti").select(rows.columns)
-    return flagged.where("NOT filter_hit").select(rows.columns).unionByName(unsure)
+    marked = flagged(rows, ids, column, bits)
+    unsure = marked.where("filter_hit").select(rows.columns).join(ids.select(column).distinct(), column, "left_anti").select(rows.columns)
+    return marked.where("NOT filter_hit").select(rows.columns).unionByName(unsure)

@@ -1,8 +1,10 @@
 """Exact dedup by a Golomb-coded fingerprint exchange.
 
 Each scan task keeps its fingerprints and sends every owner of a hash range its own as a sorted
-list of Rice-coded gaps. Owners answer with a bitmap of those that occur more than once. Only the
-suspects' texts are shuffled, grouped by their bytes, so a false suspect costs work, never a row.
+list of Rice-coded gaps, each fingerprint once, with a bit for those that it holds twice: what most rows
+share is one number of each task. Owners answer with a bitmap of those that occur more than once. Only
+the suspects' texts are shuffled, grouped by their bytes, so a false suspect costs work, never a row; rows
+that are no suspects stand alone, and are not shuffled at all.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, fold, materialize, maybe_in, texts, without
+from .common import LOWER, UPPER, Scratch, flagged, fold, materialize, maybe_in, texts, without
 
 #: Hashes to one owner at most, on average.
 OWNER_HASHES = 2_000_000
@@ -53,49 +55,65 @@ def rice_decode(payload: bytes, n: int, shift: int) -> np.ndarray:
     return np.cumsum((quotients.astype(np.uint64) << np.uint64(shift)) + remainders, dtype=np.uint64)
 
 
+ROW_KINDS = {"sender": pa.int32(), "owner": pa.int32(), "pos": pa.int32(), "doc_id": pa.int64(), "sha": pa.binary(), "shift": pa.int32(), "payload": pa.binary(), "twice": pa.binary()}
+
+
 def _send(bits: int, owners: int):
-    """Of a scan task: its documents' fingerprints in the order it sends them, then one message to each owner."""
+    """Of a scan task: its documents, each with the place of its fingerprint in the list of an owner, then one list to each owner."""
     width = 1 << bits
     span = -(-width // owners)
-    schema = pa.schema([("sender", pa.int32()), ("owner", pa.int32()), ("pos", pa.int32()), ("doc_id", pa.int64()), ("sha", pa.binary()), ("shift", pa.int32()), ("payload", pa.binary())])
+
+    def rows(n: int, **columns: pa.Array) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([columns.get(c, pa.nulls(n, kind)) for c, kind in ROW_KINDS.items()], names=list(ROW_KINDS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, shas, prints = [], [], []
         for batch in batches:
-            for t in fold(batch.column("text").to_pylist()):
-                prints.append(xxhash.xxh3_64_intdigest(t) >> (64 - bits))
-                shas.append(hashlib.sha256(t).digest())
+            raw = fold(batch.column("text").to_pylist())
+            prints.append(np.fromiter((xxhash.xxh3_64_intdigest(t) >> (64 - bits) for t in raw), np.uint64, len(raw)))
+            shas.append(pa.array([hashlib.sha256(t).digest() for t in raw], pa.binary()))
             ids.append(batch.column("doc_id"))
-        if not prints:
+        if not sum(map(len, prints)):
             return
-        sender, fp = TaskContext.get().partitionId(), np.array(prints, np.uint64)
-        order = np.argsort(fp, kind="stable")
-        fp, owner, ids = fp[order], (fp[order] // np.uint64(span)).astype(np.int32), pa.chunked_array(ids).combine_chunks().take(pa.array(order))
+        sender, (fp, where, counts) = TaskContext.get().partitionId(), np.unique(np.concatenate(prints), return_inverse=True, return_counts=True)
+        owner = (fp // np.uint64(span)).astype(np.int32)
         starts = np.flatnonzero(np.diff(owner, prepend=-1))
         sizes = np.diff(starts, append=len(fp))
-        null = lambda n, kind: pa.nulls(n, kind)
-        for a in range(0, len(fp), 10_000):
-            b = min(a + 10_000, len(fp))
-            pos = np.arange(a, b) - np.repeat(starts, sizes)[a:b]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(b - a, sender, np.int32)), pa.array(owner[a:b]), pa.array(pos.astype(np.int32)), ids.slice(a, b - a), pa.array([shas[k] for k in order[a:b]], pa.binary()), null(b - a, pa.int32()), null(b - a, pa.binary())], schema=schema)
-        shifts, payloads = [], []
-        for a, n in zip(starts, sizes, strict=True):
+        pos, at = (np.arange(len(fp)) - np.repeat(starts, sizes)).astype(np.int32), 0
+        for i, digests in zip(ids, shas, strict=True):
+            own, at = where[at : at + len(i)], at + len(i)
+            yield rows(len(i), sender=pa.array(np.full(len(i), sender, np.int32)), owner=pa.array(owner[own]), pos=pa.array(pos[own]), doc_id=i, sha=digests)
+        shifts, payloads, twice = [], [], []
+        for a, n in zip(starts.tolist(), sizes.tolist(), strict=True):
             low = np.uint64(int(owner[a]) * span)
-            shift = max(0, int(math.log2(max(1.0, span / int(n) * math.log(2)))))
-            shifts.append(shift)
-            payloads.append(rice_encode(fp[a : a + n] - low, shift))
+            shifts.append(max(0, int(math.log2(max(1.0, span / n * math.log(2))))))
+            payloads.append(rice_encode(fp[a : a + n] - low, shifts[-1]))
+            twice.append(np.packbits(counts[a : a + n] > 1, bitorder="little").tobytes())
         n = len(starts)
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, sender, np.int32)), pa.array(owner[starts]), pa.array(sizes.astype(np.int32)), null(n, pa.int64()), null(n, pa.binary()), pa.array(shifts, pa.int32()), pa.array(payloads, pa.binary())], schema=schema)
+        yield rows(n, sender=pa.array(np.full(n, sender, np.int32)), owner=pa.array(owner[starts]), pos=pa.array(sizes.astype(np.int32)), shift=pa.array(shifts, pa.int32()), payload=pa.array(payloads, pa.binary()), twice=pa.array(twice, pa.binary()))
+
+    return run, "sender int, owner int, pos int, doc_id long, sha binary, shift int, payload binary, twice binary"
+
 
-    return run, "sender int, owner int, pos int, doc_id long, sha binary, shift int, payload binary"
+def _bits(bitmap: bytes, n: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(bitmap, np.uint8), bitorder="little")[:n].astype(bool)
 
 
 def _answer(messages: pd.DataFrame) -> pd.DataFrame:
     """Of an owner: for each sender, the bitmap of its hashes that occur more than once anywhere."""
     lists = [rice_decode(p, n, s) for p, n, s in zip(messages.payload, messages.pos, messages["shift"], strict=True)]
     _, where, counts = np.unique(np.concatenate(lists), return_inverse=True, return_counts=True)
-    twice = np.split(counts[where] > 1, np.cumsum(messages.pos.to_numpy())[:-1])
-    return pd.DataFrame({"sender": messages.sender, "owner": messages.owner, "bitmap": [np.packbits(x, bitorder="little").tobytes() for x in twice]})
+    own = np.concatenate([_bits(t, n) for t, n in zip(messages.twice, messages.pos, strict=True)])
+    twice = np.split((counts[where] > 1) | own, np.cumsum(messages.pos.to_numpy())[:-1])
+    return pd.DataFrame({"sender": messages.sender, "owner": messages.owner, "n": messages.pos, "bitmap": [np.packbits(x, bitorder="little").tobytes() for x in twice]})
+
+
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The set bits of the answers' bitmaps."""
+    for batch in batches:
+        pos = [np.flatnonzero(_bits(b, n)).astype(np.int32) for b, n in zip(batch.column("bitmap").to_pylist(), batch.column("n").to_pylist(), strict=True)]
+        sizes = [len(p) for p in pos]
+        yield pa.RecordBatch.from_arrays([*(pa.array(np.repeat(np.array(batch.column(c), np.int32), sizes)) for c in ("sender", "owner")), pa.array(np.concatenate([*pos, np.empty(0, np.int32)]))], names=["sender", "owner", "pos"])
 
 
 def _normalised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,31 +125,35 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 of every row.
 
     Texts are equal when their bytes are, after lower-casing A-Z; null counts as empty, so nulls and
-    empty texts form one group. The largest doc_id of a group stays; of repeated rows with that
+    empty texts form one group. Texts of any length are read whole. The largest doc_id of a group stays; of repeated rows with that
     doc_id all have kept = true. A null doc_id is less than all others, and stays where a group has no
     other. Other columns are ignored; an empty table gives an empty result.
     """
     spark, source = docs.sparkSession, texts(docs)
-    n = max(1, docs.count())
+    scratch, n = Scratch(spark), max(1, docs.count())
     bits = min(62, max(16, math.ceil(math.log2(n)) + EXTRA_BITS))
     owners = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // OWNER_HASHES))
-    send, schema = _send(bits, owners)
-    sent = materialize(source.mapInArrow(send, schema), "fingerprints")
-    prints = sent.where("payload is null").select("sender", "owner", "pos", "doc_id", "sha")
-    messages = sent.where("payload is not null").select("sender", "owner", "pos", "shift", "payload")
-    answers = messages.groupBy("owner").applyInPandas(_answer, "sender int, owner int, bitmap binary")
-    byte = F.conv(F.hex(F.expr("substring(bitmap, pos div 8 + 1, 1)")), 16, 10).cast("int")
-    twice = byte.bitwiseAND(F.pow(F.lit(2), F.col("pos") % 8).cast("int")) != 0
-    suspects = materialize(prints.join(answers, ["sender", "owner"]).where(twice).select("doc_id"), "suspects")
-    # the texts of suspects (and of few others, which are alone in their group) meet by their bytes
+    sent = scratch.table(source.mapInArrow(*_send(bits, owners)), "fingerprints")
+    slot = F.xxhash64("sender", "owner", "pos").alias("slot")
+    prints = sent.where("payload is null").select(slot, "doc_id", "sha")
+    messages = sent.where("payload is not null").select("sender", "owner", "pos", "shift", "payload", "twice")
+    answers = messages.groupBy("owner").applyInPandas(_answer, "sender int, owner int, n int, bitmap binary")
+    suspects = scratch.table(answers.mapInArrow(_places, "sender int, owner int, pos int").select(slot), "suspects")
     room = min(MOST_FILTER_BITS, 1 << max(16, (FILTER_ROOM * suspects.count()).bit_length()))
-    same = maybe_in(source, suspects, bits=room).mapInArrow(_normalised, "doc_id long, norm binary").groupBy("norm").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")).where("group_size > 1")
-    same = materialize(same.select(F.unhex(F.sha2("norm", 256)).alias("sha"), "keep_id", "group_size"), "groups")
+    rows = flagged(prints, suspects, "slot", room)
+    hits = scratch.table(rows.where("filter_hit").select("doc_id", "sha"), "hits")
+    # the texts of suspects (and of few others, which are alone in their group) meet by their bytes
+    same = maybe_in(source, hits, bits=room).mapInArrow(_normalised, "doc_id long, norm binary").groupBy("norm").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")).where("group_size > 1")
+    same = scratch.table(same.select(F.unhex(F.sha2("norm", 256)).alias("sha"), "keep_id", "group_size"), "groups")
     # at most MOST_HOT groups hold more than this share of the rows: they are broadcast, and no task gets all rows of one
     hot = F.broadcast(same.where(F.col("group_size") > n / MOST_HOT))
-    rows = prints.join(hot, "sha").unionByName(prints.join(hot, "sha", "left_anti").join(same, "sha", "left"), allowMissingColumns=True)
+    met = hits.join(hot, "sha").unionByName(hits.join(hot, "sha", "left_anti").join(same, "sha", "left"), allowMissingColumns=True)
+    met = met.unionByName(rows.where("NOT filter_hit").select("doc_id", "sha"), allowMissingColumns=True)
     keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
-    return rows.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), keep.eqNullSafe(F.col("doc_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
+    out = met.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), keep.eqNullSafe(F.col("doc_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
+    out = materialize(out, "exact")
+    scratch.clear()
+    return out
 
 
 def keep_last(docs: DataFrame) -> DataFrame:
@@ -139,7 +161,7 @@ def keep_last(docs: DataFrame) -> DataFrame:
 
     Where a doc_id stands for one row, that row goes by its id; rows of repeated and null ids go by their digests.
     """
-    groups = materialize(exact_groups(docs), "exact")
+    groups = exact_groups(docs)
     gone = groups.where("NOT kept").select("doc_id")
     odd = materialize(groups.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").select("doc_id"), "odd")
     if odd.isEmpty():

@@ -59,6 +59,16 @@ def test_hot_groups_are_broadcast(spark, monkeypatch):
     assert got == {i: (max(groups[t]), len(groups[t])) for i, t, _ in docs}
 
 
+def test_a_text_of_half_the_rows_is_one_hash_of_each_task(spark):
+    docs = table(spark, [(k, "hot" if k % 2 else f"t{k}", "") for k in range(8000)]).repartition(4)
+    run, schema = exact_dedup._send(30, 8)
+    sent = exact_dedup.texts(docs).mapInArrow(run, schema).where("payload is not null")
+    load = [r.n for r in sent.groupBy("owner").agg({"pos": "sum"}).toDF("owner", "n").collect()]
+    assert len(load) == 8 and max(load) <= 2 * sum(load) / 8 and sum(load) == 4000 + 4
+    got = exact_dedup.exact_groups(docs).where("group_size > 1").agg({"*": "count", "keep_id": "max", "group_size": "max"}).first()
+    assert sorted(got) == [4000, 4000, 7999]
+
+
 def test_contamination_of_repeated_and_null_ids(spark, rows):
     bench = spark.createDataFrame([(None, "only five"), ("q", OTHER), ("q", "alone here"), ("r", "")], "item_id string, text string")
     extra = [*rows, (5, "clean text of many other words"), (None, "only five words")]
