@@ -414,15 +414,19 @@ class Join:
         # a group of two is the centre and its member, and settled
         rows = groups.where("size > 2").join(found, F.col("class") == F.col("found_class"), "left").select("key", "class", "band", F.coalesce("component", "class").alias("component"))
         still = rows.groupBy("key").agg(F.min("component").alias("first"), F.max("component").alias("last")).where("first <> last").select("key")
-        rows = rows.join(still, "key", "left_semi").join(self.sketches, (F.col("class") == F.col("sketch_class")) & (F.col("band") == F.col("sketch_band")))
-        rows = self.scratch.table(rows.select("key", "class", "component", "n", "sketch"), "open")
+        # sketches join behind the blocks, and in each round only those of its groups
+        sizes = self.sketches.select("sketch_class", "sketch_band", "n")
+        of = (F.col("class") == F.col("sketch_class")) & (F.col("band") == F.col("sketch_band"))
+        rows = self.scratch.table(rows.join(still, "key", "left_semi").join(sizes, of).select("key", "class", "band", "component", "n"), "open")
         sizes = rows.groupBy("key").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
         rows = rows.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        rows = rows.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "class", "component", "n", "sketch", F.lit(None).cast("long").alias("member"), F.lit(None).cast("boolean").alias("link"))
+        rows = self.scratch.table(rows.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "class", "band", "component"), "blocks")
         place, schema = ["key", "low", "high"], "key long, low int, high int, centre long, member long"
-        asked, most = rows.limit(0).select(*place, "class", "member", "link"), 1
+        empty = [F.lit(None).cast("long").alias("member"), F.lit(None).cast("boolean").alias("link")]
+        asked, most = rows.limit(0).select(*place, "class", *empty), 1
         while True:
-            dealt_ = rows.unionByName(asked, allowMissingColumns=True).repartition(*place).sortWithinPartitions(*place, "class", "member")
+            full = rows.join(self.sketches, of).select(*place, "block", "class", "component", "n", "sketch", *empty)
+            dealt_ = full.unionByName(asked, allowMissingColumns=True).repartition(*place).sortWithinPartitions(*place, "class", "member")
             across = self.scratch.table(dealt_.mapInArrow(_forests(self.percent, most), schema), "across")
             if across.isEmpty():
                 return links
@@ -435,7 +439,7 @@ class Join:
             if left.isEmpty():
                 return links
             asked = asked.unionByName(told.select(*place, F.col("centre").alias("class"), "member", "link"))
-            rows, most = rows.join(left, place, "left_semi"), most * 8
+            rows, most = self.scratch.table(rows.join(left, place, "left_semi"), "blocks"), most * 8
 
     def labels(self) -> DataFrame:
         """class, component of all classes that others, or other rows, share an id with."""
