@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.linear import add, dot, norm, scale, sub, vec
+from ..functions.linear import add, det, dot, norm, scale, sub, vec
 from .cameras import camera_to_world, center, project, world_to_camera
 from .clouds import quantiles
 from .poses import next_images
@@ -44,7 +44,10 @@ def scene_scale(cameras: DataFrame) -> DataFrame:
 
 
 def decompose_projection(d: DataFrame, p: str = "P") -> DataFrame:
-    """Adds K (9 numbers, the last 1), R and t of projection matrices of 12 numbers, by orthogonalising rows from the last up."""
+    """Adds K (9 numbers, the last 1), R and t of projection matrices of 12 numbers, by orthogonalising rows from the last up. The sign of a matrix is as free as its scale: that counts under which R is a rotation."""
+    given, p = p, "_P"
+    flip = F.when(det(vec(*(F.col(given)[4 * i + j] for i in range(3) for j in range(3)))) < 0, -1.0).otherwise(1.0)
+    d = d.withColumn("_s", flip).withColumn(p, vec(*(F.col(given)[i] * F.col("_s") for i in range(12))))
     row = lambda k: vec(*(F.col(p)[4 * k + j] for j in range(3)))
     d = d.withColumn("_k22", norm(row(2))).withColumn("_r2", scale(row(2), 1 / F.col("_k22")))
     d = d.withColumn("_k12", dot(row(1), F.col("_r2"))).withColumn("_b", sub(row(1), scale(F.col("_r2"), F.col("_k12"))))
@@ -56,7 +59,7 @@ def decompose_projection(d: DataFrame, p: str = "P") -> DataFrame:
     d = d.withColumn("_t0", (F.col(p)[3] - F.col("_k01") * F.col("_t1") - F.col("_k02") * F.col("_t2")) / F.col("_k00"))
     k = vec(*(F.col(c) / F.col("_k22") for c in ("_k00", "_k01", "_k02")), 0, *(F.col(c) / F.col("_k22") for c in ("_k11", "_k12")), 0, 0, 1)
     r = vec(*(F.col(f"_r{i}")[j] for i in range(3) for j in range(3)))
-    return d.withColumns({"K": k, "R": r, "t": vec(F.col("_t0"), F.col("_t1"), F.col("_t2"))}).drop("_k22", "_r2", "_k12", "_b", "_k11", "_r1", "_k02", "_k01", "_c", "_k00", "_r0", "_t0", "_t1", "_t2")
+    return d.withColumns({"K": k, "R": r, "t": vec(F.col("_t0"), F.col("_t1"), F.col("_t2"))}).drop("_k22", "_r2", "_k12", "_b", "_k11", "_r1", "_k02", "_k01", "_c", "_k00", "_r0", "_t0", "_t1", "_t2", "_P", "_s")
 
 
 def has_node(asked: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -92,16 +95,23 @@ def baselines(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return d.withColumn("baseline", F.coalesce(norm(sub(F.col("_a"), F.col("_b"))), F.lit(0.0))).drop("_a", "_b")
 
 
-NODE = "struct<img_id:long,R:array<double>,t:array<double>>"
+NODE, EDGE = "struct<img_id:long,R:array<double>,t:array<double>>", "struct<src:long,dst:long,weight:long>"
 
 
-def to_json(nodes: DataFrame) -> DataFrame:
-    """A JSON line for each node, which from_json() reads back; files of lines are read and written in parts."""
-    return nodes.select(F.to_json(F.struct(F.col("img_id").cast("long").alias("img_id"), "R", "t")).alias("value"))
+def to_json(nodes: DataFrame, edges: DataFrame | None = None) -> DataFrame:
+    """A JSON line for each node, and for each edge (src, dst, weight), which from_json() and edges_from_json() read back; files of lines are read and written in parts."""
+    lines = nodes.select(F.to_json(F.struct(F.col("img_id").cast("long").alias("img_id"), "R", "t")).alias("value"))
+    return lines if edges is None else lines.unionByName(edges.select(F.to_json(F.struct(*(F.col(c).cast("long").alias(c) for c in ("src", "dst", "weight")))).alias("value")))
 
 
 def from_json(lines: DataFrame) -> DataFrame:
-    return lines.select(F.from_json("value", NODE).alias("x")).select("x.*")
+    """The nodes of a graph's lines."""
+    return lines.select(F.from_json("value", NODE).alias("x")).select("x.*").where("img_id IS NOT NULL")
+
+
+def edges_from_json(lines: DataFrame) -> DataFrame:
+    """The edges of a graph's lines."""
+    return lines.select(F.from_json("value", EDGE).alias("x")).select("x.*").where("src IS NOT NULL")
 
 
 def image_rays(cameras: DataFrame, width: int, height: int, focal: float, cx: float, cy: float, focal_y: float | None = None) -> DataFrame:

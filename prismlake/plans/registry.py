@@ -23,5 +23,11 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-for _module in ("camera", "matching", "cloud", "pose", "render", "mesh", "kernel", "scene", "depth", "two_view"):
-    importlib.import_module(f"prismlake.plans.{_module}_queries")
+MODULES = ("camera", "matching", "cloud", "pose", "render", "mesh", "kernel", "scene", "depth", "two_view", "reconstruction")
+
+
+def load() -> tuple[dict[str, Query], dict[str, str]]:
+    """All queries and their SQL. The modules register themselves, and each can also be imported alone."""
+    for module in MODULES:
+        importlib.import_module(f"prismlake.plans.{module}_queries")
+    return QUERIES, ORACLES

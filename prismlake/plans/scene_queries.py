@@ -36,8 +36,8 @@ def scene_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def decompose(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = vec(800.0 + F.col("img_id") % 7, 0, 320.0 + F.col("img_id") % 3, 0, 790, 240, 0, 0, 1)
-    # the scale of a projection matrix says nothing
-    p = cameras(spark, sf_dir).withColumn("k", own).withColumn("P0", C.projection_matrix(F.col("k"), F.col("R"), F.col("t"))).select("img_id", F.transform("P0", lambda x: x * 3.0).alias("P"))
+    # the scale of a projection matrix says nothing, nor does its sign
+    p = cameras(spark, sf_dir).withColumn("k", own).withColumn("P0", C.projection_matrix(F.col("k"), F.col("R"), F.col("t"))).select("img_id", F.transform("P0", lambda x: x * F.when(F.col("img_id") % 2 == 0, 3.0).otherwise(-3.0)).alias("P"))
     d = S.decompose_projection(p)
     return d.select("img_id", tidy(F.col("K")[0]).alias("fx"), tidy(F.col("K")[2]).alias("cx"), tidy(F.col("K")[5]).alias("cy"), *(tidy(F.col("R")[i]).alias(f"r{i}") for i in (2, 3, 7)), *parts_of("t", "t0 t1 t2"))
 
@@ -88,7 +88,13 @@ def baselines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("g20_graph_json", with_(CAMERAS) + "SELECT img_id, round(r3, 6) + 0.0 AS r3, round(r8, 6) + 0.0 AS r8, round(t1, 6) + 0.0 AS t1 FROM cameras")
 def graph_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.from_json(S.to_json(cameras(spark, sf_dir))).select("img_id", tidy(F.col("R")[3]).alias("r3"), tidy(F.col("R")[8]).alias("r8"), tidy(F.col("t")[1]).alias("t1"))
+    edges = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("src"), (F.col("s_suppkey") + 1).alias("dst"), F.lit(1).alias("weight"))
+    return S.from_json(S.to_json(cameras(spark, sf_dir), edges)).select("img_id", tidy(F.col("R")[3]).alias("r3"), tidy(F.col("R")[8]).alias("r8"), tidy(F.col("t")[1]).alias("t1"))
+
+
+@register("g20_graph_edges_json", with_(EDGES) + "SELECT src, dst, weight FROM edges")
+def graph_edges_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.edges_from_json(S.to_json(cameras(spark, sf_dir), edges(spark, sf_dir)))
 
 
 RAYS = """

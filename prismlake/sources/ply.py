@@ -9,15 +9,16 @@ TYPES = {"char": "short", "uchar": "short", "int8": "short", "uint8": "short", "
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """line (from 0) and value of a text file, read in as many parts as it has splits.
+    """line (from 0) and value of a text file, or of a folder's files in the order of their names, read in as many parts as there are splits.
 
-    Lines are numbered within each split, and the splits' counts are summed up by their place in the file.
+    Lines are numbered within each split, and the splits' counts are summed up by their places.
     """
-    rows = spark.read.text(path).select("value", F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
-    sizes = rows.groupBy("block").agg(F.count("*").alias("n"), F.min("id").alias("first"))
-    before = Window.partitionBy(F.lit(0)).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # a row for each split
+    place = ["file", "block"]
+    rows = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
+    sizes = rows.groupBy(*place).agg(F.count("*").alias("n"), F.min("id").alias("first"))
+    before = Window.partitionBy(F.lit(0)).orderBy(*place).rowsBetween(Window.unboundedPreceding, -1)  # a row for each split
     sizes = sizes.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    return rows.join(F.broadcast(sizes), "block").select((F.col("before") + F.col("id") - F.col("first")).alias("line"), "value")
+    return rows.join(sizes, place).select((F.col("before") + F.col("id") - F.col("first")).alias("line"), "value")
 
 
 def _header(lines: DataFrame) -> tuple[int, list[tuple[str, str]], int]:
@@ -38,7 +39,7 @@ def _header(lines: DataFrame) -> tuple[int, list[tuple[str, str]], int]:
 
 
 def read_ply(spark: SparkSession, path: str) -> DataFrame:
-    """The vertices of one file, with its properties as columns; faces, which come behind them, are read by read_ply_faces()."""
+    """The vertices of a file, or of a folder that write_ply() wrote, with its properties as columns; faces, which come behind them, are read by read_ply_faces()."""
     lines = _lines(spark, path)
     skip, props, n = _header(lines)
     part = F.split(F.trim("value"), r"\s+")

@@ -9,7 +9,9 @@ def test_ply_round_trip(spark, tmp_path):
     write_ply(d, str(tmp_path / "parts"), "id")
     whole = "".join(p.read_text() for p in sorted((tmp_path / "parts").glob("part-*")))
     (tmp_path / "cloud.ply").write_text(whole)
+    parts = read_ply(spark, str(tmp_path / "parts")).collect()
     back = read_ply(spark, str(tmp_path / "cloud.ply")).collect()
+    assert len(list((tmp_path / "parts").glob("part-*"))) > 1 and sorted(parts) == sorted(back)
     assert len(back) == 20 and [r.x for r in back] == [r[1] for r in rows] and back[1].z == 0.333333
     assert [r.red for r in back] == [10 * k for k in range(20)] and back[0].green == 255
 

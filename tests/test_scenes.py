@@ -117,3 +117,13 @@ def test_good_points_and_shade(spark):
     d = spark.range(1).select(N.shade(F.array(F.lit(0.0), F.lit(1.0), F.lit(0.0)), F.array(F.lit(0.0), F.lit(1.0), F.lit(0.0))).alias("a"), N.shade(F.array(F.lit(0.0), F.lit(-1.0), F.lit(0.0)), F.array(F.lit(0.0), F.lit(1.0), F.lit(0.0))).alias("b")).first()
     assert d.a == 1.0 and d.b == 0.25
     assert callable(kernels.good_points) and callable(meshes.clean)
+
+
+def test_projections_of_either_sign_have_rotations(spark):
+    k = np.array([[700.0, 2, 300], [0, 650, 200], [0, 0, 1]])
+    r = np.linalg.qr(np.random.default_rng(2).normal(size=(3, 3)))[0]
+    r *= np.linalg.det(r)
+    p = k @ np.column_stack([r, [0.3, -0.2, 5.0]])
+    rows = [(s, (p * s).ravel().tolist()) for s in (-3.0, -0.01, 1.0, 40.0)]
+    for x in scenes.decompose_projection(spark.createDataFrame(rows, "s double, P array<double>")).collect():
+        assert np.allclose(np.array(x.K).reshape(3, 3), k) and np.allclose(np.array(x.R).reshape(3, 3), r) and np.allclose(x.t, [0.3, -0.2, 5.0])

@@ -1,48 +1,34 @@
-"""Source views against the reference's loop."""
+"""Source views against the query's SQL, on its own tables and on random cameras."""
 
 import duckdb
 import numpy as np
+import pandas as pd
 
 import __spark_entry__ as entry
 from prismlake.operators import poses
-from prismlake.plans.fixtures import CAMERAS, with_
+from prismlake.operators.bundle import turned
 
 SMALL = "/root/testdata/sf0.001"
-#: Written from the reference.
-SQL = (
-    with_(CAMERAS)
-    + """, p AS (SELECT a.img_id AS i, b.img_id AS j, sqrt((x.c0 - y.c0) ** 2 + (x.c1 - y.c1) ** 2 + (x.c2 - y.c2) ** 2) AS base,
-  degrees(acos(greatest(-1.0, least(1.0, (a.r0 * b.r0 + a.r1 * b.r1 + a.r2 * b.r2 + a.r3 * b.r3 + a.r4 * b.r4 + a.r5 * b.r5 + a.r6 * b.r6 + a.r7 * b.r7 + a.r8 * b.r8 - 1) / 2)))) AS angle
-  FROM cameras a JOIN centers x USING (img_id) JOIN cameras b ON a.img_id <> b.img_id JOIN centers y ON y.img_id = b.img_id),
-s AS (SELECT i, j, CASE WHEN base > 0.01 AND base < 10 AND angle < 60 THEN base / (1 + angle / 20) ELSE 0.0 END AS score FROM p)
-SELECT i, j, row_number() OVER (PARTITION BY i ORDER BY round(score, 9) DESC, j)::INT AS rank FROM s QUALIFY rank <= 4"""
-)
-
-
-def chosen(rows, most=4):
-    out = set()
-    for i, r, t in rows:
-        scores = []
-        for j, q, s in rows:
-            if j != i:
-                base = np.linalg.norm(-q.T @ s + r.T @ t)
-                angle = np.degrees(np.arccos(np.clip((np.trace(q @ r.T) - 1) / 2, -1, 1)))
-                scores.append((j, base / (1 + angle / 20) if 0.01 < base < 10 and angle < 60 else 0.0))
-        scores.sort(key=lambda x: -x[1])
-        out |= {(i, j, k + 1) for k, (j, _) in enumerate(scores[:most])}
-    return out
+SQL = entry.oracle_sql()["d21_source_views"]
+
+
+def from_sql(rows):
+    """What the SQL says of other cameras: its tables of the suppliers' cameras give way to these."""
+    names = ["img_id", *(f"r{i}" for i in range(9)), *(f"t{i}" for i in range(3)), *(f"c{i}" for i in range(3))]
+    table = pd.DataFrame([(k, *r.ravel(), *t, *(-r.T @ t)) for k, r, t in rows], columns=names)
+    con = duckdb.connect()
+    con.register("given", table)
+    return set(con.execute("WITH cameras AS (SELECT * FROM given), centers AS (SELECT img_id, c0, c1, c2 FROM given)" + SQL[SQL.index(", p AS") :]).fetchall())
 
 
 def test_all_other_cameras_are_candidates(spark):
-    gen, rows = np.random.default_rng(4), []
-    for k in range(60):
-        a, b = gen.uniform(0, 0.9, 2) * (4 if k % 7 == 0 else 1)
-        r = np.array([[np.cos(a), 0, np.sin(a)], [0, 1, 0], [-np.sin(a), 0, np.cos(a)]]) @ np.array([[1, 0, 0], [0, np.cos(b), -np.sin(b)], [0, np.sin(b), np.cos(b)]])
-        rows.append((k, r, -r @ gen.uniform(-12, 12, 3) * (30 if k % 11 == 0 else 1)))
+    gen = np.random.default_rng(4)
+    turns = turned(gen.uniform(0, 1, (60, 3)) * np.where(np.arange(60) % 7 == 0, 3, 0.8)[:, None])
+    rows = [(k, turns[k], -turns[k] @ gen.uniform(-12, 12, 3) * (30 if k % 11 == 0 else 1)) for k in range(60)]
     d = spark.createDataFrame([(k, r.ravel().tolist(), t.tolist()) for k, r, t in rows], "img_id int, R array<double>, t array<double>")
-    assert {tuple(x) for x in poses.source_views(d).collect()} == chosen(rows)
+    assert {tuple(x) for x in poses.source_views(d).collect()} == from_sql(rows)
     few = {tuple(x) for x in poses.source_views(d.where("img_id < 3")).collect()}
-    assert few == chosen(rows[:3]) and len(few) == 6
+    assert few == from_sql(rows[:3]) and len(few) == 6
 
 
 def test_query(spark):
