@@ -26,6 +26,8 @@ from ..session import Scratch, materialize
 PART = 20_000
 #: Cameras at most: their poses and blocks, some 400 bytes each, lie on the driver and go to every task.
 MOST_CAMERAS = 1_000_000
+#: Squared pixels an observation under which nothing is left to gain.
+VANISHES = 1e-16
 #: Steps of conjugate gradients at most, and the share of the residual at which they end.
 INNER, FORCING = 50, 0.05
 LISTS = pa.list_(pa.float64())
@@ -223,7 +225,7 @@ def bundle_adjust(cameras: DataFrame, points: DataFrame, observations: DataFrame
     held: cameras that stay, by default the one of the smallest id; an empty list holds none. Observations
     of unknown cameras or points, or with null pixels, don't count, and points without any stay out. Steps
     end after so many rounds, or when an accepted one lowers the squared error by less than the tolerance's
-    share. Errors never grow: a step that would is taken back and damped more.
+    share or leaves next to none. Errors never grow: a step that would is taken back and damped more.
     """
     spark: SparkSession = cameras.sparkSession
     known = cameras.select(F.col("img_id").cast("long").alias("img_id"), "R", "t").orderBy("img_id").limit(MOST_CAMERAS + 1).toArrow()
@@ -237,7 +239,8 @@ def bundle_adjust(cameras: DataFrame, points: DataFrame, observations: DataFrame
     seen = observations.where("u IS NOT NULL AND v IS NOT NULL").select(F.col("img_id").cast("long").alias("img_id"), F.col("pt_id").cast("long").alias("pt_id"), F.col("u").cast("double").alias("u"), F.col("v").cast("double").alias("v"))
     seen = seen.join(index, "img_id").join(points.select(F.col("pt_id").cast("long").alias("pt_id"), "p"), "pt_id").select("cam", "pt_id", "p", "u", "v")
     seen = scratch.table(seen, "observed")
-    parts = max(1, -(-seen.count() // PART))
+    count = seen.count()
+    parts = max(1, -(-count // PART))
     packed = seen.withColumn("part", F.pmod(F.xxhash64("pt_id"), F.lit(parts)).cast("int")).groupBy("part").applyInArrow(_pack, PARTS)
     problem, now, damping = _Problem(scratch.table(packed, "parts"), k), (r, t), 1e-3
     costs = [problem.cost(now)]
@@ -252,7 +255,7 @@ def bundle_adjust(cameras: DataFrame, points: DataFrame, observations: DataFrame
             gain = (costs[-1] - cost) / costs[-1]
             problem, now, damping = moved, after, max(damping / 10, 1e-12)
             costs.append(cost)
-            if gain < tolerance:
+            if gain < tolerance or cost <= VANISHES * count:
                 break
         else:
             damping *= 10
