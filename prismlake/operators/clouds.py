@@ -13,6 +13,8 @@ from ..session import Scratch, materialize
 
 #: Points to a cell of an evenly filled box, points around a cell to one task, and pairs compared at once.
 CELL_POINTS, PART_POINTS, BLOCK_PAIRS = 24, 50_000, 2_000_000
+#: Points of one cell that begin with narrower cells, and how often cells are cut to a quarter of their width.
+CROWD, MOST_LEVELS = 2_000, 12
 #: Buckets of values in which quantiles are looked for.
 BUCKETS = 100_000
 
@@ -102,43 +104,77 @@ def _nearest(k: int, axes: tuple[str, ...]):
     return run
 
 
-def neighbours(points: DataFrame, k: int, cell: float | None = None, axes: tuple[str, ...] = ("x", "y", "z")) -> DataFrame:
-    """pt_id, nn_id, d, rank: the exact k nearest others of every point, ties by id.
+def _cells(width: float, axes: tuple[str, ...]) -> dict:
+    return {f"c{a}": F.floor(F.col(a) / width).cast("long") for a in axes}
+
+
+def _crowds(points: DataFrame, width: float, axes: tuple[str, ...], scratch: Scratch) -> DataFrame:
+    """Adds level: how often a point's cell must be cut to a quarter of its width until it isn't crowded."""
+    out, rest, names = None, points.withColumn("level", F.lit(0)), [f"c{a}" for a in axes]
+    for level in range(MOST_LEVELS):
+        placed = rest.withColumns(_cells(width / 4**level, axes))
+        crowded = scratch.table(placed.groupBy(*names).agg(F.count("*").alias("n")).where(F.col("n") > CROWD).select(*names), "crowded")
+        calm = placed.join(crowded, names, "left_anti").select(*points.columns, "level") if not crowded.isEmpty() else rest
+        out = calm if out is None else out.unionByName(calm)
+        if crowded.isEmpty():
+            return out
+        rest = scratch.table(placed.join(crowded, names, "left_semi").select(*points.columns, F.lit(level + 1).alias("level")), "crowd")
+    return out.unionByName(rest)  # what is left lies in one place
+
+
+def neighbours(points: DataFrame, k: int, cell: float | None = None, axes: tuple[str, ...] = ("x", "y", "z"), queries: DataFrame | None = None) -> DataFrame:
+    """pt_id, nn_id, d, rank: the exact k nearest others of every point, ties by id; of every row of queries, whose ids are no points' ids, if given.
 
     Points meet in a grid: each cell's points are compared with those in the 27 cells around it, in
     blocks. A point is settled once its k-th distance is at most a cell's width, since all nearer points
-    were seen; the others go on with cells four times as wide, until all are settled. Without cell the first
-    width comes from the density of the bounding box. Cells with many points around are dealt in parts.
+    were seen; the others go on with cells four times as wide, until all are settled. Points of crowded
+    cells begin with narrower ones. Without cell the first width comes from the density of the box that
+    holds all but the outermost hundredth of each axis, so that far points don't widen it. Cells with many
+    points around are dealt in parts, and so are many points of one cell.
     """
     scratch = Scratch(points.sparkSession)
-    rows = scratch.table(points.select(F.col("pt_id").cast("long").alias("pt_id"), *(F.col(a).cast("double").alias(a) for a in axes)), "points")
-    ends = rows.agg(F.count("*").alias("n"), *(f(a).alias(f"{name}{a}") for a in axes for name, f in (("lo", F.min), ("hi", F.max)))).first()
-    want, left, out, width = min(k, ends.n - 1), rows, None, cell
+    tidy = lambda d: d.select(F.col("pt_id").cast("long").alias("pt_id"), *(F.col(a).cast("double").alias(a) for a in axes))
+    rows = scratch.table(tidy(points), "points")
+    asked = rows if queries is None else scratch.table(tidy(queries), "queries")
+    ends = rows.agg(F.count("*").alias("n"), *(F.percentile_approx(a, F.array(F.lit(0.01), F.lit(0.99)), 1000).alias(a) for a in axes)).first()
+    want, width = min(k, ends.n - (queries is None)), cell
     if not width:
-        sides = [ends[f"hi{a}"] - ends[f"lo{a}"] for a in axes if ends.n and ends[f"hi{a}"] > ends[f"lo{a}"]]
+        sides = [ends[a][1] - ends[a][0] for a in axes if ends.n and ends[a][1] > ends[a][0]]
         width = (math.prod(sides) * max(CELL_POINTS, 2 * k) / ends.n) ** (1 / len(sides)) if sides else 1.0
     names, offsets = [f"c{a}" for a in axes], F.explode(F.array(*(F.array(*(F.lit(n // 3**i % 3 - 1) for i in range(len(axes)))) for n in range(3 ** len(axes)))))
+    asked = scratch.table(_crowds(asked, width, axes, scratch), "levels") if want > 0 else asked.withColumn("level", F.lit(0))
+    level = (asked.agg(F.max("level")).first()[0] or 0) if want > 0 else 0
+    left, out = asked.where(F.col("level") == level).drop("level"), None
     while want > 0:
-        cells = {f"c{a}": F.floor(F.col(a) / width).cast("long") for a in axes}
-        probe = left.withColumns(cells)
-        visits = rows.withColumnRenamed("pt_id", "nn_id").withColumns(cells).withColumn("o", offsets).select("nn_id", *axes, *((F.col(f"c{a}") + F.col("o")[i]).alias(f"c{a}") for i, a in enumerate(axes)))
-        visits = visits.join(probe.select(*names).distinct(), names, "left_semi")
-        sizes = visits.groupBy(*names).agg(F.ceil(F.count("*") / PART_POINTS).cast("int").alias("parts"))
-        base = visits.join(sizes, names).withColumn("part", F.pmod(F.xxhash64("nn_id"), F.col("parts")).cast("int"))
-        asked = probe.join(sizes, names).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        base, asked = (d.select(*keep).toDF(*keep) for d, keep in ((base, [*names, "part", "nn_id", *axes]), (asked, [*names, "part", "pt_id", *axes])))
-        near = asked.groupBy(*names, "part").cogroup(base.groupBy(*names, "part")).applyInArrow(_nearest(want, axes), "pt_id long, nn_id long, d double")
+        wide = width / 4.0**level
+        probe = left.withColumns(_cells(wide, axes))
+        # the cells around each asked cell, each with the asked cell that it is near
+        around = probe.select(*(F.col(c).alias(f"to_{c}") for c in names)).distinct().withColumn("o", offsets)
+        around = around.select(*(f"to_{c}" for c in names), *((F.col(f"to_{c}") + F.col("o")[i]).alias(c) for i, c in enumerate(names)))
+        base = rows.withColumnRenamed("pt_id", "nn_id").withColumns(_cells(wide, axes)).join(around, names).select("nn_id", *axes, *(F.col(f"to_{c}").alias(c) for c in names))
+        sizes = base.groupBy(*names).agg(F.ceil(F.count("*") / PART_POINTS).cast("int").alias("parts"))
+        shares = probe.groupBy(*names).agg(F.ceil(F.count("*") / PART_POINTS).cast("int").alias("shares"))
+        sizes = sizes.join(shares, names)
+        base = base.join(sizes, names).withColumn("part", F.pmod(F.xxhash64("nn_id"), F.col("parts")).cast("int")).withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
+        seek = probe.join(sizes, names).withColumn("share", F.pmod(F.xxhash64("pt_id"), F.col("shares")).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        keys = [*names, "part", "share"]
+        base, seek = (d.select(*keep).toDF(*keep) for d, keep in ((base, [*keys, "nn_id", *axes]), (seek, [*keys, "pt_id", *axes])))
+        near = seek.groupBy(*keys).cogroup(base.groupBy(*keys)).applyInArrow(_nearest(want, axes), "pt_id long, nn_id long, d double")
         near = near.withColumn("rank", F.row_number().over(Window.partitionBy("pt_id").orderBy("d", "nn_id"))).where(F.col("rank") <= want)
         near = materialize(near, "near")
-        sure = near.groupBy("pt_id").agg(F.max("d").alias("far"), F.count("*").alias("found")).where((F.col("found") == want) & (F.col("far") <= width)).select("pt_id")
+        sure = near.groupBy("pt_id").agg(F.max("d").alias("far"), F.count("*").alias("found")).where((F.col("found") == want) & (F.col("far") <= wide)).select("pt_id")
         part = near.join(sure, "pt_id", "left_semi")
         out = part if out is None else out.unionByName(part)
-        left = scratch.table(left.join(sure, "pt_id", "left_anti"), "left")
-        if left.isEmpty():
+        left = left.join(sure, "pt_id", "left_anti")
+        level -= 1
+        if level >= 0:
+            left = left.unionByName(asked.where(F.col("level") == level).drop("level"))
+        left = scratch.table(left, "left")
+        if level < 0 and left.isEmpty():
             break
-        width *= 4
+    out = materialize(out, "neighbours") if out is not None else rows.sparkSession.createDataFrame([], "pt_id long, nn_id long, d double, rank int")
     scratch.clear()
-    return out if out is not None else rows.sparkSession.createDataFrame([], "pt_id long, nn_id long, d double, rank int")
+    return out
 
 
 def statistical_outliers(points: DataFrame, k: int = 20, spread: float = 2.0, cell: float | None = None) -> DataFrame:
