@@ -7,11 +7,12 @@ up and backward (y up, looking along -z), or right, down and forward.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.linear import add, cross, mat_vec, norm, scale, sub, vec
 from ..session import materialize
+from .cameras import center, quaternion, quaternion_matrix, slerp
 from .clouds import quantiles
 
 TINY = 1e-8
@@ -65,3 +66,22 @@ def spiral(frames: DataFrame, t: Column, poses: DataFrame, turns: float = 2.0, r
     d = frames.withColumn("_o", vec(radius * F.cos(turn), radius * F.sin(turn), radius * 0.5 * rise * F.sin(t * 2 * np.pi + phase)))
     d = materialize(d.withColumn("_at", add(vec(*middle), mat_vec(vec(*r.ravel().tolist()), F.col("_o")))).drop("_o"), "spiral")
     return looking(d, F.col("_at"), vec(*middle), vec(*r[:, 1].tolist())).drop("_at")
+
+
+def key_frame_path(keys: DataFrame, frames: int, order: str) -> DataFrame:
+    """frame, R, t of so many frames on a path through key cameras (R, t), which follow each other by order at even times.
+
+    Rotations go the short way between neighbours, centres on straight lines. One key stands still; without any there is no frame.
+    """
+    keys = materialize(keys.select(order, "R", "t"), "keys")  # so that expressions over them start from columns
+    place = Window.partitionBy(F.lit(0)).orderBy(order)  # a row for each key
+    at = keys.select((F.row_number().over(place) - 1).alias("i"), F.count("*").over(Window.partitionBy(F.lit(0))).alias("n"), quaternion(F.col("R")).alias("q"), center(F.col("R"), F.col("t")).alias("c"))
+    at = materialize(at, "keys")
+    n = at.select("n").limit(1)
+    f = keys.sparkSession.range(frames).select(F.col("id").alias("frame")).crossJoin(F.broadcast(n))
+    f = f.withColumn("time", F.col("frame") * (F.col("n") - 1) / F.lit(float(max(1, frames - 1))))
+    f = f.withColumn("i", F.greatest(F.lit(0), F.least(F.floor("time"), F.col("n") - 2)).cast("int")).withColumn("share", F.col("time") - F.col("i"))
+    f = f.withColumn("j", F.least(F.col("i") + 1, F.col("n") - 1).cast("int"))
+    f = f.join(at.select("i", F.col("q").alias("qa"), F.col("c").alias("ca")), "i").join(at.select(F.col("i").alias("j"), F.col("q").alias("qb"), F.col("c").alias("cb")), "j")
+    f = f.withColumn("q", F.when(F.col("i") == F.col("j"), F.col("qa")).otherwise(slerp(F.col("qa"), F.col("qb"), F.col("share")))).withColumn("R", quaternion_matrix(F.col("q")))
+    return f.select("frame", "R", scale(mat_vec(F.col("R"), add(F.col("ca"), scale(sub(F.col("cb"), F.col("ca")), F.col("share")))), -1.0).alias("t"))
