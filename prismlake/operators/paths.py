@@ -83,5 +83,6 @@ def key_frame_path(keys: DataFrame, frames: int, order: str) -> DataFrame:
     f = f.withColumn("i", F.greatest(F.lit(0), F.least(F.floor("time"), F.col("n") - 2)).cast("int")).withColumn("share", F.col("time") - F.col("i"))
     f = f.withColumn("j", F.least(F.col("i") + 1, F.col("n") - 1).cast("int"))
     f = f.join(at.select("i", F.col("q").alias("qa"), F.col("c").alias("ca")), "i").join(at.select(F.col("i").alias("j"), F.col("q").alias("qb"), F.col("c").alias("cb")), "j")
-    f = f.withColumn("q", F.when(F.col("i") == F.col("j"), F.col("qa")).otherwise(slerp(F.col("qa"), F.col("qb"), F.col("share")))).withColumn("R", quaternion_matrix(F.col("q")))
-    return f.select("frame", "R", scale(mat_vec(F.col("R"), add(F.col("ca"), scale(sub(F.col("cb"), F.col("ca")), F.col("share")))), -1.0).alias("t"))
+    f = f.withColumn("q", F.when(F.col("i") == F.col("j"), F.col("qa")).otherwise(slerp(F.col("qa"), F.col("qb"), F.col("share"))))
+    f = materialize(f.select("frame", "q", add(F.col("ca"), scale(sub(F.col("cb"), F.col("ca")), F.col("share"))).alias("c")), "frames").withColumn("R", quaternion_matrix(F.col("q")))
+    return f.select("frame", "R", scale(mat_vec(F.col("R"), F.col("c")), -1.0).alias("t"))

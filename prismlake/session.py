@@ -51,15 +51,39 @@ def shared_dir(spark: SparkSession) -> str:
     return _own[0]
 
 
+#: Tables that materialize() wrote, in their order.
+_written: list[str] = []
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it again: lineage ends, and a lost executor costs only its own tasks."""
+    """Writes df to the shared folder and reads it again: lineage ends, and a lost executor costs only its own tasks.
+
+    The table stays until drop_tables(): results may be read from it later.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(schema).parquet(path)
 
 
+def tables_written() -> int:
+    """A mark for drop_tables()."""
+    return len(_written)
+
+
+def drop_tables(spark: SparkSession, mark: int) -> None:
+    """Removes the tables that materialize() wrote since a mark, when nothing will read them any more."""
+    while len(_written) > mark:
+        remove(spark, _written.pop())
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 class Scratch:
     """Tables of the steps of one job, written as materialize() does, and removed when the job has its result."""
 
@@ -75,5 +99,4 @@ class Scratch:
 
     def clear(self) -> None:
         while self.paths:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.paths.pop())
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            remove(self.spark, self.paths.pop())
