@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from prismlake.llm import decontaminate, exact_dedup, jaccard, mixing, toxicity
 from prismlake.llm.common import shared_dir, small_batches
-from prismlake.session import table
+from prismlake.session import drop_tables, remove, table, tables_written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 #: Near copies are documents whose sets of five-word shingles are similar by this percentage.
@@ -59,10 +59,13 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of sf_dir."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over the documents of sf_dir. When a stage is written, the tables of its steps and its input go; the last one's output stays."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        path = f"{shared_dir(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
+        path, mark = f"{shared_dir(spark)}/pipeline-{name}-{uuid.uuid4().hex}", tables_written()
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        drop_tables(spark, mark)
+        if before:
+            remove(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs

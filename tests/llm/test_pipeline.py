@@ -1,9 +1,11 @@
 import collections
 import hashlib
 import random
+from pathlib import Path
 
 import corpus_pipeline
 from prismlake.llm import decontaminate, labelled, mixing, toxicity
+from prismlake.session import shared_dir
 
 SMALL = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -110,7 +112,11 @@ def test_empty_tables(spark, tmp_path):
     rows, labels, bench = corpus()
     for name, data, schema in (("documents", [], SCHEMA), ("labels", [], "doc_id long, quality int, toxic int"), ("benchmark", [], "item_id string, text string")):
         spark.createDataFrame(data, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    folder = Path(shared_dir(spark).removeprefix("file://"))
+    before = {p.name for p in folder.iterdir()}
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+    left = {p.name for p in folder.iterdir()} - before
+    assert len(left) == 1 and left.pop().startswith("pipeline-mixing-")
     some = spark.createDataFrame([(1, "a b c", "en", None, 0), (None, None, None, None, None)], SCHEMA)
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, some, str(tmp_path)).count() == 2
