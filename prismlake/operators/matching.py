@@ -1,12 +1,16 @@
-"""Descriptor matching between images: exact nearest neighbours with a ratio test."""
+"""Descriptor matching between images: exact nearest neighbours, an approximate index, a ratio test and verification."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .two_view import verified_matches
+
 #: Features to a block, on average, and numbers in a block of differences.
 BLOCK, BLOCK_VALUES = 2000, 4_000_000
 
@@ -39,8 +43,8 @@ def _least_two(a: pa.Table, b: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([pa.array(np.concatenate(c), f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
 
-def nearest_two(features: DataFrame, queries: DataFrame | None = None, block: int = BLOCK) -> DataFrame:
-    """img_a, img_b, query_idx, train_idx, d1, d2: each feature of image a with its nearest in each image b > a.
+def nearest_two(features: DataFrame, queries: DataFrame | None = None, block: int = BLOCK, image_pairs: DataFrame | None = None) -> DataFrame:
+    """img_a, img_b, query_idx, train_idx, d1, d2: each feature of image a with its nearest in each image b > a, or in those of image_pairs (img_a, img_b).
 
     Features are dealt into blocks of bounded size, and block pairs of two images compared whole, so that
     a large image is many tasks. Of each block pair the least two of each query go on, and of these the
@@ -52,7 +56,7 @@ def nearest_two(features: DataFrame, queries: DataFrame | None = None, block: in
     dealt = lambda d, parts: d.join(F.broadcast(parts), "img_id").withColumn("part", F.pmod(F.xxhash64("feat_id"), F.col("parts")).cast("int"))
     blocks_a = of(q).select(F.col("img_id").alias("img_a"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part_a"))
     blocks_b = counts.select(F.col("img_id").alias("img_b"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part_b"))
-    pairs = blocks_a.join(blocks_b, F.col("img_a") < F.col("img_b"))
+    pairs = blocks_a.join(blocks_b, F.col("img_a") < F.col("img_b")) if image_pairs is None else blocks_a.join(image_pairs.select("img_a", "img_b").distinct(), "img_a").join(blocks_b, "img_b")
     left = dealt(q, of(q)).select(F.col("img_id").alias("img_a"), F.col("part").alias("part_a"), F.col("feat_id").cast("long").alias("query_idx"), "desc").join(pairs, ["img_a", "part_a"])
     right = dealt(features, counts).select(F.col("img_id").alias("img_b"), F.col("part").alias("part_b"), F.col("feat_id").cast("long").alias("train_idx"), "desc").join(pairs, ["img_b", "part_b"])
     place = ["img_a", "part_a", "img_b", "part_b"]
@@ -72,6 +76,73 @@ def nearest_two(features: DataFrame, queries: DataFrame | None = None, block: in
     return top.select(F.col("img_a").cast(kind).alias("img_a"), F.col("img_b").cast(kind).alias("img_b"), "query_idx", F.col("first.train_idx").alias("train_idx"), F.sqrt("first.d").alias("d1"), F.sqrt("second.d").alias("d2"))
 
 
+#: Tables of the index, bits of a key, and uncertain bits that a query also asks the other way.
+TABLES, KEY_BITS, PROBES = 8, 10, 4
+
+
+def _keys(tables: int, bits: int, probes: int, seed: int, packed: bool):
+    """Of features: for each table a key of signs of random projections, or of random bits of packed descriptors, and the keys near it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = len(batch)
+            if not n:
+                continue
+            x = np.array(batch.column("desc").flatten()).reshape(n, -1)
+            rng = np.random.default_rng(seed)
+            if packed:
+                own = np.unpackbits(x.astype(np.int64).view(np.uint8).reshape(n, -1), axis=1).astype(float) - 0.5
+                near = own[:, rng.choice(own.shape[1], (tables, min(bits, own.shape[1])))]
+            else:
+                near = np.einsum("nd,tdb->ntb", x.astype(float), rng.normal(size=(tables, x.shape[1], bits)))
+            power = 1 << np.arange(near.shape[2], dtype=np.int64)
+            key = (near > 0) @ power
+            flips = np.argsort(np.abs(near), axis=2, kind="stable")[:, :, :probes]
+            for t in range(tables):
+                keys = np.concatenate([key[:, t, None], key[:, t, None] ^ power[flips[:, t]]], axis=1)
+                yield pa.RecordBatch.from_arrays([batch.column("img_id"), batch.column("feat_id"), pa.array(np.full(n, t, np.int32)), pa.array(keys.tolist(), pa.list_(pa.int64()))], names=["img_id", "feat_id", "table", "keys"])
+
+    return run
+
+
+def index_keys(features: DataFrame, tables: int = TABLES, bits: int = KEY_BITS, probes: int = PROBES, seed: int = 0, packed: bool = False) -> DataFrame:
+    """img_id, feat_id, table, keys: the bucket of each feature in each table, and behind it those beside which it nearly fell."""
+    d = features.select(F.col("img_id").cast("long").alias("img_id"), F.col("feat_id").cast("long").alias("feat_id"), "desc")
+    return d.mapInArrow(_keys(tables, bits, probes, seed, packed), "img_id long, feat_id long, table int, keys array<long>")
+
+
+def candidate_images(features: DataFrame, least: int = 10, **index) -> DataFrame:
+    """img_a, img_b, shared of pairs of images whose features share buckets often enough: a feature counts once for each table."""
+    keys = index_keys(features, probes=0, **index).select("img_id", "table", F.col("keys")[0].alias("key"))
+    n = keys.groupBy("table", "key", "img_id").agg(F.count("*").alias("n"))
+    a, b = n.withColumnsRenamed({"img_id": "img_a", "n": "n_a"}), n.withColumnsRenamed({"img_id": "img_b", "n": "n_b"})
+    both = a.join(b, ["table", "key"]).where("img_a < img_b").groupBy("img_a", "img_b").agg(F.sum(F.least("n_a", "n_b")).alias("shared"))
+    return both.where(F.col("shared") >= least)
+
+
+def candidates(features: DataFrame, **index) -> DataFrame:
+    """img_a, img_b, query_idx, train_idx: features of two images that meet in a bucket of some table."""
+    keys = index_keys(features, **index)
+    a = keys.select(F.col("img_id").alias("img_a"), F.col("feat_id").alias("query_idx"), "table", F.explode("keys").alias("key"))
+    b = keys.select(F.col("img_id").alias("img_b"), F.col("feat_id").alias("train_idx"), "table", F.col("keys")[0].alias("key"))
+    return a.join(b, ["table", "key"]).where("img_a < img_b").select("img_a", "img_b", "query_idx", "train_idx").distinct()
+
+
+def nearest_two_indexed(features: DataFrame, packed: bool = False, **index) -> DataFrame:
+    """What nearest_two() gives, by the index: the nearest two that meet the feature in a bucket, at their exact distances.
+
+    nearest_two() is the exact way. Distances of packed descriptors are differing bits.
+    """
+    ends = features.select(F.col("img_id").cast("long").alias("img"), F.col("feat_id").cast("long").alias("feat"), "desc")
+    d = candidates(features, packed=packed, **index)
+    d = d.join(ends.toDF("img_a", "query_idx", "desc_a"), ["img_a", "query_idx"]).join(ends.toDF("img_b", "train_idx", "desc_b"), ["img_b", "train_idx"])
+    far = hamming(F.col("desc_a"), F.col("desc_b")).cast("double") if packed else F.sqrt(squared_distance(F.col("desc_a"), F.col("desc_b")))
+    d = d.select("img_a", "img_b", "query_idx", F.struct(far.alias("d"), "train_idx").alias("x"))
+    rank = Window.partitionBy("img_a", "img_b", "query_idx").orderBy("x")
+    top = d.withColumn("rank", F.row_number().over(rank)).where("rank <= 2").groupBy("img_a", "img_b", "query_idx").agg(F.min("x").alias("first"), F.max("x").alias("second"), F.count("*").alias("n")).where("n = 2")
+    return top.select("img_a", "img_b", "query_idx", F.col("first.train_idx").alias("train_idx"), F.col("first.d").alias("d1"), F.col("second.d").alias("d2"))
+
+
 def ratio_test(pairs: DataFrame, ratio: float = 0.75, min_matches: int = 1) -> DataFrame:
     """Matches clearly nearer than the runner-up, of image pairs that have enough of them."""
     kept = pairs.where(F.col("d1") < ratio * F.col("d2"))
@@ -81,6 +152,20 @@ def ratio_test(pairs: DataFrame, ratio: float = 0.75, min_matches: int = 1) -> D
     return kept.join(enough, ["img_a", "img_b"], "left_semi")
 
 
+def match_images(features: DataFrame, pairs: DataFrame, ratio: float = 0.75, threshold: float = 3.0, min_matches: int = 30) -> DataFrame:
+    """img_a, img_b, query_idx, train_idx, u1, v1, u2, v2, inlier of all matches of pairs that keep min_matches inliers.
+
+    features: img_id, feat_id, u, v; pairs: what nearest_two() or the index gives. Matches pass the ratio
+    test and are verified by the pair's epipolar geometry; pairs with fewer than min_matches before or behind it go.
+    """
+    at = features.select("img_id", "feat_id", F.col("u").cast("double").alias("u"), F.col("v").cast("double").alias("v"))
+    d = ratio_test(pairs, ratio, min_matches)
+    d = d.join(at.toDF("img_a", "query_idx", "u1", "v1"), ["img_a", "query_idx"]).join(at.toDF("img_b", "train_idx", "u2", "v2"), ["img_b", "train_idx"])
+    d = verified_matches(d, threshold, ("query_idx", "train_idx"))
+    enough = d.where("inlier").groupBy("img_a", "img_b").count().where(F.col("count") >= min_matches).select("img_a", "img_b")
+    return d.join(enough, ["img_a", "img_b"], "left_semi")
+
+
 def match_summary(matches: DataFrame) -> DataFrame:
     """num_matches, num_inliers and inlier_ratio of each image pair; without a mask all matches are inliers."""
     inlier = F.coalesce(F.col("inlier"), F.lit(True)) if "inlier" in matches.columns else F.lit(True)

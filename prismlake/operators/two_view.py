@@ -12,6 +12,7 @@ import math
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Samples at most, and the chance with which one without outliers is among those drawn.
 SAMPLES, CONFIDENCE = 1000, 0.999
@@ -120,15 +121,20 @@ def fundamental_matrices(matches: DataFrame, threshold: float = 1.0) -> DataFram
     return matches.select("img_a", "img_b", "u1", "v1", "u2", "v2").groupBy("img_a", "img_b").applyInArrow(run, "img_a long, img_b long, F array<double>, n long, n_inliers long, mean_error double")
 
 
-def verified_matches(matches: DataFrame, threshold: float = 3.0) -> DataFrame:
-    """img_a, img_b, u1, v1, u2, v2, inlier of every match: whether it keeps to the pair's epipolar geometry; of pairs with fewer than eight none does."""
+def verified_matches(matches: DataFrame, threshold: float = 3.0, keep: tuple[str, ...] = ()) -> DataFrame:
+    """img_a, img_b, u1, v1, u2, v2, inlier of every match, and what to keep of it (whole numbers): whether it keeps to the pair's epipolar geometry; of pairs with fewer than eight none does."""
+    names = ("u1", "v1", "u2", "v2")
 
     def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([(c, "ascending") for c in (*names, *keep)])
         pair, x1, x2 = _arrays(table)
         inside = fundamental(x1, x2, threshold, _seed(pair))[1]
-        return pa.table({"img_a": pa.array([pair[0]] * len(x1), pa.int64()), "img_b": pa.array([pair[1]] * len(x1), pa.int64()), "u1": x1[:, 0], "v1": x1[:, 1], "u2": x2[:, 0], "v2": x2[:, 1], "inlier": inside})
+        same = [pa.array([p] * len(x1), pa.int64()) for p in pair]
+        return pa.table([*same, *(table.column(c) for c in keep), *(pa.array(x) for x in (*x1.T, *x2.T)), pa.array(inside)], names=["img_a", "img_b", *keep, *names, "inlier"])
 
-    return matches.select("img_a", "img_b", "u1", "v1", "u2", "v2").groupBy("img_a", "img_b").applyInArrow(run, "img_a long, img_b long, u1 double, v1 double, u2 double, v2 double, inlier boolean")
+    cols = [F.col(c).cast("double").alias(c) for c in names]
+    of = matches.select("img_a", "img_b", *(F.col(c).cast("long").alias(c) for c in keep), *cols)
+    return of.groupBy("img_a", "img_b").applyInArrow(run, "img_a long, img_b long, " + "".join(f"{c} long, " for c in keep) + "u1 double, v1 double, u2 double, v2 double, inlier boolean")
 
 
 def relative_poses(matches: DataFrame, k: tuple[float, ...], threshold: float = 1.0) -> DataFrame:

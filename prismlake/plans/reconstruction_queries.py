@@ -12,6 +12,7 @@ from ..functions.linear import mat_mul, mat_vec, tidy, vec
 from ..operators import bundle as B
 from ..operators import cameras as C
 from ..operators import kernels as K
+from ..operators import matching as M
 from ..operators import reconstruction as R
 from ..operators import resection as S
 from .camera_queries import k, seen
@@ -108,3 +109,24 @@ def reconstruction(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = K.align_similarity(pairs, ("c0", "c1", "c2"), ("g0", "g1", "g2"))
     laid = own.crossJoin(F.broadcast(s)).select("img_id", mat_vec(F.col("R"), F.col("c")).alias("w"), "scale", "t")
     return laid.select("img_id", *(tidy(F.col("w")[j] * F.col("scale") + F.col("t")[j], 2).alias(a) for j, a in enumerate("xyz")))
+
+
+@register(
+    "m2_match_images",
+    with_(CAMERAS, POINTS, OBSERVATIONS, VIEWS)
+    + """, b AS (SELECT a.cam_id AS img_a, a.pt_id, (a.pt_id + a.cam_id) % 10 <> 0 AND (a.pt_id + b.cam_id) % 10 <> 0 AS good FROM views a JOIN views b ON b.cam_id = a.cam_id + 1 AND b.pt_id = a.pt_id)
+SELECT img_a, img_a + 1 AS img_b, count(*)::BIGINT AS num_matches, (count(*) FILTER (good))::BIGINT AS num_inliers, (count(*) FILTER (good))::DOUBLE / count(*) AS inlier_ratio FROM b GROUP BY 1 HAVING count(*) FILTER (good) >= 30""",
+)
+def match_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Descriptors to verified matches of each camera and the next: a point has one descriptor, and a tenth of the pixels is far off."""
+    d = pixels(spark, sf_dir)
+    i, wrong = F.col("pt_id").cast("double"), (F.col("pt_id") + F.col("img_id")) % 10 == 0
+    # off the epipolar lines, which run along the rows, by far
+    off = F.when(wrong, F.when(F.col("pt_id") * 5 % 7 < 3, -1).otherwise(1) * (200 + F.col("pt_id") * 11 % 83 * 3)).otherwise(0)
+    d = d.select("img_id", F.col("pt_id").alias("feat_id"), F.array(*(F.sin(i * (1 + 0.7 * k)) for k in range(8))).alias("desc"), "u", (F.col("v") + off).alias("v"))
+    nxt = cameras(spark, sf_dir).select(F.col("img_id").alias("img_a"), (F.col("img_id") + 1).alias("img_b"))
+    both = d.select("img_id", F.col("feat_id").alias("f")).distinct()
+    # points that only one of the two sees have no match there
+    shared = both.toDF("img_a", "query_idx").join(nxt, "img_a").join(both.toDF("img_b", "query_idx"), ["img_b", "query_idx"])
+    near = M.nearest_two(d, image_pairs=nxt).join(shared, ["img_a", "img_b", "query_idx"], "left_semi")
+    return M.match_summary(M.match_images(d, near))

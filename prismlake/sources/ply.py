@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 TYPES = {"char": "short", "uchar": "short", "int8": "short", "uint8": "short", "short": "int", "ushort": "int", "int": "int", "uint": "long", "float": "double", "double": "double", "float32": "double", "float64": "double"}
 
 
-def _lines(spark: SparkSession, path: str) -> DataFrame:
+def lines_of(spark: SparkSession, path: str) -> DataFrame:
     """line (from 0) and value of a text file, or of a folder's files in the order of their names, read in as many parts as there are splits.
 
     Lines are numbered within each split, and the splits' counts are summed up by their places.
@@ -38,21 +38,22 @@ def _header(lines: DataFrame) -> tuple[int, list[tuple[str, str]], int]:
     return len(head), props, n
 
 
-def read_ply(spark: SparkSession, path: str) -> DataFrame:
-    """The vertices of a file, or of a folder that write_ply() wrote, with its properties as columns; faces, which come behind them, are read by read_ply_faces()."""
-    lines = _lines(spark, path)
+def read_ply(spark: SparkSession, path: str, numbered: bool = False) -> DataFrame:
+    """The vertices of a file, or of a folder that write_ply() wrote, with its properties as columns, and vid, their places, if numbered; faces, which come behind them, are read by read_ply_faces()."""
+    lines = lines_of(spark, path)
     skip, props, n = _header(lines)
     part = F.split(F.trim("value"), r"\s+")
-    return lines.where((F.col("line") >= skip) & (F.col("line") < skip + n)).select(*(part[k].cast(kind).alias(name) for k, (name, kind) in enumerate(props)))
+    vid = [(F.col("line") - skip).alias("vid")] if numbered else []
+    return lines.where((F.col("line") >= skip) & (F.col("line") < skip + n)).select(*vid, *(part[k].cast(kind).alias(name) for k, (name, kind) in enumerate(props)))
 
 
 def read_ply_faces(spark: SparkSession, path: str) -> DataFrame:
     """fid (from 0) and vertices, an array of their places, of the lines behind the vertices."""
-    lines = _lines(spark, path)
+    lines = lines_of(spark, path)
     skip, _, n = _header(lines)
     part = F.split(F.trim("value"), r"\s+")
     rows = lines.where((F.col("line") >= skip + n) & (F.trim("value") != ""))
-    return rows.select((F.col("line") - skip - n).alias("fid"), F.transform(F.slice(part, 2, part[0].cast("int")), lambda x: x.cast("long")).alias("vertices"))
+    return rows.select((F.col("line") - skip - n).alias("fid"), F.transform(F.slice(part, F.lit(2), F.coalesce(part[0].try_cast("int"), F.lit(0))), lambda x: x.try_cast("long")).alias("vertices"))
 
 
 def ply_lines(points: DataFrame, order: str, digits: int = 6) -> DataFrame:
