@@ -70,6 +70,11 @@ def intrinsics(fx: Column, fy: Column, cx: Column, cy: Column) -> Column:
     return vec(fx, 0, cx, 0, fy, cy, 0, 0, 1)
 
 
+def intrinsic_parts(k: Column) -> tuple[Column, Column, Column, Column]:
+    """fx, fy, cx, cy of a matrix."""
+    return k[0], k[4], k[2], k[5]
+
+
 def intrinsics_from_fov(width: Column, height: Column, degrees: Column | float = 60.0) -> Column:
     f = width / 2 / F.tan(F.radians(degrees if isinstance(degrees, Column) else F.lit(degrees)) / 2)
     return intrinsics(f, f, width / 2, height / 2)
@@ -97,6 +102,14 @@ def project(p: Column, k: Column, distortion: Column | None = None) -> tuple[Col
     return k[0] * x + k[2], k[4] * y + k[5]
 
 
+def project_world(rows: DataFrame, k: Column, p: str = "p", camera: str = "camera") -> DataFrame:
+    """Adds u, v: the pixel of a world point under a camera of six numbers, axis-angle vector and shift; null where it isn't ahead."""
+    d = rows.withColumn("_w", F.slice(camera, 1, 3)).withColumn("_t", F.slice(camera, 4, 3))
+    d = d.withColumn("_R", axis_angle_matrix(F.col("_w"))).withColumn("_q", world_to_camera(F.col(p), F.col("_R"), F.col("_t")))
+    u, v = project(F.col("_q"), k)
+    return d.withColumns({"u": u, "v": v}).drop("_w", "_t", "_R", "_q")
+
+
 def backproject(u: Column, v: Column, depth: Column, k: Column, r: Column, t: Column) -> Column:
     """World point of a pixel at a depth along z."""
     return camera_to_world(vec((u - k[2]) / k[0] * depth, (v - k[5]) / k[4] * depth, depth), r, t)
@@ -193,6 +206,17 @@ def plane_homography(k_to: Column, k_from: Column, r: Column, t: Column, normal:
     return vec(*(x for m in rows for x in (m[0] / k_from[0], m[1] / k_from[4], m[2] - m[0] * k_from[2] / k_from[0] - m[1] * k_from[5] / k_from[4])))
 
 
+def normalizations(points: DataFrame, *axes: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """T of each group of by: the matrix, axes + 1 rows and columns, that makes homogeneous points what normalize_points() makes them."""
+    n = len(axes)
+    mean = points.groupBy(*by).agg(F.struct(*(F.avg(a).alias(a) for a in axes)).alias("_m"))
+    d = points.join(mean, list(by)) if by else points.crossJoin(F.broadcast(mean))
+    away = F.sqrt(sum(((F.col(a) - F.col(f"_m.{a}")) ** 2 for a in axes[1:]), (F.col(axes[0]) - F.col(f"_m.{axes[0]}")) ** 2))
+    one = d.groupBy(*by).agg((F.sqrt(F.lit(float(n))) / (F.avg(away) + 1e-8)).alias("_s"), F.first("_m").alias("_m"))
+    rows = [[F.col("_s") if i == j else F.lit(0.0) for j in range(n)] + [-F.col("_s") * F.col(f"_m.{axes[i]}")] for i in range(n)]
+    return one.select(*by, vec(*(x for r in [*rows, [F.lit(0.0)] * n + [F.lit(1.0)]] for x in r)).alias("T"))
+
+
 def normalize_points(points: DataFrame, *axes: str, by: tuple[str, ...] = ()) -> DataFrame:
     """Adds n_<axis>, centred on the mean and scaled to a mean distance of sqrt(axes), of each group of by.
 

@@ -38,6 +38,12 @@ def quality(faces: DataFrame, vertices: DataFrame, tiny: float = 1e-10) -> DataF
     return out.withColumn("euler", F.col("n_vertices") - F.col("n_edges") + F.col("n_faces")).withColumn("volume", F.when(F.col("watertight"), F.abs("volume")))
 
 
+def winding_consistent(faces: DataFrame) -> DataFrame:
+    """consistent: whether no two faces run along an edge in the same direction; of no faces, true."""
+    way = F.explode(F.array(*(F.struct(F.col(p).alias("p"), F.col(q).alias("q")) for p, q in (("a", "b"), ("b", "c"), ("c", "a")))))
+    return faces.select(way.alias("e")).groupBy("e").count().agg(F.coalesce(F.max("count") <= 1, F.lit(True)).alias("consistent"))
+
+
 def pieces(faces: DataFrame) -> DataFrame:
     """fid, component of every face: faces are neighbours where an edge has just these two, as in the reference's split."""
     shared = edges(faces).groupBy("lo", "hi").agg(F.count("*").alias("uses"), F.min("fid").alias("a"), F.max("fid").alias("b")).where("uses = 2")

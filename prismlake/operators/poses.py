@@ -35,6 +35,11 @@ def stereo_pairs(cameras: DataFrame, reach: int = 5) -> DataFrame:
     return d.select("i", "j", stereo_score(F.col("baseline"), F.col("angle")).alias("score"))
 
 
+def best_stereo_pairs(cameras: DataFrame, most: int, reach: int = 5) -> DataFrame:
+    """The pairs of the highest positive scores, at most so many, ties by indices."""
+    return stereo_pairs(cameras, reach).where("score > 0").orderBy(F.desc("score"), "i", "j").limit(most)
+
+
 def source_views(cameras: DataFrame, most: int = 4, least: float = 0.01, far: float = 10.0, widest: float = 60.0) -> DataFrame:
     """i, j, rank: of all other cameras the best source views of each, ties and views of score zero by index.
 

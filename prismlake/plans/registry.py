@@ -23,7 +23,7 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-MODULES = ("camera", "matching", "cloud", "pose", "render", "mesh", "kernel", "scene", "depth", "two_view", "reconstruction", "fusion", "surface", "field")
+MODULES = ("camera", "matching", "cloud", "pose", "render", "mesh", "kernel", "scene", "depth", "two_view", "reconstruction", "fusion", "surface", "field", "compare")
 
 
 def load() -> tuple[dict[str, Query], dict[str, str]]:
