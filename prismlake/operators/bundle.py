@@ -27,7 +27,7 @@ PART = 20_000
 #: Cameras at most: their poses and blocks, some 400 bytes each, lie on the driver and go to every task.
 MOST_CAMERAS = 1_000_000
 #: Squared pixels an observation under which nothing is left to gain.
-VANISHES = 1e-16
+VANISHES = 1e-12
 #: Steps of conjugate gradients at most, and the share of the residual at which they end.
 INNER, FORCING = 50, 0.05
 LISTS = pa.list_(pa.float64())

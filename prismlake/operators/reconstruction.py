@@ -27,6 +27,8 @@ from .two_view import _seed, decompose, essential, fundamental, reprojection
 PART = 50_000
 #: Pixels and degrees that a point's views must keep, images' points and inliers at least, rounds between adjustments.
 PIXELS, DEGREES, LEAST, INLIERS, INTERVAL = 4.0, 2.0, 30, 6, 3
+#: Share of the error that a step must take away, to be followed by another, before the last adjustment.
+ROUGHLY = 0.1
 #: Images that see at least this share of the points that the best one sees are registered with it.
 NEARLY = 0.7
 
@@ -153,8 +155,8 @@ class _Loop:
         fx, fy, cx, cy = map(F.lit, self.k)
         return reprojection_errors(rows, intrinsics(fx, fy, cx, cy)).where(F.col("error") < PIXELS).select("img_id", "pt_id", "u", "v")
 
-    def adjust(self, points: DataFrame, rounds: int) -> DataFrame:
-        done = bundle_adjust(self.cameras(), points, self.fitting(points), self.k, rounds=rounds)
+    def adjust(self, points: DataFrame, rounds: int, tolerance: float = 1e-6) -> DataFrame:
+        done = bundle_adjust(self.cameras(), points, self.fitting(points), self.k, rounds=rounds, tolerance=tolerance)
         self.cams = {r.img_id: (list(r.R), list(r.t)) for r in done.cameras.collect()}
         return done.points
 
@@ -190,7 +192,7 @@ def reconstruct(features: DataFrame, matches: DataFrame, k: Camera, least: int =
         loop.cams |= {r.img_id: (list(r.R), list(r.t)) for r in poses}
         points, done = loop.points(), done + 1
         if done % interval == 0:
-            loop.adjust(points, rounds)
+            loop.adjust(points, rounds, ROUGHLY)
             points = loop.points()
     points = materialize(loop.adjust(points, rounds), "points")
     out = Reconstruction(loop.cameras(), points, materialize(loop.fitting(points), "observations"))
