@@ -27,6 +27,8 @@ from .two_view import _seed, decompose, essential, fundamental, reprojection
 PART = 50_000
 #: Pixels and degrees that a point's views must keep, images' points and inliers at least, rounds between adjustments.
 PIXELS, DEGREES, LEAST, INLIERS, INTERVAL = 4.0, 2.0, 30, 6, 3
+#: Cameras, as a multiple of those that the last adjustment had, at which the next one is due: adjustments stay few however many images there are.
+GROWN = 1.2
 #: Share of the error that a step must take away, to be followed by another, before the last adjustment.
 ROUGHLY = 0.1
 #: Images that see at least this share of the points that the best one sees are registered with it.
@@ -167,7 +169,7 @@ def reconstruct(features: DataFrame, matches: DataFrame, k: Camera, least: int =
     The pair with most points that both see well, ahead, and at an angle is first; its first camera is the
     origin and its second one lies at distance 1. Rounds go on while an image that isn't registered sees
     at least `least` points and finds a pose that INLIERS of them keep; one that fails waits until it sees more.
-    Every interval rounds, and at the end, cameras and points are adjusted. No pair raises an error.
+    After interval rounds, once enough cameras have come, and at the end, cameras and points are adjusted. No pair raises an error.
     """
     spark = features.sparkSession
     at = features.select(F.col("img_id").alias("i"), F.col("feat_id").alias("f"), "u", "v")
@@ -177,7 +179,7 @@ def reconstruct(features: DataFrame, matches: DataFrame, k: Camera, least: int =
         raise ValueError("no two images to begin with")
     loop = _Loop(spark, tracks(matches, features), k)
     loop.cams = {first.img_a: (np.eye(3).ravel().tolist(), [0.0] * 3), first.img_b: (first.R, first.t)}
-    points, failed, done = loop.points(), {}, 0
+    points, failed, done, adjusted = loop.points(), {}, 0, 2
     while True:
         to = loop.scratch.table(loop.correspondences(points), "correspondences")
         counts = {r.img_id: r["count"] for r in to.groupBy("img_id").count().where(F.col("count") >= least).collect()}
@@ -191,8 +193,9 @@ def reconstruct(features: DataFrame, matches: DataFrame, k: Camera, least: int =
             continue
         loop.cams |= {r.img_id: (list(r.R), list(r.t)) for r in poses}
         points, done = loop.points(), done + 1
-        if done % interval == 0:
+        if done >= interval and len(loop.cams) >= GROWN * adjusted:
             loop.adjust(points, rounds, ROUGHLY)
+            done, adjusted = 0, len(loop.cams)
             points = loop.points()
     points = materialize(loop.adjust(points, rounds), "points")
     out = Reconstruction(loop.cameras(), points, materialize(loop.fitting(points), "observations"))
