@@ -10,13 +10,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import Scratch, materialize
+from .ranks import group_quantile
 
 #: Points to a cell of an evenly filled box, points around a cell to one task, and pairs compared at once.
 CELL_POINTS, PART_POINTS, BLOCK_PAIRS = 24, 50_000, 2_000_000
 #: Points of one cell that begin with narrower cells, and how often cells are cut to a quarter of their width.
 CROWD, MOST_LEVELS = 2_000, 12
-#: Buckets of values in which quantiles are looked for.
-BUCKETS = 100_000
 
 
 def voxel_downsample(points: DataFrame, size: float, axes: tuple[str, ...] = ("x", "y", "z"), values: tuple[str, ...] = ("r", "g", "b")) -> DataFrame:
@@ -36,25 +35,10 @@ def box_stats(points: DataFrame, axes: tuple[str, ...] = ("x", "y", "z")) -> Dat
 
 
 def quantiles(rows: DataFrame, columns: tuple[str, ...], share: float) -> DataFrame:
-    """One row: of each column the value at a share of its order, interpolated between neighbours; nulls don't count.
-
-    Values meet in equal counts only after grouping; of the groups those around the place are found by a
-    running sum over buckets of values, so no task holds all distinct values.
-    """
+    """One row: of each column the value at a share of its order, interpolated between neighbours; nulls don't count."""
     out = None
     for c in columns:
-        v = rows.where(F.col(c).isNotNull()).select(F.col(c).cast("double").alias("v")).groupBy("v").agg(F.count("*").alias("n"))
-        ends = v.agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("n").alias("total"))
-        width = F.greatest((F.col("hi") - F.col("lo")) / BUCKETS, F.lit(1e-300))
-        v = v.crossJoin(F.broadcast(ends)).withColumn("bucket", F.least(F.floor((F.col("v") - F.col("lo")) / width), F.lit(BUCKETS - 1)).cast("int"))
-        sums = v.groupBy("bucket").agg(F.sum("n").alias("m"), F.first("total").alias("total"))
-        sums = sums.withColumn("before", F.sum("m").over(Window.partitionBy(F.lit(0)).orderBy("bucket")) - F.col("m")).withColumn("at", F.lit(share) * (F.col("total") - 1))
-        wanted = sums.where((F.col("before") <= F.ceil("at")) & (F.col("before") + F.col("m") > F.floor("at"))).select("bucket", "before", "at")
-        own = Window.partitionBy("bucket").orderBy("v")
-        near = v.join(F.broadcast(wanted), "bucket").withColumn("last", F.col("before") + F.sum("n").over(own) - 1).withColumn("first", F.col("last") - F.col("n") + 1)
-        pick = lambda place: F.max(F.when((F.col("first") <= place) & (F.col("last") >= place), F.col("v")))
-        one = near.agg(pick(F.floor("at")).alias("a"), pick(F.ceil("at")).alias("b"), F.first("at").alias("at"))
-        one = one.select((F.col("a") + (F.col("b") - F.col("a")) * (F.col("at") - F.floor("at"))).alias(c))
+        one = group_quantile(rows, [], c, share)
         out = one if out is None else out.crossJoin(one)
     return out
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.linear import norm, sub, vec
 from .cameras import camera_to_world, center, project, rotation_angle, world_to_camera
+from .ranks import group_quantile, joined
 
 
 def reprojection_errors(seen: DataFrame, k: Column) -> DataFrame:
@@ -16,10 +17,17 @@ def reprojection_errors(seen: DataFrame, k: Column) -> DataFrame:
     return d.withColumn("error", F.sqrt((u - F.col("u")) ** 2 + (v - F.col("v")) ** 2)).drop("_q")
 
 
+def mean_error(errors: DataFrame) -> DataFrame:
+    """n, mean_error: one row; over nothing the mean is infinite."""
+    return errors.agg(F.count("*").alias("n"), F.coalesce(F.avg("error"), F.lit(float("inf"))).alias("mean_error"))
+
+
 def error_stats(errors: DataFrame, *by: str) -> DataFrame:
-    """n, mean, median, largest and population deviation; over nothing the mean is infinite."""
+    """n, mean, median, largest and population deviation; over nothing the mean is infinite. Medians are exact, and no task holds a group's errors."""
     e = F.col("error")
-    return errors.groupBy(*by).agg(F.count("*").alias("n"), F.coalesce(F.avg(e), F.lit(float("inf"))).alias("mean_error"), F.median(e).alias("median_error"), F.max(e).alias("max_error"), F.stddev_pop(e).alias("std_error"))
+    stats = errors.groupBy(*by).agg(F.count("*").alias("n"), F.coalesce(F.avg(e), F.lit(float("inf"))).alias("mean_error"), F.max(e).alias("max_error"), F.stddev_pop(e).alias("std_error"))
+    middle = group_quantile(errors, [*by], "error", 0.5).withColumnRenamed("error", "median_error")
+    return joined(stats, middle, [*by], "left")
 
 
 def stereo_score(baseline: Column, angle: Column, least: float = 1e-4, widest: float = 45.0) -> Column:

@@ -6,13 +6,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.linear import add, det, dot, norm, scale, sub, vec
 from .cameras import camera_to_world, center, project, world_to_camera
 from .clouds import quantiles
 from .poses import next_images
+from .ranks import running
 
 #: Centres to a block of those whose distances are summed.
 BLOCK = 4000
@@ -179,13 +180,11 @@ def frustum_segments(cameras: DataFrame, width: int, height: int, focal: float,
 
 def training_curve(loss: DataFrame, by: str, order: list[str], value: str, window: int | None = None) -> DataFrame:
     """smooth: the mean of each row and those before it, of full windows only. Without window it is a tenth of a run's rows, 500 at most, of runs of more than 100."""
-    n = F.count("*").over(Window.partitionBy(by))
-    d = loss.withColumn("_n", n).withColumn("_at", F.row_number().over(Window.partitionBy(by).orderBy(*order)))
+    d = running(loss, [by], order, value)
     d = d.withColumn("_w", F.lit(window) if window else F.least(F.lit(500), F.floor(F.col("_n") / 10)))
     d = d if window else d.where("_n > 100")
-    d = d.withColumn("_s", F.sum(value).over(Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
     before = d.select(F.col(by).alias("_by"), (F.col("_at") + F.col("_w")).alias("_to"), F.col("_s").alias("_before"))
-    d = d.where("_at >= _w").join(before, (F.col(by) == F.col("_by")) & (F.col("_at") == F.col("_to")), "left")
+    d = d.where("_at >= _w").join(before, F.col(by).eqNullSafe(F.col("_by")) & (F.col("_at") == F.col("_to")), "left")
     return d.withColumn("smooth", (F.col("_s") - F.coalesce("_before", F.lit(0.0))) / F.col("_w")).drop("_n", "_at", "_w", "_s", "_by", "_to", "_before")
 
 

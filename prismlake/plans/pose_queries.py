@@ -28,7 +28,7 @@ def reprojection_error(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("i10_mean_reprojection_error", with_(CAMERAS, POINTS, OBSERVATIONS, SEEN, ERRORS) + "SELECT count(*)::BIGINT AS n, round(avg(e), 3) + 0.0 AS mean_error FROM err")
 def mean_reprojection_error(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.error_stats(G.reprojection_errors(seen(spark, sf_dir), k())).select("n", tidy(F.col("mean_error"), 3).alias("mean_error"))
+    return G.mean_error(G.reprojection_errors(seen(spark, sf_dir), k())).select("n", tidy(F.col("mean_error"), 3).alias("mean_error"))
 
 
 TWO = """
