@@ -2,10 +2,12 @@
 
 A byte is eight binary decisions; each decision node has a context tree over the bytes before it,
 Krichevsky-Trofimov counts at every depth, and the weights that mix the depths. Texts are dealt into
-blocks of bounded size. A block sends every owner of a part of the tree its distinct (context, byte)
-grams with their counts, packed as sorted lists; owners build their subtrees, and answer with the
-code length of each gram asked for, so a block scores its texts with a table of its own. The tree is
-nowhere in one place: what is broadcast are the nodes of depth 0 to 2, of the pairs of bytes that
+blocks of bounded size. A block asks the owners of the parts of the tree for its distinct (context, byte)
+grams, sent with their counts as packed sorted lists; owners build their subtrees, and answer with the
+code length of each gram asked for, so a block scores its texts with a table of its own. Lists travel by
+relays, which stand between the blocks of a team and the owners of a lane: they merge the lists of their blocks, and
+deal the answers. So blocks, relays and owners each send and get a number of lists that grows as the square
+root of the corpus. The tree is nowhere in one place: what is broadcast are the nodes of depth 0 to 2, of the pairs of bytes that
 occur: some hundred thousand, and never more than 2 ** 24.
 
 Beside it stands a baseline, an add-one unigram model of words, whose counts go the same way.
@@ -15,7 +17,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +32,8 @@ from .common import FOLD, materialize, texts
 DEPTH = 5
 #: Bytes of text to a block, and bytes that are looked up at once.
 BLOCK_BYTES, CHUNK_BYTES = 32 << 20, 2 << 20
-#: A block sends every owner a message: with more owners than this, messages get many and small.
-MOST_OWNERS = 16384
+#: Owners to a block of text, and the least number of them.
+BLOCK_OWNERS, LEAST_OWNERS = 4, 32
 #: In no UTF-8 text: stands before a text's first byte and is its last.
 EDGE = b"\xff"
 #: One fold of seven is held out: crc32 of the doc_id as text.
@@ -90,48 +92,129 @@ def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     return g[starts], np.add.reduceat(n, starts)
 
 
-MESSAGES = pa.schema([("block", pa.int32()), ("kind", pa.string()), ("owner", pa.int32()), ("n", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
+def _gathered(lists: Iterable[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Many lists of grams and counts as one, a few at a time in memory."""
+    parts: list = []
+    for one in lists:
+        parts.append(one)
+        if len(parts) > 16:
+            parts = [_merged(parts)]
+    return _merged(parts)
 
 
-def _ask(depth: int, owners: int):
-    """Of a block: its grams and words with their counts in training texts, to each owner."""
+def _table(rows: list[tuple], schema: str) -> pa.Table:
+    """Rows in the types of a Spark schema."""
+    fields = [f.split() for f in schema.split(", ")]
+    cols = zip(*rows, strict=True) if rows else [()] * len(fields)
+    return pa.Table.from_arrays([pa.array(c, TYPES[t]) for c, (_, t) in zip(cols, fields, strict=True)], names=[f for f, _ in fields])
+
+
+TYPES = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string(), "binary": pa.binary()}
+
+
+def _gram_lists(gram: np.ndarray, count: np.ndarray, to: np.ndarray) -> Iterator[tuple[int, bytes, bytes]]:
+    """Sorted grams and counts, packed, for each receiver."""
+    order = np.argsort(to, kind="stable")
+    starts = np.flatnonzero(np.diff(to[order], prepend=-1))
+    for a, b in zip(starts, [*starts[1:], len(order)], strict=True):
+        own = order[a:b]
+        yield int(to[own[0]]), pack(gram[own]), pack(count[own].astype(np.int64))
+
+
+def _word_lists(words: dict[bytes, int], to) -> Iterator[tuple[int, bytes, bytes]]:
+    """Sorted words and counts, packed, for each receiver."""
+    lists: dict[int, list[bytes]] = {}
+    for w in words:
+        lists.setdefault(to(w), []).append(w)
+    for k, ws in lists.items():
+        ws.sort()
+        yield k, zstandard.compress(b" ".join(ws), 1), pack(np.array([words[w] for w in ws], np.int64))
+
+
+def _word_owner(word: bytes, owners: int) -> int:
+    return xxhash.xxh3_64_intdigest(word) % owners
+
+
+def _words_in(keys: bytes) -> list[bytes]:
+    return zstandard.decompress(keys).split(b" ")
+
+
+ASKED = "block int, kind string, lane int, keys binary, counts binary"
+
+
+def _ask(depth: int, owners: int, span: int):
+    """Of a block: its grams and words with their counts in training texts, a list to each lane of `span` owners."""
     def run(table: pa.Table) -> pa.Table:
-        parts: list = []
         words: Counter = Counter()
-        rows = []
-        for batch in table.to_batches(max_chunksize=2000):
-            texts_, train = [t.translate(FOLD) for t in batch.column("text").to_pylist()], batch.column("train").to_pylist()
-            for learns in (True, False):
-                for chunk in chunks([t for t, x in zip(texts_, train, strict=True) if x is learns]):
-                    g, n = np.unique(grams(chunk, depth)[0], return_counts=True)
-                    parts.append((g, n if learns else np.zeros_like(n)))
-                    if len(parts) > 16:
-                        parts = [_merged(parts)]
-                    for t in chunk:
-                        if learns:
-                            words.update(t.split())
-                        else:
-                            for w in t.split():
-                                if w not in words:
-                                    words[w] = 0
+
+        def lists() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            for batch in table.to_batches(max_chunksize=2000):
+                texts_, train = [t.translate(FOLD) for t in batch.column("text").to_pylist()], batch.column("train").to_pylist()
+                for learns in (True, False):
+                    for chunk in chunks([t for t, x in zip(texts_, train, strict=True) if x is learns]):
+                        g, n = np.unique(grams(chunk, depth)[0], return_counts=True)
+                        for t in chunk:
+                            if learns:
+                                words.update(t.split())
+                            else:
+                                for w in t.split():
+                                    if w not in words:
+                                        words[w] = 0
+                        yield g, n if learns else np.zeros_like(n)
+
         block = table.column("block")[0].as_py()
-        g, n = _merged(parts)
-        owner = _owner_of(g, owners)
-        order = np.argsort(owner, kind="stable")
-        starts = np.searchsorted(owner[order], np.arange(owners + 1))
-        for k in range(owners):
-            if starts[k] < starts[k + 1]:
-                own = order[starts[k] : starts[k + 1]]
-                rows.append((block, "gram", k, len(own), pack(g[own]), pack(n[own].astype(np.int64))))
-        lists: dict[int, list[bytes]] = {}
-        for w in words:
-            lists.setdefault(xxhash.xxh3_64_intdigest(w) % owners, []).append(w)
-        for k, ws in lists.items():
-            ws.sort()
-            rows.append((block, "word", k, len(ws), zstandard.compress(b" ".join(ws), 1), pack(np.array([words[w] for w in ws], np.int64))))
-        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), MESSAGES, strict=True)], schema=MESSAGES)
-
-    return run, "block int, kind string, owner int, n int, keys binary, counts binary"
+        g, n = _gathered(lists())
+        rows = [(block, "gram", *x) for x in _gram_lists(g, n, _owner_of(g, owners) // span)]
+        rows += [(block, "word", *x) for x in _word_lists(words, lambda w: _word_owner(w, owners) // span)]
+        return _table(rows, ASKED)
+
+    return run, ASKED
+
+
+RELAYED = "team int, lane int, kind string, owner int, keys binary, counts binary"
+
+
+def _relay(owners: int):
+    """The lists of a team's blocks for one lane as one, a list to each of its owners."""
+    def run(table: pa.Table) -> pa.Table:
+        team, lane, kind = (table.column(c)[0].as_py() for c in ("team", "lane", "kind"))
+        pairs = zip(table.column("keys"), table.column("counts"), strict=True)
+        if kind == "gram":
+            g, n = _gathered((unpack(k.as_py()), unpack(c.as_py())) for k, c in pairs)
+            lists = _gram_lists(g, n, _owner_of(g, owners))
+        else:
+            lists = _word_lists(_total(pairs), lambda w: _word_owner(w, owners))
+        return _table([(team, lane, kind, *x) for x in lists], RELAYED)
+
+    return run, RELAYED
+
+
+def _total(pairs) -> dict[bytes, int]:
+    total: Counter = Counter()
+    for k, c in pairs:
+        for w, n in zip(_words_in(k.as_py()), unpack(c.as_py()).tolist(), strict=True):
+            total[w] += n
+    return total
+
+
+ANSWERED = "team int, lane int, kind string, keys binary, values binary"
+
+
+def _reply(asked: pa.Table, answers: pa.Table) -> pa.Table:
+    """Of a relay: its owners' answers, dealt to the blocks that asked."""
+    rows, kind = [], asked.column("kind")[0].as_py()
+    if kind == "gram":
+        gram = np.concatenate([unpack(k.as_py()) for k in answers.column("keys")])
+        value = np.concatenate([np.frombuffer(zstandard.decompress(v.as_py()), np.float32) for v in answers.column("values")])
+        order = np.argsort(gram)
+        gram, value = gram[order], value[order]
+        pick = lambda keys: zstandard.compress(value[np.searchsorted(gram, unpack(keys))].tobytes(), 1)
+    else:
+        known = _total(zip(answers.column("keys"), answers.column("values"), strict=True))
+        pick = lambda keys: pack(np.array([known[w] for w in _words_in(keys)], np.int64))
+    for block, keys in zip(asked.column("block"), asked.column("keys"), strict=True):
+        rows.append((block.as_py(), kind, keys.as_py(), pick(keys.as_py())))
+    return _table(rows, "block int, kind string, keys binary, values binary")
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -200,10 +283,8 @@ class Subtree:
         return np.log(mixed).reshape(-1, 8).sum(axis=1)
 
 
-def _received(table: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    lists = [unpack(b) for b in table.column("keys").to_pylist()]
-    gram, count = _merged([(g, unpack(c)) for g, c in zip(lists, table.column("counts").to_pylist(), strict=True)])
-    return lists, gram, count
+def _received(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    return _gathered((unpack(k.as_py()), unpack(c.as_py())) for k, c in zip(table.column("keys"), table.column("counts"), strict=True))
 
 
 #: Owners build the tree down from this depth; what lies above is summed up from them.
@@ -212,7 +293,7 @@ TOP = 3
 
 def _summary(depth: int):
     def run(table: pa.Table) -> pa.Table:
-        _, gram, count = _received(table)
+        gram, count = _received(table)
         level, _ = Subtree(gram, count, depth, TOP).levels[TOP]
         key, where = np.unique(level.key & 0xFFFFFF, return_inverse=True)
         return pa.table({"node": key, "n0": np.bincount(where, level.n0), "n1": np.bincount(where, level.n1), "below": np.bincount(where, level.log_weighted)})
@@ -233,25 +314,20 @@ def top_levels(key: np.ndarray, n0: np.ndarray, n1: np.ndarray, below: np.ndarra
 
 def _answer(depth: int, tops):
     def run(table: pa.Table) -> pa.Table:
-        lists, gram, count = _received(table)
+        gram, count = _received(table)
         score = Subtree(gram, count, depth, TOP).log_probability(tops.value).astype(np.float32)
-        return pa.table({"block": table.column("block"), "kind": table.column("kind"), "keys": table.column("keys"), "values": pa.array([zstandard.compress(score[np.searchsorted(gram, g)].tobytes(), 1) for g in lists], pa.binary())})
+        values = [zstandard.compress(score[np.searchsorted(gram, unpack(k.as_py()))].tobytes(), 1) for k in table.column("keys")]
+        return table.select(["team", "lane", "kind", "keys"]).append_column("values", pa.array(values, pa.binary()))
 
-    return run, "block int, kind string, keys binary, values binary"
+    return run, ANSWERED
 
 
 def _count(table: pa.Table) -> pa.Table:
-    """Of an owner of words: its part of the totals in a row without block, and each block's counts."""
-    lists = [zstandard.decompress(b).split(b" ") for b in table.column("keys").to_pylist()]
-    total: Counter = Counter()
-    for ws, c in zip(lists, table.column("counts").to_pylist(), strict=True):
-        for w, n in zip(ws, unpack(c).tolist(), strict=True):
-            total[w] += n
-    values = [pack(np.array([total[w] for w in ws], np.int64)) for ws in lists]
+    """Of an owner of words: each relay's counts, and its part of the totals in a row without relay."""
+    total = _total(zip(table.column("keys"), table.column("counts"), strict=True))
+    rows = [(t.as_py(), lane.as_py(), "word", k.as_py(), pack(np.array([total[w] for w in _words_in(k.as_py())], np.int64))) for t, lane, k in zip(*(table.column(c) for c in ("team", "lane", "keys")), strict=True)]
     known = [n for n in total.values() if n]
-    sums = pack(np.array([len(known), sum(known)], np.int64))
-    none = pa.nulls(1, pa.int32())
-    return pa.table({"block": pa.chunked_array([table.column("block").combine_chunks(), none]), "kind": ["word"] * len(lists) + ["sum"], "keys": [*table.column("keys").to_pylist(), b""], "values": pa.array([*values, sums], pa.binary())})
+    return _table([*rows, (None, None, "sum", b"", pack(np.array([len(known), sum(known)], np.int64)))], ANSWERED)
 
 
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bytes long, bits_per_byte double"
@@ -284,9 +360,7 @@ def _score(depth: int, distinct: int, tokens: int, ends: int):
                 c = np.array([*map(words.get, own, [0] * len(own)), ends], float)
                 base = float(np.log10(c + 1).sum()) - len(c) * room
                 out.append((i, not x, len(c), int((c > 0).sum()), tokens, base, s, len(t) + 1, -s * math.log2(10) / (len(t) + 1)))
-        names = [f.split()[0] for f in SCORES.split(", ")]
-        kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.float64()]
-        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [()] * len(kinds), kinds, strict=True)], names=names)
+        return _table(out, SCORES)
 
     return run
 
@@ -307,16 +381,20 @@ def scores(docs: DataFrame, depth: int = DEPTH, block_bytes: int = BLOCK_BYTES)
     if total.bytes is None:
         return spark.createDataFrame([], SCORES)
     n = -(-total.bytes // block_bytes)
-    owners = min(MOST_OWNERS, max(32, 4 * n))
+    owners = max(LEAST_OWNERS, BLOCK_OWNERS * n)
+    team, span = math.isqrt(n - 1) + 1, math.isqrt(owners - 1) + 1
     dealt = source.withColumn("train", train).withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int"))
-    asked = materialize(dealt.groupBy("block").applyInArrow(*_ask(depth, owners)), "asked")
-    of_grams, of_words = asked.where("kind = 'gram'"), asked.where("kind = 'word'")
+    asked = materialize(dealt.groupBy("block").applyInArrow(*_ask(depth, owners, span)), "asked").withColumn("team", F.floor(F.col("block") / team).cast("int"))
+    relayed = materialize(asked.groupBy("team", "lane", "kind").applyInArrow(*_relay(owners)), "relayed")
+    of_grams, of_words = relayed.where("kind = 'gram'"), relayed.where("kind = 'word'")
     summed = of_grams.groupBy("owner").applyInArrow(*_summary(depth)).groupBy("node").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("below").alias("below"))
     top = summed.orderBy("node").toArrow()
     tops = spark.sparkContext.broadcast(top_levels(*(np.array(top.column(c)) for c in ("node", "n0", "n1", "below"))))
-    counted = materialize(of_words.groupBy("owner").applyInArrow(_count, "block int, kind string, keys binary, values binary"), "counted")
+    counted = materialize(of_words.groupBy("owner").applyInArrow(_count, ANSWERED), "counted")
     sums = [unpack(bytes(r["values"])) for r in counted.where("kind = 'sum'").select("values").toLocalIterator()]
     distinct, tokens = sum(int(s[0]) for s in sums), sum(int(s[1]) for s in sums)
     answers = of_grams.groupBy("owner").applyInArrow(*_answer(depth, tops)).unionByName(counted.where("kind = 'word'"))
-    scored = dealt.groupBy("block").cogroup(answers.groupBy("block"))
+    relay = ("team", "lane", "kind")
+    replies = asked.groupBy(*relay).cogroup(answers.groupBy(*relay)).applyInArrow(_reply, "block int, kind string, keys binary, values binary")
+    scored = dealt.groupBy("block").cogroup(replies.groupBy("block"))
     return scored.applyInArrow(_score(depth, distinct + (total.ends > 0), tokens + total.ends, total.ends), SCORES)
