@@ -37,7 +37,8 @@ tets AS (SELECT s[1]::INT + s[1 + (1 << p)]::INT + s[1 + (1 << p) + (1 << q)]::I
 
 def depths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """img_id, u, v, d of the pixels that meet the ball."""
-    d = cameras(spark, sf_dir).withColumn("u", F.explode(F.sequence(F.lit(0), F.lit(GRID - 1)))).withColumn("v", F.explode(F.sequence(F.lit(0), F.lit(GRID - 1))))
+    # a small file is one part, and its rows become many
+    d = cameras(spark, sf_dir).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "img_id").withColumn("u", F.explode(F.sequence(F.lit(0), F.lit(GRID - 1)))).withColumn("v", F.explode(F.sequence(F.lit(0), F.lit(GRID - 1))))
     q = vec((F.col("u") - OPTICS[1]) / OPTICS[0], (F.col("v") - OPTICS[2]) / OPTICS[0], 1)
     d = d.withColumn("m", dot(q, F.col("t"))).withColumn("n", dot(q, q)).withColumn("c", dot(F.col("t"), F.col("t")) - BALL**2)
     d = d.where("m * m - n * c >= 0")

@@ -55,3 +55,17 @@ def test_two_views_of_a_plane(spark):
     assert sorted(rows) == sorted(again)
     points, faces, vertices = fusion.fuse(d, cams, (40.0, 19.5, 14.5), 0.05, 0.2, 5.0, ("red",))
     assert {round(r.z, 4) for r in points.collect()} == {2.0} and {round(r.z, 4) for r in vertices.collect()} == {2.0} and faces.count() > 100
+
+
+def test_images_add_up_in_their_task(spark, monkeypatch):
+    """Images meet one by one: no voxel of an image is a row, and halves, null colours and repeated pixels count as ever."""
+    monkeypatch.setattr(fusion, "HELD", 3)
+    pixels = [(i, u, v, 2.0, None if i % 2 else 0.5) for i in range(8) for u in range(20) for v in range(20)] + [(3, 7, 7, 2.0, None)]
+    d = spark.createDataFrame(pixels, "img_id long, u long, v long, d double, red double")
+    cams = spark.createDataFrame([(i, np.eye(3).ravel().tolist(), [0.0, 0.0, 0.0]) for i in range(8)], "img_id long, R array<double>, t array<double>")
+    out = fusion.integrate(d, cams, (20.0, 9.5, 9.5), 0.1, 0.2, 5.0, ("red",))
+    assert "Generate" not in out._jdf.queryExecution().optimizedPlan().toString()
+    rows = out.collect()
+    assert len(rows) > 500 and {r.weight for r in rows} == {8, 9}
+    assert all(r.red == 0.5 * 4 / r.weight and r.tsdf == pytest.approx(min(1, (2 - r.iz * 0.1) / 0.2), abs=1e-5) for r in rows)
+    assert fusion.integrate(d.limit(0), cams, (20.0, 9.5, 9.5), 0.1, 0.2, 5.0, ("red",)).count() == 0
