@@ -53,12 +53,15 @@ def pieces(faces: DataFrame) -> DataFrame:
 
 def clean(faces: DataFrame, vertices: DataFrame, tiny: float = 1e-10, ratio: float = 0.01) -> DataFrame:
     """Faces without repeats of the same three vertices (the smallest fid stays) and without vanishing area, then
-    without the components that have fewer faces than ratio times the largest."""
+    without the components that have fewer faces than ratio times the largest; a ratio of 0 leaves all."""
     key = F.array_sort(F.array("a", "b", "c"))
     first = faces.withColumn("_key", key).groupBy("_key").agg(F.min(F.struct("fid", "a", "b", "c")).alias("f")).select("f.*")
     n = cross(sub(F.col("pb"), F.col("pa")), sub(F.col("pc"), F.col("pa")))
     good = corners(first, vertices).where(norm(n) / 2 >= tiny).select("fid")
-    whole = materialize(first.join(good, "fid", "left_semi"), "faces")
+    whole = first.join(good, "fid", "left_semi")
+    if ratio <= 0:
+        return whole
+    whole = materialize(whole, "faces")
     labels = materialize(pieces(whole), "pieces")
     sizes = labels.groupBy("component").agg(F.count("*").alias("n"))
     large = sizes.crossJoin(F.broadcast(sizes.agg(F.max("n").alias("most")))).where(F.col("n") >= F.col("most") * ratio)
