@@ -28,6 +28,8 @@ PART = 20_000
 MOST_CAMERAS = 1_000_000
 #: Squared pixels an observation under which nothing is left to gain.
 VANISHES = 1e-12
+#: Numbers that wait to be summed by camera, at least.
+WAITING = 1_000_000
 #: Steps of conjugate gradients at most, and the share of the residual at which they end.
 INNER, FORCING = 50, 0.05
 LISTS = pa.list_(pa.float64())
@@ -74,7 +76,8 @@ class _Part:
         self.cams, self.pts, self.ids = (np.frombuffer(row[c], kind) for c, kind in (("cams", np.int32), ("pts", np.int32), ("ids", np.int64)))
         self.uv, self.xyz = np.frombuffer(row["uv"]).reshape(-1, 2), np.frombuffer(row["xyz"]).reshape(-1, 3)
         self.k, self.starts = k, np.searchsorted(self.pts, np.arange(len(self.ids)))
-        self.own, self.at = np.unique(self.cams, return_inverse=True)
+        self.by_cam = np.argsort(self.cams, kind="stable")
+        self.own, self.cam_starts = np.unique(self.cams[self.by_cam], return_index=True)
         r, t = cameras
         self.e, self.jc, self.jx = linearised(r[self.cams], t[self.cams], self.xyz[self.pts], self.uv, k)
 
@@ -82,9 +85,7 @@ class _Part:
         return np.add.reduceat(x, self.starts, axis=0)
 
     def by_camera(self, x: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(self.own), *x.shape[1:]))
-        np.add.at(out, self.at, x)
-        return out
+        return np.add.reduceat(x[self.by_cam], self.cam_starts, axis=0)
 
     def eliminate(self, damping: float) -> None:
         v = self.by_point(np.swapaxes(self.jx, 1, 2) @ self.jx)
@@ -109,20 +110,41 @@ def _pack(key: tuple, t: pa.Table) -> pa.Table:
     return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "cams": [np.array(t.column("cam"), np.int32).tobytes()], "pts": [pts.astype(np.int32).tobytes()], "uv": [uv.tobytes()], "ids": [ids.tobytes()], "xyz": [xyz.tobytes()]})
 
 
-def _add(total: dict[int, np.ndarray], cams: list[int], rows: np.ndarray) -> None:
-    for c, x in zip(cams, rows, strict=True):
-        total[c] = total[c] + x if c in total else x
+class _Total:
+    """Sums of rows by camera: arrays, for a task sees every camera in most of its parts."""
+
+    def __init__(self, width: int) -> None:
+        self.cams, self.rows, self.width, self.more, self.waiting = np.empty(0, np.int32), np.empty((0, width)), width, [], 0
+
+    def add(self, cams: np.ndarray, rows: np.ndarray) -> None:
+        self.more.append((cams, rows))
+        self.waiting += len(cams)
+        if self.waiting > max(len(self.cams), WAITING // self.width):
+            self.settle()
 
+    def settle(self) -> None:
+        cams, rows = (np.concatenate(x) for x in zip((self.cams, self.rows), *self.more, strict=True))
+        order = np.argsort(cams, kind="stable")
+        if len(cams):
+            self.cams, first = np.unique(cams[order], return_index=True)
+            self.rows = np.add.reduceat(rows[order], first, axis=0)
+        self.more, self.waiting = [], 0
 
-def _vectors(total: dict[int, np.ndarray]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["cam", "x"])
+    def batch(self) -> pa.RecordBatch:
+        self.settle()
+        offsets = np.arange(len(self.cams) + 1, dtype=np.int32) * (8 * self.width)
+        x = pa.Array.from_buffers(pa.binary(), len(self.cams), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(self.rows))])
+        return pa.RecordBatch.from_arrays([pa.array(self.cams, pa.int32()), x], names=["cam", "x"])
 
 
-def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total: dict[int, np.ndarray] = {}
-    for batch in batches:
-        _add(total, batch.column("cam").to_pylist(), [np.frombuffer(x) for x in batch.column("x").to_pylist()])
-    yield _vectors(total)
+def _summed(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = _Total(width)
+        for batch in batches:
+            total.add(np.array(batch.column("cam")), np.frombuffer(b"".join(batch.column("x").to_pylist())).reshape(-1, width))
+        yield total.batch()
+
+    return run
 
 
 @dataclass
@@ -145,17 +167,16 @@ class _Problem:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             now, *rest = sent.value
-            total: dict[int, np.ndarray] = {}
+            total = _Total(width)
             for batch in batches:
                 for row in batch.to_pylist():
                     part = _Part(row, now, k)
-                    _add(total, part.own.tolist(), make(part, *rest).reshape(len(part.own), width))
-            yield _vectors(total)
+                    total.add(part.own, make(part, *rest).reshape(len(part.own), width))
+            yield total.batch()
 
-        rows = self.parts.mapInArrow(run, "cam int, x binary").repartition("cam").mapInArrow(_summed, "cam int, x binary")
+        rows = self.parts.mapInArrow(run, "cam int, x binary").repartition("cam").mapInArrow(_summed(width), "cam int, x binary")
         found, out = rows.toArrow(), np.zeros((len(cameras[0]), width))  # a row for each camera
-        for c, x in zip(found.column("cam").to_pylist(), found.column("x").to_pylist(), strict=True):
-            out[c] = np.frombuffer(x)
+        out[np.array(found.column("cam"))] = np.frombuffer(b"".join(found.column("x").to_pylist())).reshape(-1, width)
         sent.unpersist()
         return out
 
@@ -219,13 +240,13 @@ def _solved(problem: _Problem, cameras: tuple[np.ndarray, np.ndarray], free: np.
     return x
 
 
-def bundle_adjust(cameras: DataFrame, points: DataFrame, observations: DataFrame, k: tuple[float, float, float, float], held: list[int] | None = None, rounds: int = 50, tolerance: float = 1e-6) -> Adjusted:
+def bundle_adjust(cameras: DataFrame, points: DataFrame, observations: DataFrame, k: tuple[float, float, float, float], held: list[int] | None = None, rounds: int = 50, tolerance: float = 1e-6, vanishes: float = VANISHES) -> Adjusted:
     """Cameras (img_id, R, t) and points (pt_id, p) adjusted to observations (img_id, pt_id, u, v) under k = fx, fy, cx, cy.
 
     held: cameras that stay, by default the one of the smallest id; an empty list holds none. Observations
     of unknown cameras or points, or with null pixels, don't count, and points without any stay out. Steps
     end after so many rounds, or when an accepted one lowers the squared error by less than the tolerance's
-    share or leaves next to none. Errors never grow: a step that would is taken back and damped more.
+    share or leaves next to none (vanishes, squared pixels an observation). Errors never grow: a step that would is taken back and damped more.
     """
     spark: SparkSession = cameras.sparkSession
     known = cameras.select(F.col("img_id").cast("long").alias("img_id"), "R", "t").orderBy("img_id").limit(MOST_CAMERAS + 1).toArrow()
@@ -255,7 +276,7 @@ def bundle_adjust(cameras: DataFrame, points: DataFrame, observations: DataFrame
             gain = (costs[-1] - cost) / costs[-1]
             problem, now, damping = moved, after, max(damping / 10, 1e-12)
             costs.append(cost)
-            if gain < tolerance or cost <= VANISHES * count:
+            if gain < tolerance or cost <= vanishes * count:
                 break
         else:
             damping *= 10
