@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.linear import norm, sub, vec
+from ..session import materialize
 from .cameras import camera_to_world, center, project, rotation_angle, world_to_camera
 from .ranks import group_quantile, joined
 
+#: Cameras to a block, on average, and pairs that are compared at once.
+BLOCK, PAIRS = 4000, 1_000_000
+
 
 def reprojection_errors(seen: DataFrame, k: Column) -> DataFrame:
     """Adds the pixel error of each observation (R, t, p, u, v); points behind the camera have none."""
@@ -48,22 +56,66 @@ def best_stereo_pairs(cameras: DataFrame, most: int, reach: int = 5) -> DataFram
     return stereo_pairs(cameras, reach).where("score > 0").orderBy(F.desc("score"), "i", "j").limit(most)
 
 
+def _packed(key: tuple, t: pa.Table) -> pa.Table:
+    poses = np.column_stack([np.array(t.column(c).combine_chunks().flatten(), float).reshape(len(t), -1) for c in ("R", "c")])
+    return pa.table([*(pa.array([x.as_py()], kind) for x, kind in zip(key, (*[pa.int64()] * 3, pa.int32()), strict=True)), [np.array(t.column("img_id"), np.int64).tobytes()], [poses.tobytes()]], names=["g0", "g1", "g2", "part", "ids", "poses"])
+
+
+def _best_views(most: int, least: float, far: float, widest: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of pairs of blocks: each camera's best views among the other block's, ties by index."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                i, j = (np.frombuffer(row[c], np.int64) for c in ("ids", "other_ids"))
+                a, b = (np.frombuffer(row[c]).reshape(-1, 12) for c in ("poses", "other_poses"))
+                order = np.argsort(j, kind="stable")
+                j, b = j[order], b[order]
+                step = max(1, PAIRS // len(j))
+                for k in range(0, len(i), step):
+                    x = a[k : k + step]
+                    square = sum((x[:, None, n] - b[None, :, n]) ** 2 for n in (9, 10, 11))
+                    trace = x[:, None, 0] * b[None, :, 0]
+                    for n in range(1, 9):
+                        trace += x[:, None, n] * b[None, :, n]
+                    baseline, angle = np.sqrt(square), np.degrees(np.arccos(np.clip((trace - 1) / 2, -1, 1)))
+                    good = (baseline > least) & (baseline < far) & (angle < widest) & (i[k : k + step, None] != j)
+                    score = np.where(good, np.floor(baseline / (1 + angle / 20) * 1e9 + 0.5) / 1e9, -1.0)
+                    rows = np.arange(len(x))
+                    for _ in range(min(most, len(j))):
+                        best = score.argmax(axis=1)  # of equals the first, which has the smaller id
+                        value = score[rows, best]
+                        score[rows, best] = -1.0
+                        keep = value >= 0
+                        yield pa.RecordBatch.from_arrays([pa.array(i[k : k + step][keep]), pa.array(j[best][keep]), pa.array(value[keep])], names=["i", "j", "score"])
+
+    return run
+
+
 def source_views(cameras: DataFrame, most: int = 4, least: float = 0.01, far: float = 10.0, widest: float = 60.0) -> DataFrame:
     """i, j, rank: of all other cameras the best source views of each, ties and views of score zero by index.
 
     Only centres less than far apart can score, so cameras meet in cells of that size and their neighbours.
+    A cell's cameras lie in blocks, and blocks are compared whole: pairs are no rows, only the best of each block pair.
     """
-    at = cameras.select("img_id", "R", center(F.col("R"), F.col("t")).alias("c"))
+    kind = cameras.schema["img_id"].dataType
+    at = cameras.where("img_id IS NOT NULL").select(F.col("img_id").cast("long").alias("img_id"), "R", center(F.col("R"), F.col("t")).alias("c"))
+    at = at.where(F.forall(F.concat("R", "c"), lambda x: x.isNotNull() & ~F.isnan(x)))
+    cell = ["g0", "g1", "g2"]
     at = at.select("img_id", "R", "c", *(F.floor(F.col("c")[k] / far).cast("long").alias(f"g{k}") for k in range(3)))
-    a = at.select(F.col("img_id").alias("i"), F.col("R").alias("ra"), F.col("c").alias("ca"), *(F.explode(F.array(*(F.col(f"g{k}") + s for s in (-1, 0, 1)))).alias(f"g{k}") if k == 0 else F.col(f"g{k}") for k in range(3)))
-    for k in (1, 2):
-        a = a.withColumn(f"g{k}", F.explode(F.array(*(F.col(f"g{k}") + s for s in (-1, 0, 1)))))
-    b = at.select(F.col("img_id").alias("j"), F.col("R").alias("rb"), F.col("c").alias("cb"), "g0", "g1", "g2")
-    d = a.join(b, ["g0", "g1", "g2"]).where("i <> j").select("i", "j", norm(sub(F.col("ca"), F.col("cb"))).alias("baseline"), rotation_angle(F.col("ra"), F.col("rb")).alias("angle"))
-    d = d.where((F.col("baseline") > least) & (F.col("baseline") < far) & (F.col("angle") < widest))
+    parts = at.groupBy(*cell).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    at = at.join(parts, cell).withColumn("part", F.pmod(F.xxhash64("img_id"), F.col("parts")).cast("int"))
+    blocks = materialize(at.groupBy(*cell, "part").applyInArrow(_packed, "g0 long, g1 long, g2 long, part int, ids binary, poses binary"), "blocks")
+    a = blocks
+    for c in cell:
+        a = a.withColumn(c, F.explode(F.array(*(F.col(c) + s for s in (-1, 0, 1)))))
+    b = blocks.withColumnsRenamed({"part": "other", "ids": "other_ids", "poses": "other_poses"})
+    tasks = int(cameras.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    both = a.join(b, cell).repartition(tasks, F.xxhash64("ids"), F.xxhash64("other_ids"))
+    d = both.select("ids", "poses", "other_ids", "other_poses").mapInArrow(_best_views(most, least, far, widest), "i long, j long, score double")
     order = Window.partitionBy("i").orderBy(F.desc("score"), "j")
     rank = F.row_number().over(order).alias("rank")
-    best = d.select("i", "j", F.round(F.col("baseline") / (1 + F.col("angle") / 20), 9).alias("score")).select("*", rank).where(F.col("rank") <= most)
+    best = d.select(F.col("i").cast(kind).alias("i"), F.col("j").cast(kind).alias("j"), "score").select("*", rank).where(F.col("rank") <= most)
     # a camera that lacks views has fewer than most of its own: with itself that leaves enough of the first 2 * most
     first = cameras.select(F.col("img_id").alias("j")).orderBy("j").limit(2 * most)
     rest = cameras.select(F.col("img_id").alias("i")).crossJoin(F.broadcast(first)).where("i <> j").select("i", "j", F.lit(0.0).alias("score"))

@@ -36,3 +36,14 @@ def test_query(spark):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW supplier AS SELECT * FROM '{SMALL}/supplier.parquet'")
     assert got == set(con.execute(SQL).fetchall()) and len(got) == 40
+
+
+def test_blocks_of_cameras(spark, monkeypatch):
+    """Cameras of many blocks, some with the same pose: no pair of cameras is a row."""
+    monkeypatch.setattr(poses, "BLOCK", 20)
+    monkeypatch.setattr(poses, "PAIRS", 70)
+    gen = np.random.default_rng(9)
+    turns = turned(gen.uniform(0, 0.6, (90, 3)))
+    rows = [(k, turns[k % 50], -turns[k % 50] @ np.array([k % 50 * 0.3, k % 3, 5.0])) for k in range(90)]
+    d = spark.createDataFrame([(k, r.ravel().tolist(), t.tolist()) for k, r, t in rows], "img_id long, R array<double>, t array<double>")
+    assert {tuple(x) for x in poses.source_views(d).collect()} == from_sql(rows)
