@@ -2,7 +2,7 @@
 
 Tracks are the components of the graph of matched features. What the loop carries is the table of
 cameras; points follow from it by linear triangulation of all views of a track. Each round registers the
-images that see most points, all at once where several see nearly as many, and every few rounds cameras
+images of each model that see most points, all at once where several see nearly as many, and every few rounds cameras
 and points are adjusted together. The driver holds what has the size of the cameras.
 """
 
@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import Scratch, materialize
@@ -117,7 +117,10 @@ def _located(k: Camera):
 
 @dataclass
 class Reconstruction:
-    """cameras (img_id, R, t), points (pt_id, p) and the observations (img_id, pt_id, u, v) that keep to them."""
+    """cameras (img_id, R, t, model), points (pt_id, p) and the observations (img_id, pt_id, u, v) that keep to them.
+
+    Images that no matches join are models of their own, each in its own frame; a model is named by its least image.
+    """
 
     cameras: DataFrame
     points: DataFrame
@@ -130,8 +133,8 @@ class Reconstruction:
 
 
 class _Loop:
-    def __init__(self, spark: SparkSession, seen: DataFrame, k: Camera) -> None:
-        self.spark, self.k, self.scratch = spark, k, Scratch(spark)
+    def __init__(self, spark: SparkSession, seen: DataFrame, k: Camera, models: dict[int, int]) -> None:
+        self.spark, self.k, self.scratch, self.models = spark, k, Scratch(spark), models
         self.seen = self.scratch.table(seen.select("track", "img_id", "u", "v"), "tracks")
         self.parts, self.cams = max(1, -(-self.seen.count() // PART)), {}
 
@@ -158,7 +161,8 @@ class _Loop:
         return reprojection_errors(rows, intrinsics(fx, fy, cx, cy)).where(F.col("error") < PIXELS).select("img_id", "pt_id", "u", "v")
 
     def adjust(self, points: DataFrame, rounds: int, tolerance: float = 1e-6) -> DataFrame:
-        done = bundle_adjust(self.cameras(), points, self.fitting(points), self.k, rounds=rounds, tolerance=tolerance)
+        held = {self.models[i]: i for i in sorted(self.cams, reverse=True)}  # the least of each model
+        done = bundle_adjust(self.cameras(), points, self.fitting(points), self.k, list(held.values()), rounds=rounds, tolerance=tolerance)
         self.cams = {r.img_id: (list(r.R), list(r.t)) for r in done.cameras.collect()}
         return done.points
 
@@ -166,28 +170,38 @@ class _Loop:
 def reconstruct(features: DataFrame, matches: DataFrame, k: Camera, least: int = LEAST, interval: int = INTERVAL, rounds: int = 30) -> Reconstruction:
     """Cameras, points and observations from features (img_id, feat_id, u, v) and verified matches (img_a, feat_a, img_b, feat_b).
 
-    The pair with most points that both see well, ahead, and at an angle is first; its first camera is the
-    origin and its second one lies at distance 1. Rounds go on while an image that isn't registered sees
+    Of each model the pair with most points that both see well, ahead, and at an angle is first; its first camera is the
+    origin and its second one lies at distance 1. Models grow side by side, in the same rounds. Rounds go on while an image that isn't registered sees
     at least `least` points and finds a pose that INLIERS of them keep; one that fails waits until it sees more.
     After interval rounds, once enough cameras have come, and at the end, cameras and points are adjusted. No pair raises an error.
     """
     spark = features.sparkSession
     at = features.select(F.col("img_id").alias("i"), F.col("feat_id").alias("f"), "u", "v")
     pairs = matches.join(at.toDF("img_a", "feat_a", "u1", "v1"), ["img_a", "feat_a"]).join(at.toDF("img_b", "feat_b", "u2", "v2"), ["img_b", "feat_b"])
-    first = first_pairs(pairs, k).where("score > 0").orderBy(F.desc("score"), "img_a", "img_b").first()
-    if first is None:
+    joined = materialize(components(matches.select(F.col("img_a").cast("long").alias("a"), F.col("img_b").cast("long").alias("b")).distinct()), "models")
+    order = Window.partitionBy("component").orderBy(F.desc("score"), "img_a", "img_b")
+    good = first_pairs(pairs, k).where("score > 0").join(joined.withColumnRenamed("node", "img_a"), "img_a")
+    first = good.withColumn("rank", F.row_number().over(order)).where("rank = 1").collect()
+    if not first:
         raise ValueError("no two images to begin with")
-    loop = _Loop(spark, tracks(matches, features), k)
-    loop.cams = {first.img_a: (np.eye(3).ravel().tolist(), [0.0] * 3), first.img_b: (first.R, first.t)}
-    points, failed, done, adjusted = loop.points(), {}, 0, 2
+    models = {r.node: r.component for r in joined.limit(MOST_CAMERAS + 1).collect()}
+    if len(models) > MOST_CAMERAS:
+        raise ValueError(f"more than {MOST_CAMERAS} cameras")
+    loop = _Loop(spark, tracks(matches, features), k, models)
+    loop.cams = {r.img_a: (np.eye(3).ravel().tolist(), [0.0] * 3) for r in first} | {r.img_b: (r.R, r.t) for r in first}
+    points, failed, done, adjusted = loop.points(), {}, 0, len(loop.cams)
     while True:
         to = loop.scratch.table(loop.correspondences(points), "correspondences")
         counts = {r.img_id: r["count"] for r in to.groupBy("img_id").count().where(F.col("count") >= least).collect()}
         counts = {i: n for i, n in counts.items() if n > failed.get(i, 0)}
         if not counts:
             break
-        chosen = [i for i, n in counts.items() if n >= NEARLY * max(counts.values())]
-        poses = poses_from_points(to.where(F.col("img_id").isin(chosen)), k, PIXELS).where(F.col("n_inliers") >= INLIERS).collect()
+        best: dict[int, int] = {}
+        for i, n in counts.items():
+            best[models[i]] = max(n, best.get(models[i], 0))
+        chosen = [i for i, n in counts.items() if n >= NEARLY * best[models[i]]]
+        asked = spark.createDataFrame(pa.table({"img_id": pa.array(chosen, pa.int64())}))
+        poses = poses_from_points(to.join(asked, "img_id", "left_semi"), k, PIXELS).where(F.col("n_inliers") >= INLIERS).collect()
         failed |= {i: counts[i] for i in chosen}
         if not poses:
             continue
@@ -198,6 +212,7 @@ def reconstruct(features: DataFrame, matches: DataFrame, k: Camera, least: int =
             done, adjusted = 0, len(loop.cams)
             points = loop.points()
     points = materialize(loop.adjust(points, rounds), "points")
-    out = Reconstruction(loop.cameras(), points, materialize(loop.fitting(points), "observations"))
+    names = spark.createDataFrame(pa.table({"img_id": pa.array(models, pa.int64()), "model": pa.array(models.values(), pa.int64())}))
+    out = Reconstruction(loop.cameras().join(names, "img_id"), points, materialize(loop.fitting(points), "observations"))
     loop.scratch.clear()
     return out
