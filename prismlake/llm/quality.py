@@ -29,18 +29,18 @@ FEATURES = WORD_FEATURES + STYLE_FEATURES
 STYLE_WEIGHT = 3.0
 SHAPE = bytes(65 if 65 <= c <= 90 else 97 if 97 <= c <= 122 or c > 127 else 57 if 48 <= c <= 57 else c for c in range(256))
 RUNS = re.compile(rb"(.)\1+", re.S)
-_cache: dict[bytes, tuple[int, int]] = {}
+class _Ids(dict):
+    """Of a word in one number: in the lowest 16 bits the feature of itself without marks around it, in the next 16 that
+    of its shape, as in Aa, or a!! of any length, above 32 its own number, which holds until the words are cleared."""
 
-
-def _ids(word: bytes) -> tuple[int, int]:
-    """The features of a word: itself without marks around it, and its shape, as in Aa, or a!! of any length."""
-    got = _cache.get(word)
-    if got is None:
-        if len(_cache) > 300_000:
-            _cache.clear()
+    def __missing__(self, word: bytes) -> int:
         shape = RUNS.sub(rb"\1", word.translate(SHAPE))
-        got = _cache[word] = (zlib.crc32(word.translate(FOLD).strip(b".,;:!?|*#$%&\"'()")) % WORD_FEATURES, WORD_FEATURES + zlib.crc32(shape) % (STYLE_FEATURES - 24))
-    return got
+        own = zlib.crc32(word.translate(FOLD).strip(b".,;:!?|*#$%&\"'()")) % WORD_FEATURES
+        got = self[word] = own | (WORD_FEATURES + zlib.crc32(shape) % (STYLE_FEATURES - 24)) << 16 | len(self) << 32
+        return got
+
+
+_ids = _Ids()
 
 
 def counts(text: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -48,13 +48,17 @@ def counts(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     words = text.split()
     if not words:
         return np.empty(0, np.int64), np.empty(0, np.float32)
-    pairs = np.array(list(map(_ids, words)))
-    lexical, n = np.bincount(pairs[:, 0], minlength=FEATURES), len(words)
-    style = np.bincount(pairs[:, 1], minlength=FEATURES)
+    n = len(words)
+    if len(_ids) > 300_000:  # between texts, for numbers must tell a text's words apart
+        _ids.clear()
+    ids = np.fromiter(map(_ids.__getitem__, words), np.int64, n)
+    lexical, style = np.bincount(ids & 0xFFFF, minlength=FEATURES), np.bincount(ids >> 16 & 0xFFFF, minlength=FEATURES)
     # how far the text repeats itself: distinct words and lines to all of them, each in twelve steps
     lines = [x for x in text.split(b"\n") if x.strip()]
-    pair = set(zip(words, words[1:], strict=False))
-    for k, share in enumerate((len(pair) / max(1, n - 1), len(set(lines)) / max(1, len(lines)))):
+    own = ids >> 32
+    pairs = np.sort(own[:-1] << 31 | own[1:])
+    distinct = int((pairs[1:] != pairs[:-1]).sum()) + (n > 1)
+    for k, share in enumerate((distinct / max(1, n - 1), len(set(lines)) / max(1, len(lines)))):
         style[FEATURES - 24 + 12 * k + min(11, int(share * 12))] += n
     used = np.flatnonzero(lexical + style)
     weights = np.log1p(lexical[used]) / np.log1p(n) + STYLE_WEIGHT * np.sqrt(style[used] / n)
