@@ -61,5 +61,5 @@ SELECT a.img_id, a.feat_id, min(bit_count(xor(a.bits[1], b.bits[1])) + bit_count
 def hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
     word = lambda w: F.expr(f"aggregate(sequence(0, 31), 0L, (s, k) -> s + CASE WHEN desc[{w} * 32 + k] > 0 THEN shiftleft(1L, k) ELSE 0L END)")
     f = features(spark, sf_dir).select("img_id", "feat_id", F.array(word(0), word(1)).alias("bits"))
-    b = f.select((F.col("img_id") - 1).alias("img_id"), F.col("bits").alias("other"))
-    return f.join(b, "img_id").groupBy("img_id", "feat_id").agg(F.min(M.hamming(F.col("bits"), F.col("other"))).alias("least"))
+    pairs = f.select(F.col("img_id").alias("img_a"), (F.col("img_id") + 1).alias("img_b")).distinct()
+    return M.nearest_bits(f, pairs).select(F.col("img_a").cast(f.schema["img_id"].dataType).alias("img_id"), F.col("query_idx").alias("feat_id"), "least")
