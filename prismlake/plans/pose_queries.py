@@ -62,11 +62,17 @@ part_of AS (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem),
 edges AS (SELECT a.l_suppkey AS src, b.l_suppkey AS dst, count(*)::BIGINT AS weight FROM part_of a JOIN part_of b ON a.l_orderkey = b.l_orderkey AND a.l_suppkey < b.l_suppkey GROUP BY ALL)"""
 
 
-def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+#: Line items to a partition of the joins and counts of edges, so that a task's memory stays the same when the table grows.
+PART_ROWS = 250_000
+
+
+def edges(spark: SparkSession, sf_dir: str, part_rows: int = PART_ROWS) -> DataFrame:
     """Suppliers that share an order. An order has few line items, so its pairs are few."""
-    p = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey").distinct()
+    items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey")
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-items.count() // part_rows))
+    p = items.repartition(n, "l_orderkey").distinct()
     a, b = p.withColumnRenamed("l_suppkey", "src"), p.withColumnRenamed("l_suppkey", "dst")
-    return a.join(b, "l_orderkey").where("src < dst").groupBy("src", "dst").agg(F.count("*").alias("weight"))
+    return a.join(b, "l_orderkey").where("src < dst").select("src", "dst").repartition(n, "src", "dst").groupBy("src", "dst").agg(F.count("*").alias("weight"))
 
 
 @register(
