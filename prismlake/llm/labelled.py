@@ -23,10 +23,10 @@ def training_labels(labels: DataFrame, label: str) -> DataFrame:
 SAMPLE_BYTES = 64 << 20
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, most: dict[int | None, int], most_bytes: int = SAMPLE_BYTES) -> list[tuple[int, bytes]]:
-    """(y, text) of at most most[y] rows of each label (of all labels under None), whole texts by the hash of their ids up to most_bytes.
+def sample_rows(docs: DataFrame, labels: DataFrame, label: str, most: dict[int | None, int], most_bytes: int = SAMPLE_BYTES) -> DataFrame:
+    """doc_id, text, y of at most most[y] rows of each label (of all labels under None), whole texts by the hash of their ids up to most_bytes.
 
-    The sample is what the driver fits on; its size is a parameter, whatever the size of the tables.
+    The sample is what one process fits on; its size is a parameter, whatever the size of the tables.
     """
     fold, picked = training_labels(labels, label), None
     for y, n in most.items():
@@ -35,4 +35,9 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, most: dict[int | None
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id")
     before = Window.partitionBy("part").orderBy(F.xxhash64("doc_id"), "doc_id", "text").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("before", F.coalesce(F.sum(F.octet_length("text")).over(before), F.lit(0))).where(F.col("before") < most_bytes // len(most))
-    return [(r.y, r.text.encode()) for r in sorted(rows.select("y", "doc_id", "text").collect(), key=lambda r: (r.doc_id, r.text))]
+    return rows.select("doc_id", "text", "y")
+
+
+def sample(docs: DataFrame, labels: DataFrame, label: str, most: dict[int | None, int], most_bytes: int = SAMPLE_BYTES) -> list[tuple[int, bytes]]:
+    """(y, text) of sample_rows(), in the order of ids and texts, on the driver."""
+    return [(r.y, r.text.encode()) for r in sorted(sample_rows(docs, labels, label, most, most_bytes).collect(), key=lambda r: (r.doc_id, r.text))]

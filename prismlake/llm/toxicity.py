@@ -10,6 +10,7 @@ did not see the document, and shifted so that the cut which these gains call for
 from __future__ import annotations
 
 import math
+import pickle
 import random
 import zlib
 from collections import Counter
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import FOLD, texts
-from .labelled import held_out, sample
+from .labelled import held_out, sample_rows
 
 #: Labelled rows that the driver fits on, at most (and labelled.SAMPLE_BYTES of text).
 SAMPLE = {1: 2000, 0: 5000}
@@ -223,6 +224,19 @@ def fit(rows: list[tuple[int, bytes]], seed: int = 1) -> Model | None:
     return Model(model.ordinary, model.toxic, tuple(w))
 
 
+def fitted(docs: DataFrame, labels: DataFrame) -> Model | None:
+    """The model of the bounded sample. A task fits it: the driver gets dictionaries and weights, and no text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "y")), strict=True)]
+        rows.sort(key=lambda r: r[:2])  # UTF-8 sorts as code points do
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit([(y, text) for _, text, y in rows]))], pa.binary())], names=["model"])
+
+    picked = sample_rows(docs, labels, "toxic", SAMPLE).select("doc_id", F.col("text").cast("binary").alias("text"), "y")
+    got = picked.repartition(1).mapInArrow(run, "model binary").collect()
+    return pickle.loads(got[0].model) if got else None  # no rows may be no task
+
+
 def _score(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model | None = shared.value
@@ -249,14 +263,14 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> Data
     columns are ignored; of a document with several labels the larger counts. Empty documents give an
     empty result.
     """
-    model = fit(sample(docs, labels, "toxic", SAMPLE))
+    model = fitted(docs, labels)
     out = texts(docs).mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(model)), "doc_id long, score double")
     return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The documents that are not toxic, with their columns: texts are scored where they are, none is shuffled."""
-    model = fit(sample(docs, labels, "toxic", SAMPLE))
+    model = fitted(docs, labels)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
