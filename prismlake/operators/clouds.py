@@ -118,8 +118,14 @@ def neighbours(points: DataFrame, k: int, cell: float | None = None, axes: tuple
     """
     scratch = Scratch(points.sparkSession)
     tidy = lambda d: d.select(F.col("pt_id").cast("long").alias("pt_id"), *(F.col(a).cast("double").alias(a) for a in axes))
-    rows = scratch.table(tidy(points), "points")
-    asked = rows if queries is None else scratch.table(tidy(queries), "queries")
+    every = scratch.table(tidy(points), "points")
+    # of one place the k smallest ids, and one more, as a point isn't its own neighbour
+    first = Window.partitionBy(*axes).orderBy("pt_id")
+    rows = scratch.table(every.withColumn("_n", F.dense_rank().over(first)).where(F.col("_n") <= k + (queries is None)).drop("_n"), "places")
+    asked, alike = every, None
+    if queries is not None:
+        alike = scratch.table(tidy(queries).withColumn("_first", F.min("pt_id").over(Window.partitionBy(*axes))), "queries")
+        asked = alike.where("pt_id = _first").select("pt_id", *axes).distinct()
     ends = rows.agg(F.count("*").alias("n"), *(F.percentile_approx(a, F.array(F.lit(0.01), F.lit(0.99)), 1000).alias(a) for a in axes)).first()
     want, width = min(k, ends.n - (queries is None)), cell
     if not width:
@@ -156,6 +162,8 @@ def neighbours(points: DataFrame, k: int, cell: float | None = None, axes: tuple
         left = scratch.table(left, "left")
         if level < 0 and left.isEmpty():
             break
+    if out is not None and alike is not None:
+        out = out.withColumnRenamed("pt_id", "_first").join(alike.select("pt_id", "_first").distinct(), "_first").select("pt_id", "nn_id", "d", "rank")
     out = materialize(out, "neighbours") if out is not None else rows.sparkSession.createDataFrame([], "pt_id long, nn_id long, d double, rank int")
     scratch.clear()
     return out
