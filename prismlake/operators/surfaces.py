@@ -19,18 +19,19 @@ def orient_normals(normals: DataFrame, near: DataFrame) -> DataFrame:
     An edge costs 1 less the size of its normals' product, ties go by ids; the smallest id of each tree
     keeps its normal. In each round every tree takes its cheapest edge to another (Boruvka), so their number
     halves at least; a tree then follows its parents to the root by doubling steps, and signs multiply on
-    the way. No step walks along paths.
+    the way. No step walks along paths. All joins meet by shuffles, since files of ids are small beside what
+    they hold: broadcasts of labels would pass the driver in every round.
     """
     scratch = Scratch(normals.sparkSession)
     own = scratch.table(normals.select("pt_id", "n"), "normals")
     pairs = near.where("pt_id <> nn_id").select(F.least("pt_id", "nn_id").alias("lo"), F.greatest("pt_id", "nn_id").alias("hi")).distinct()
     product = dot(F.col("n_lo"), F.col("n_hi"))
-    edges = pairs.join(own.select(F.col("pt_id").alias("lo"), F.col("n").alias("n_lo")), "lo").join(own.select(F.col("pt_id").alias("hi"), F.col("n").alias("n_hi")), "hi")
+    edges = pairs.join(own.select(F.col("pt_id").alias("lo"), F.col("n").alias("n_lo")).hint("merge"), "lo").join(own.select(F.col("pt_id").alias("hi"), F.col("n").alias("n_hi")).hint("merge"), "hi")
     edges = scratch.table(edges.select("lo", "hi", (1 - F.abs(product)).alias("cost"), F.when(product < 0, -1).otherwise(1).alias("sign")), "edges")
     labels = own.select("pt_id", F.col("pt_id").alias("tree"), F.lit(1).alias("turn"))
     while True:
         labels = scratch.table(labels, "labels")
-        of = lambda c, labels=labels: labels.select(F.col("pt_id").alias(c), F.col("tree").alias(f"tree_{c}"), F.col("turn").alias(f"turn_{c}"))
+        of = lambda c, labels=labels: labels.select(F.col("pt_id").alias(c), F.col("tree").alias(f"tree_{c}"), F.col("turn").alias(f"turn_{c}")).hint("merge")
         across = edges.join(of("lo"), "lo").join(of("hi"), "hi").where("tree_lo <> tree_hi")
         edges = scratch.table(across.select("lo", "hi", "cost", "sign"), "edges")
         if edges.isEmpty():
@@ -42,19 +43,19 @@ def orient_normals(normals: DataFrame, near: DataFrame) -> DataFrame:
         # two trees that take the same edge would follow each other: the smaller one is the root
         back = best.select(F.col("tree").alias("parent"), F.col("parent").alias("grand"))
         root = (F.col("grand") == F.col("tree")) & (F.col("tree") < F.col("parent"))
-        up = best.join(back, "parent", "left").select("tree", F.when(root, F.col("tree")).otherwise(F.col("parent")).alias("parent"), F.when(root, 1).otherwise(F.col("turn")).alias("turn"))
+        up = best.join(back.hint("merge"), "parent", "left").select("tree", F.when(root, F.col("tree")).otherwise(F.col("parent")).alias("parent"), F.when(root, 1).otherwise(F.col("turn")).alias("turn"))
         while True:
             up = scratch.table(up, "roots")
             over = up.select(F.col("tree").alias("parent"), F.col("parent").alias("grand"), F.col("turn").alias("more"))
-            up = up.join(over, "parent", "left").select("tree", F.coalesce("grand", "parent").alias("parent"), (F.col("turn") * F.coalesce("more", F.lit(1))).alias("turn"), (F.coalesce("grand", "parent") != F.col("parent")).alias("moved"))
+            up = up.join(over.hint("merge"), "parent", "left").select("tree", F.coalesce("grand", "parent").alias("parent"), (F.col("turn") * F.coalesce("more", F.lit(1))).alias("turn"), (F.coalesce("grand", "parent") != F.col("parent")).alias("moved"))
             up = scratch.table(up, "roots")
             if up.where("moved").isEmpty():
                 break
             up = up.drop("moved")
         up = up.select("tree", "parent", F.col("turn").alias("more"))
-        labels = labels.join(up, "tree", "left").select("pt_id", F.coalesce("parent", "tree").alias("tree"), (F.col("turn") * F.coalesce("more", F.lit(1))).alias("turn"))
+        labels = labels.join(up.hint("merge"), "tree", "left").select("pt_id", F.coalesce("parent", "tree").alias("tree"), (F.col("turn") * F.coalesce("more", F.lit(1))).alias("turn"))
     first = labels.groupBy("tree").agg(F.min(F.struct("pt_id", "turn")).alias("x")).select("tree", F.col("x.turn").alias("base"))
-    out = own.join(labels.join(first, "tree"), "pt_id").withColumn("size", norm(F.col("n")) + 1e-8)
+    out = own.join(labels.join(first.hint("merge"), "tree").hint("merge"), "pt_id").withColumn("size", norm(F.col("n")) + 1e-8)
     out = materialize(out.select("pt_id", scale(F.col("n"), F.col("turn") * F.col("base") / F.col("size")).alias("n")), "oriented")
     scratch.clear()
     return out
