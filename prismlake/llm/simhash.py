@@ -106,7 +106,7 @@ def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _closed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         raw, following = (batch.column(c).to_pylist() for c in ("text", "next_text"))
-        prints, theirs = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(len(batch), -1) for c in ("print", "next_print"))
+        prints, theirs = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BITS // 8) for c in ("print", "next_print"))
         yield _compared(0, batch.column("doc_id").to_pylist(), raw, prints, following, theirs)
 
 
@@ -162,7 +162,7 @@ def _fronts(made: list[tuple[list[tuple[int, ...]], list[int]]]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             prints = batch.column("print")
-            x = np.frombuffer(b"".join(prints.to_pylist()), np.uint64).reshape(len(batch), -1)
+            x = np.frombuffer(b"".join(prints.to_pylist()), np.uint64).reshape(-1, BITS // 64)
             for t, mask in enumerate(masks):
                 own = x & mask
                 key = _mix(_mix(own[:, 0] + np.uint64(t)) + own[:, 1])
@@ -208,7 +208,9 @@ def _counted(made: list[tuple[list[tuple[int, ...]], list[int]]], radius: int):
             group = np.cumsum(np.concatenate([[0], (np.diff(table) != 0) | (np.diff(key) != 0) | (np.diff(low) != 0) | (np.diff(high) != 0)]))
             # the last bucket may go on in the next batch
             n = len(held) if batch is None else int(np.searchsorted(group, group[-1]))
-            x = np.frombuffer(b"".join(held.column("print").to_pylist()[:n]), np.uint64).reshape(n, -1)
+            if not n:
+                continue
+            x = np.frombuffer(b"".join(held.column("print").to_pylist()[:n]), np.uint64).reshape(-1, BITS // 64)
             found = links(table[:n], group[:n], block[:n], (low != high)[:n], x)
             some = np.flatnonzero(found)
             yield pa.RecordBatch.from_arrays([held.column("print").combine_chunks().take(pa.array(some)), pa.array(found[some])], names=["print", "links"])
