@@ -265,7 +265,7 @@ def bundle_adjust(cameras: DataFrame, points: DataFrame, observations: DataFrame
     packed = seen.withColumn("part", F.pmod(F.xxhash64("pt_id"), F.lit(parts)).cast("int")).groupBy("part").applyInArrow(_pack, PARTS)
     problem, now, damping = _Problem(scratch.table(packed, "parts"), k), (r, t), 1e-3
     costs = [problem.cost(now)]
-    for _ in range(rounds):
+    for _ in range(rounds if costs[0] > vanishes * count else 0):
         x = _solved(problem, now, free, damping)
         next_parts = scratch.table(problem.moved(now, x, damping), "parts")
         turn = turned(x[:, :3])
